@@ -130,8 +130,13 @@ def flatten_throws(events: DataFrame) -> DataFrame:
     )
 
 
-def to_adapter(throws: DataFrame, mapping: DataFrame | Sequence[tuple[str, str]], adapter: str) -> DataFrame:
-    """The fields an adapter wants, under its names, as columns and as JSON.
+def to_adapter(
+    throws: DataFrame,
+    mapping: DataFrame | Sequence[tuple[str, str]],
+    adapter: str,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """The fields an adapter wants, under its names, as JSON; `keep` is passed on.
 
     `mapping` has rows (adapter, canonical, vendor), or is the list of pairs
     itself. It names columns of one table, so it is read on the driver.
@@ -145,7 +150,10 @@ def to_adapter(throws: DataFrame, mapping: DataFrame | Sequence[tuple[str, str]]
         pairs = list(mapping)
     fields = [F.col(canonical).alias(vendor) for canonical, vendor in pairs]
     return throws.select(
-        F.lit(adapter).alias("adapter"), F.col("id"), F.to_json(F.struct(*fields)).alias("payload")
+        F.lit(adapter).alias("adapter"),
+        F.col("id"),
+        F.to_json(F.struct(*fields)).alias("payload"),
+        *keep,
     )
 
 

@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from ocheline.plans.ordered import (
     as_of,
-    drop_chunks,
-    has_hot,
+    hot_limit,
     is_split,
+    over_groups,
     peak,
     previous,
     running,
-    split_hot,
     total,
 )
 from ocheline.plans.storage import cut_lineage
@@ -69,8 +68,8 @@ def _with_turns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def assign_turns(throws: DataFrame) -> DataFrame:
     """Turn and dart number per session and player."""
-    split = split_hot(throws, ["session_id"], ORDER)
-    return drop_chunks(_with_turns(split, ["session_id", "player_id"]))
+    keys = ["session_id", "player_id"]
+    return over_groups(throws, ["session_id"], ORDER, lambda df: _with_turns(df, keys))
 
 
 def turn_totals(throws: DataFrame) -> DataFrame:
@@ -82,9 +81,8 @@ def turn_totals(throws: DataFrame) -> DataFrame:
 
 def running_score(throws: DataFrame) -> DataFrame:
     """Total so far per session and player."""
-    split = split_hot(throws, ["session_id"], ORDER)
-    keys = ["session_id", "player_id"]
-    return drop_chunks(running(split, keys, ORDER, {"running_score": total(F.col("score"))}))
+    keys, score = ["session_id", "player_id"], {"running_score": total(F.col("score"))}
+    return over_groups(throws, ["session_id"], ORDER, lambda df: running(df, keys, ORDER, score))
 
 
 def scoreboard(states: DataFrame, value: Sequence[str] = ("remaining", "status")) -> DataFrame:
@@ -152,11 +150,28 @@ def asof_game(throws: DataFrame, games: DataFrame, check_hot: bool = True) -> Da
     )
 
 
-def _legs(throws: DataFrame, games: DataFrame, game_type: str) -> DataFrame:
-    """Throws of one game type with their leg, split where a session is hot."""
-    hot = has_hot(throws, ["session_id"])
+def _sizes(throws: DataFrame) -> tuple[bool, bool]:
+    """Whether a session is over-large, and whether a leg can exceed one piece."""
+    per_player = throws.groupBy("session_id", "player_id").agg(F.count(F.lit(1)).alias("n"))
+    top = (
+        per_player.groupBy("session_id")
+        .agg(F.sum("n").alias("session"), F.max("n").alias("player"))
+        .agg(F.max("session").alias("session"), F.max("player").alias("player"))
+        .first()
+    )
+    return (top["session"] or 0) > hot_limit(throws), (top["player"] or 0) > TURNS_PER_PIECE
+
+
+def _over_legs(
+    throws: DataFrame,
+    games: DataFrame,
+    game_type: str,
+    hot: bool,
+    body: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Apply `body` to the throws of one game type, with their leg."""
     played = asof_game(throws, games, check_hot=hot).filter(F.col("game_type") == game_type)
-    return split_hot(played, LEG, ORDER) if hot else played
+    return over_groups(played, LEG, ORDER, body) if hot else body(played)
 
 
 # --- X01 --------------------------------------------------------------------
@@ -243,32 +258,42 @@ def x01_states(throws: DataFrame, games: DataFrame) -> DataFrame:
     `status` is scored, bust, void (rest of a bust turn), finish, or after (the
     leg is over, for whichever player finished it; `remaining` is then null).
     """
-    legs = _legs(throws, games, "X01")
-    hot = is_split(legs)
-    player = [*LEG, "player_id"]
-    turns = _with_turns(legs, player)
-    rows = drop_chunks(turns).select(
-        *player,
-        "start_score",
-        "double_out",
-        F.floor(F.col("turn_no") / TURNS_PER_PIECE).cast("bigint").alias("piece"),
-        F.struct(
-            "captured_at",
-            "id",
-            "turn_no",
-            "dart_no",
-            F.col("score").cast("int").alias("score"),
-            F.coalesce(F.col("multiplier") == 2, F.lit(False)).alias("double"),
-        ).alias("dart"),
-    )
     out_type = _OUT.format(ts=throws.schema["captured_at"].dataType.simpleString())
-    pieces = rows.groupBy(*player, "piece").agg(
-        F.first("start_score").alias("start_score"),
-        F.first("double_out").alias("double_out"),
-        F.array_sort(F.collect_list("dart")).alias("darts"),
+    hot, long_legs = _sizes(throws)
+
+    def play(legs: DataFrame) -> DataFrame:
+        return _x01(legs, out_type, long_legs)
+
+    return _over_legs(throws, games, "X01", hot, play)
+
+
+def _x01(legs: DataFrame, out_type: str, long_legs: bool) -> DataFrame:
+    player = [*LEG, "player_id"]
+    pieces = (
+        _with_turns(legs, player)
+        .select(
+            *player,
+            "start_score",
+            "double_out",
+            F.floor(F.col("turn_no") / TURNS_PER_PIECE).cast("bigint").alias("piece"),
+            F.struct(
+                "captured_at",
+                "id",
+                "turn_no",
+                "dart_no",
+                F.col("score").cast("int").alias("score"),
+                F.coalesce(F.col("multiplier") == 2, F.lit(False)).alias("double"),
+            ).alias("dart"),
+        )
+        .groupBy(*player, "piece")
+        .agg(
+            F.first("start_score").alias("start_score"),
+            F.first("double_out").alias("double_out"),
+            F.array_sort(F.collect_list("dart")).alias("darts"),
+        )
     )
-    if hot or _has_long_legs(throws):
-        pieces = _with_piece_starts(cut_lineage(pieces), player, throws)
+    if long_legs:
+        pieces = _with_piece_starts(cut_lineage(pieces), player)
     else:
         pieces = pieces.withColumn("start", F.col("start_score"))
     folded = pieces.select(
@@ -283,10 +308,9 @@ def x01_states(throws: DataFrame, games: DataFrame) -> DataFrame:
             F.struct(finish[0]["dart"]["captured_at"].alias("at"), finish[0]["dart"]["id"].alias("id")),
         ),
     )
-    if hot:
+    if is_split(legs):
         folded = cut_lineage(folded)
-        ends = folded.groupBy(*LEG).agg(F.min("finished").alias("ended"))
-        ended = folded.join(ends, LEG)
+        ended = folded.join(folded.groupBy(*LEG).agg(F.min("finished").alias("ended")), LEG)
     else:
         ended = folded.withColumn("ended", F.min("finished").over(Window.partitionBy(*LEG)))
     line = ended.select(*player, "ended", F.explode("out").alias("o"))
@@ -303,13 +327,7 @@ def x01_states(throws: DataFrame, games: DataFrame) -> DataFrame:
     )
 
 
-def _has_long_legs(throws: DataFrame) -> bool:
-    """Whether any leg can be longer than one piece (counted per player)."""
-    sizes = throws.groupBy("session_id", "player_id").agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n").alias("n")).first()["n"] or 0) > TURNS_PER_PIECE
-
-
-def _with_piece_starts(pieces: DataFrame, player: Sequence[str], throws: DataFrame) -> DataFrame:
+def _with_piece_starts(pieces: DataFrame, player: Sequence[str]) -> DataFrame:
     """Add what remains at the start of each piece of a leg.
 
     The effect of a piece is a table: what is left after it, for each value that
@@ -446,11 +464,9 @@ def _together(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def cricket_marks(throws: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """Marks so far per player and number, at most three; Cricket numbers only."""
     hits = throws.filter(F.col("segment").isin(*CRICKET_NUMBERS))
-    marked = _with_marks(split_hot(hits, list(keys), ORDER), keys)
-    return (
-        drop_chunks(marked)
-        .withColumn("marks_so_far", F.least(F.col("marks_sum"), F.lit(3)))
-        .drop("marks_sum", "_marks_before")
+    marked = over_groups(hits, list(keys), ORDER, lambda df: _with_marks(df, keys))
+    return marked.withColumn("marks_so_far", F.least(F.col("marks_sum"), F.lit(3))).drop(
+        "marks_sum", "_marks_before"
     )
 
 
@@ -480,15 +496,7 @@ def _cricket(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     df = df.withColumn("wins", F.when(done, 1).otherwise(0))
     df = running(df, keys, ORDER, {"_wins": total(F.col("wins"))})
     after = F.col("_wins") - F.col("wins") > 0
-    return drop_chunks(df).withColumn("after", after)
-
-
-def cricket_points(throws: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
-    """Points per throw and so far, and which throws close a number.
-
-    A throw marked `after` came when the leg was won; it does not count.
-    """
-    return _cricket(split_hot(throws, list(keys), ORDER), keys).select(
+    return df.select(
         "id",
         *keys,
         "player_id",
@@ -500,13 +508,22 @@ def cricket_points(throws: DataFrame, keys: Sequence[str] = ("session_id",)) ->
         "points_so_far",
         "numbers_closed",
         (F.col("wins") == 1).alias("wins"),
-        "after",
+        after.alias("after"),
     )
 
 
+def cricket_points(throws: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Points per throw and so far, and which throws close a number.
+
+    A throw marked `after` came when the leg was won; it does not count.
+    """
+    return over_groups(throws, list(keys), ORDER, lambda df: _cricket(df, keys))
+
+
 def cricket_states(throws: DataFrame, games: DataFrame) -> DataFrame:
     """W6 over the Cricket legs of the games in force."""
-    return cricket_points(_legs(throws, games, "Cricket"), LEG)
+    hot, _ = _sizes(throws)
+    return _over_legs(throws, games, "Cricket", hot, lambda df: _cricket(df, LEG))
 
 
 def cricket_standings(throws: DataFrame, games: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocheline.functions import homography
-from ocheline.plans.ordered import as_of, previous, running, split_hot, total
+from ocheline.plans.ordered import as_of, over_groups, previous, running, total
 from ocheline.schemas import LANDMARK_NAMES
 
 # Pixels are divided by this before the fit, to keep the sums near 1.
@@ -200,22 +200,19 @@ def detect_throws(frames: DataFrame) -> DataFrame:
     session are numbered. A fall to zero marks a retrieval.
     """
     keys, order = ["session_id"], ["captured_at", "frame_no"]
-    seen = running(
-        split_hot(frames, keys, order), keys, order, {"before": previous(F.col("n_tips"))}
-    )
-    before = F.coalesce("before", F.lit(0))
-    seen = seen.withColumns(
-        {
-            "new_tips": F.greatest(F.col("n_tips") - before, F.lit(0)),
-            "retrieved": (F.col("n_tips") == 0) & (before > 0),
-        }
-    )
-    counted = running(
-        seen, keys, order, {"throws_so_far": total(F.col("new_tips"))}
-    )
-    return counted.select(
-        *frames.columns, "new_tips", "retrieved", F.col("throws_so_far").alias("throws_so_far")
-    )
+
+    def scan(rows: DataFrame) -> DataFrame:
+        seen = running(rows, keys, order, {"_before": previous(F.col("n_tips"))})
+        before = F.coalesce("_before", F.lit(0))
+        seen = seen.withColumns(
+            {
+                "new_tips": F.greatest(F.col("n_tips") - before, F.lit(0)),
+                "retrieved": (F.col("n_tips") == 0) & (before > 0),
+            }
+        ).drop("_before")
+        return running(seen, keys, order, {"throws_so_far": total(F.col("new_tips"))})
+
+    return over_groups(frames, keys, order, scan)
 
 
 def throw_candidates(frames: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from one summary row per chunk.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,22 +30,32 @@ def hot_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_SETTING, str(DEFAULT_LIMIT)))
 
 
-def has_hot(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether a group of `keys` exceeds the row limit; one pre-aggregated count."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return (sizes.agg(F.max("_rows").alias("top")).first()["top"] or 0) > hot_limit(df)
+def over_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    body: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Apply `body`, made of `running` steps, to groups of any size.
 
+    Ordinary groups go through `body` as they are. The rows of over-large ones
+    go through it a second time, cut into chunks.
+    """
+    cold, hot = split_hot(df, keys, order)
+    done = body(cold)
+    return done if hot is None else done.unionByName(body(hot).drop(CHUNK))
 
-def split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Number the consecutive chunks of over-large groups in the column `_chunk`.
 
-    Without such a group `df` comes back as it is. Rows of ordinary groups are
-    chunk 0. The rows of the large ones are sorted once over many tasks (range
-    partitions on key and order, so no chunk mixes the order of two others) and
-    written, since the chunk number must not change when a task is repeated.
+def split_hot(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str]
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary groups, and those of over-large groups if there are any.
+
+    The latter are sorted over many tasks (range partitions on key and order)
+    and get the number of their partition as `_chunk`, so that no chunk mixes
+    the order of two others. They are written at that point, since the number
+    must not change when a task is repeated.
     """
-    if CHUNK in df.columns:
-        return df
     limit = hot_limit(df)
     names = [f"_hot_{k}" for k in keys]
     sizes = (
@@ -55,7 +65,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     )
     found = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_rows").alias("rows")).first()
     if not found["groups"]:
-        return df
+        return df, None
     sizes = cut_lineage(sizes.drop("_rows"))
     if found["groups"] <= MAX_BROADCAST_GROUPS:
         sizes = F.broadcast(sizes)
@@ -64,20 +74,15 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     hot = (
         df.join(sizes, same, "left_semi")
         .repartitionByRange(parts, *keys, *order)
-        .withColumn(CHUNK, F.spark_partition_id() + 1)
+        .withColumn(CHUNK, F.spark_partition_id())
     )
-    cold = df.join(sizes, same, "left_anti").withColumn(CHUNK, F.lit(0))
-    return cold.unionByName(cut_lineage(hot))
+    return df.join(sizes, same, "left_anti"), cut_lineage(hot)
 
 
 def is_split(df: DataFrame) -> bool:
     return CHUNK in df.columns
 
 
-def drop_chunks(df: DataFrame) -> DataFrame:
-    return df.drop(CHUNK)
-
-
 @dataclass(frozen=True)
 class Running:
     kind: str
@@ -109,20 +114,21 @@ def running(
 ) -> DataFrame:
     """Add running columns per `keys` in the total order `order`.
 
-    `df` is what `split_hot` returned; its chunks must follow the same order.
+    Meant for the body of `over_groups`; chunks must follow the same order.
     """
     if not is_split(df):
         rows = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({name: _plain(r, rows) for name, r in columns.items()})
 
     here = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    local = df.withColumns({f"_l_{name}": _local(r, here) for name, r in columns.items()})
-    position = F.struct(*order)
-    parts = (
-        df.filter(F.col(CHUNK) > 0)
-        .groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_k_chunk"))
-        .agg(*[_summary(r, position).alias(f"_s_{name}") for name, r in columns.items()])
+    # Written, because it is read twice: by the chunk summaries and by the join.
+    local = cut_lineage(
+        df.withColumns({f"_l_{name}": _local(r, here) for name, r in columns.items()})
     )
+    position = F.struct(*order)
+    parts = local.groupBy(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_k_chunk")
+    ).agg(*[_summary(r, position).alias(f"_s_{name}") for name, r in columns.items()])
     before = (
         Window.partitionBy(*[f"_k_{k}" for k in keys])
         .orderBy("_k_chunk")
@@ -134,7 +140,7 @@ def running(
         *[_carry(r, f"_s_{name}", before).alias(f"_c_{name}") for name, r in columns.items()],
     )
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    joined = local.join(carried, [*same, F.col(CHUNK) == F.col("_k_chunk")], "left")
+    joined = local.join(carried, [*same, F.col(CHUNK) == F.col("_k_chunk")])
     return joined.withColumns(
         {name: _combine(r, f"_l_{name}", f"_c_{name}") for name, r in columns.items()}
     ).select(*[c for c in df.columns if c not in columns], *columns)
@@ -224,9 +230,11 @@ def as_of(
     )
     order = ["_at", "_side", "_tie", "_payload"]
     both = rows.unionByName(stamps)
-    if check_hot:
-        both = split_hot(both, keys, order)
-    scanned = running(both, keys, order, {"_found": latest(F.col("_payload"))})
+
+    def scan(rows: DataFrame) -> DataFrame:
+        return running(rows, keys, order, {"_found": latest(F.col("_payload"))})
+
+    scanned = over_groups(both, keys, order, scan) if check_hot else scan(both)
     return scanned.filter(F.col("_side") == 1).select(
         *left.columns, *[F.col("_found")[c].alias(c) for c in payload]
     )

@@ -1,0 +1,80 @@
+"""X01 and Cricket over the throws of one leg, for the live scoreboard."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from typing import NamedTuple
+
+from ocheline.schemas import CRICKET_NUMBERS
+
+
+class Throw(NamedTuple):
+    at: int
+    id: str
+    player: str
+    segment: int
+    multiplier: int
+    turn: str | None = None
+
+
+class Line(NamedTuple):
+    """State of one player: what remains in X01, points in Cricket."""
+
+    value: int
+    status: str
+    throws: int
+
+
+def x01(throws: Sequence[Throw], start: int, double_out: bool) -> dict[str, Line]:
+    """Throws in order. A turn ends after three darts or where its id changes."""
+    left: dict[str, int] = {}
+    turn: dict[str, tuple[str | None, int, int]] = {}  # id, darts, score at its start
+    status: dict[str, str] = {}
+    count: dict[str, int] = {}
+    over = False
+    for t in throws:
+        p = t.player
+        left.setdefault(p, start)
+        count[p] = count.get(p, 0) + 1
+        id, darts, base = turn.get(p, (None, 3, start))
+        if darts == 3 or id != t.turn:
+            darts, base = 0, left[p]
+        turn[p] = (t.turn, darts + 1, base)
+        if over:
+            status[p] = "after"
+            continue
+        if darts > 0 and status[p] in ("bust", "void"):
+            status[p] = "void"
+            continue
+        rest = left[p] - t.segment * t.multiplier
+        if rest == 0 and (t.multiplier == 2 or not double_out):
+            left[p], status[p], over = 0, "finish", True
+        elif rest <= 0 or (rest == 1 and double_out):
+            left[p], status[p] = base, "bust"
+        else:
+            left[p], status[p] = rest, "scored"
+    return {p: Line(left[p], status[p], count[p]) for p in count}
+
+
+def cricket(throws: Sequence[Throw]) -> dict[str, Line]:
+    """Throws in order; a player counts as opponent from the start of the leg."""
+    players = list(dict.fromkeys(t.player for t in throws))
+    marks = {p: dict.fromkeys(CRICKET_NUMBERS, 0) for p in players}
+    points = dict.fromkeys(players, 0)
+    count = dict.fromkeys(players, 0)
+    winner = None
+    for t in throws:
+        count[t.player] += 1
+        if winner is not None or t.segment not in marks[t.player]:
+            continue
+        mine = marks[t.player]
+        before = mine[t.segment]
+        mine[t.segment] += t.multiplier
+        surplus = max(mine[t.segment] - 3, 0) - max(before - 3, 0)
+        if any(marks[p][t.segment] < 3 for p in players if p != t.player):
+            points[t.player] += surplus * t.segment
+        if min(mine.values()) >= 3 and points[t.player] >= max(points.values()):
+            winner = t.player
+    return {
+        p: Line(points[p], "winner" if p == winner else "playing", count[p]) for p in players
+    }
