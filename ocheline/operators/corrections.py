@@ -107,28 +107,36 @@ def resolve_corrections(throws: DataFrame) -> DataFrame:
     return resolved.unionByName(cycles)
 
 
-def effective_throws(throws: DataFrame) -> DataFrame:
-    """R2: originals with their final values; corrections are removed.
-
-    Time, player, turn and place stay those of the original. `final_id` is the
-    event the values come from.
-    """
+def _with_finals(throws: DataFrame) -> DataFrame:
+    """Originals with the event in force (`final_id`) and its values (`final`)."""
     ends = resolve_corrections(throws).filter(F.col("status") == "resolved")
     finals = (
         throws.filter(F.col("correction_of").isNotNull())
-        .select(F.col("id").alias("final_id"), F.struct(*VALUE).alias("_final"))
+        .select(F.col("id").alias("final_id"), F.struct(*VALUE).alias("final"))
         .join(ends.select("root", "final_id"), "final_id")
     )
     originals = throws.filter(F.col("correction_of").isNull())
     joined = originals.join(finals, F.col("id") == F.col("root"), "left")
-    corrected = F.col("root").isNotNull()
     return joined.select(
+        *throws.columns,
+        F.coalesce("final_id", "id").alias("final_id"),
+        F.when(F.col("root").isNotNull(), F.col("final")).otherwise(F.struct(*VALUE)).alias("final"),
+    )
+
+
+def effective_throws(throws: DataFrame) -> DataFrame:
+    """R2: originals with their final values; corrections are removed.
+
+    Time, player, turn and place stay those of the original. `final_id` is the
+    event the values come from.
+    """
+    return _with_finals(throws).select(
         *[
-            F.when(corrected, F.col("_final")[c]).otherwise(F.col(c)).alias(c) if c in VALUE else c
+            F.col("final")[c].alias(c) if c in VALUE else c
             for c in throws.columns
             if c != "correction_of"
         ],
-        F.coalesce("final_id", "id").alias("final_id"),
+        "final_id",
     )
 
 
@@ -157,28 +165,18 @@ def correction_lineage(throws: DataFrame) -> DataFrame:
 
 def detected_vs_corrected(throws: DataFrame) -> DataFrame:
     """The detected value next to the corrected one, for every original."""
-    final = effective_throws(throws).select(
+    compared = ["segment", "multiplier", "score", "x", "y"]
+    agree = F.col("segment").eqNullSafe(F.col("final.segment")) & F.col(
+        "multiplier"
+    ).eqNullSafe(F.col("final.multiplier"))
+    return _with_finals(throws).select(
         "id",
         "final_id",
-        F.col("segment").alias("corrected_segment"),
-        F.col("multiplier").alias("corrected_multiplier"),
-        F.col("score").alias("corrected_score"),
-        F.col("x").alias("corrected_x"),
-        F.col("y").alias("corrected_y"),
-    )
-    originals = throws.filter(F.col("correction_of").isNull()).select(
-        "id",
         "session_id",
         "player_id",
         "captured_at",
         "confidence",
-        F.col("segment").alias("detected_segment"),
-        F.col("multiplier").alias("detected_multiplier"),
-        F.col("score").alias("detected_score"),
-        F.col("x").alias("detected_x"),
-        F.col("y").alias("detected_y"),
-    )
-    agree = (F.col("detected_segment") == F.col("corrected_segment")) & (
-        F.col("detected_multiplier") == F.col("corrected_multiplier")
+        *[F.col(c).alias(f"detected_{c}") for c in compared],
+        *[F.col("final")[c].alias(f"corrected_{c}") for c in compared],
+        agree.alias("agree"),
     )
-    return originals.join(final, "id").withColumn("agree", agree)

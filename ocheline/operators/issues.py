@@ -143,20 +143,30 @@ def resolution_audit(issues: DataFrame, comments: DataFrame) -> DataFrame:
         .select(*TICKET)
         .join(parents(issues), TICKET, "left")
     )
-    resolutions = comments.filter(F.col("kind") == "resolution").select(*TICKET, "text")
-    entries = map_decisions(issues)
-    silent = closed.join(resolutions, TICKET, "left_anti")
-    unlisted = closed.join(entries, ["repo", "number", "parent"], "left_anti")
-    pasted = (
-        closed.join(entries, ["repo", "number", "parent"])
-        .join(resolutions, TICKET)
-        .filter((F.trim("text") != "") & F.col("entry").contains(F.trim("text")))
-        .select(*TICKET, "parent")
+    resolutions = (
+        comments.filter(F.col("kind") == "resolution")
+        .select(*TICKET, F.trim("text").alias("text"))
         .distinct()
     )
-    found = [("no_resolution", silent), ("not_in_map", unlisted), ("pasted", pasted)]
-    parts = [df.select(*TICKET, F.lit(fault).alias("fault")) for fault, df in found]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    holds = (F.col("text") != "") & F.col("entry").contains(F.col("text"))
+    looked_up = (
+        closed.join(resolutions, TICKET, "left")
+        .join(map_decisions(issues), ["repo", "number", "parent"], "left")
+        .groupBy(*TICKET)
+        .agg(
+            F.bool_or(F.col("text").isNotNull()).alias("resolved"),
+            F.bool_or(F.col("entry").isNotNull()).alias("listed"),
+            F.bool_or(F.coalesce(holds, F.lit(False))).alias("pasted"),
+        )
+    )
+    faults = F.array_compact(
+        F.array(
+            F.when(~F.col("resolved"), "no_resolution"),
+            F.when(~F.col("listed"), "not_in_map"),
+            F.when(F.col("pasted"), "pasted"),
+        )
+    )
+    return looked_up.select(*TICKET, F.explode(faults).alias("fault"))
 
 
 def branch_audit(branches: DataFrame, prototypes: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocheline.operators.vision import micros
@@ -149,11 +149,7 @@ def correction_rate(throws: DataFrame) -> DataFrame:
 
 
 def calibration_friction(attempts: DataFrame) -> DataFrame:
-    """Attempts and seconds up to the first valid calibration of a session.
-
-    Attempts are counted per session and minute first; only the minute of the
-    first success is looked at again.
-    """
+    """Attempts and seconds up to the first valid calibration of a session."""
     first = attempts.groupBy("session_id").agg(
         F.min("ts").alias("first_try"), F.min(F.when(F.col("valid"), F.col("ts"))).alias("first_valid")
     )
