@@ -16,7 +16,7 @@ def wedge(x: Column, y: Column) -> Column:
     """Number of the wedge, clockwise from the top; a wire belongs to the next wedge."""
     clockwise = F.degrees(F.atan2(x, y)) + F.lit(369.0)
     place = F.floor((clockwise % F.lit(360.0)) / F.lit(18.0)).cast("int")
-    return F.element_at(F.array(*[F.lit(n) for n in WEDGES]), place + 1)
+    return F.element_at(F.expr(f"array({', '.join(map(str, WEDGES))})"), place + 1)
 
 
 def _by_ring(r: Column, values: list[Column], outside: Column) -> Column:

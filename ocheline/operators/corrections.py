@@ -42,13 +42,14 @@ def follow_chains(throws: DataFrame) -> Chains:
     open_links = cut_lineage(
         winning_corrections(throws).select("id", F.col("parent").alias("root"), F.lit(1).alias("step"))
     )
-    left = open_links.count()
-    done = open_links.limit(0)
-    while left:
+    left, done = None, None
+    while left != 0:
         # A link whose target is no open link has arrived, or takes over the
         # root of a target that arrived before; the others jump to where their
         # target points. So each round at least the nearest open links arrive.
-        known = _targets(open_links, False).unionByName(_targets(done, True))
+        known = _targets(open_links, False)
+        if done is not None:
+            known = known.unionByName(_targets(done, True))
         moved = cut_lineage(
             open_links.join(known, F.col("root") == F.col("_id"), "left").select(
                 "id",
@@ -57,7 +58,8 @@ def follow_chains(throws: DataFrame) -> Chains:
                 (F.col("_id").isNull() | F.col("_arrived")).alias("arrived"),
             )
         )
-        done = done.unionByName(moved.filter("arrived").drop("arrived"))
+        arrived = moved.filter("arrived").drop("arrived")
+        done = arrived if done is None else done.unionByName(arrived)
         open_links = moved.filter(~F.col("arrived")).drop("arrived")
         still = open_links.count()
         if still == left:

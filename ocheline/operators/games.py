@@ -177,55 +177,68 @@ def _over_legs(
 # --- X01 --------------------------------------------------------------------
 
 
-def _step(state: Column, dart: Column, double_out: Column) -> dict[str, Column]:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over `value`, which is worked out once however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _step(state: Column, dart: Column, double_out: Column) -> Column:
     """One dart in X01: what it leaves and how it counts."""
-    new_turn = ~dart["turn_no"].eqNullSafe(state["turn_no"])
-    base = F.when(new_turn, state["remaining"]).otherwise(state["base"])
-    void = F.when(new_turn, F.lit(False)).otherwise(state["void"])
-    left = state["remaining"] - dart["score"]
-    over = state["remaining"] == 0
-    finish = (left == 0) & (~double_out | dart["double"])
-    bust = ~finish & ((left <= 0) | ((left == 1) & double_out))
-    remaining = (
-        F.when(over | void, state["remaining"])
-        .when(finish, F.lit(0))
-        .when(bust, base)
-        .otherwise(left)
-    )
-    status = (
-        F.when(over, F.lit("after"))
-        .when(void, F.lit("void"))
-        .when(finish, F.lit("finish"))
-        .when(bust, F.lit("bust"))
-        .otherwise(F.lit("scored"))
+    same_turn = dart["turn_no"] == state["turn_no"]
+    before = F.struct(
+        F.when(same_turn, state["base"]).otherwise(state["remaining"]).alias("base"),
+        (same_turn & state["void"]).alias("void"),
+        (state["remaining"] - dart["score"]).alias("left"),
     )
-    return {
-        "turn_no": dart["turn_no"],
-        "remaining": remaining.cast("int"),
-        "base": base.cast("int"),
-        "void": void | (~over & bust),
-        "status": status,
-    }
 
+    def status(b: Column) -> Column:
+        left = b["left"]
+        return (
+            F.when(state["remaining"] == 0, "after")
+            .when(b["void"], "void")
+            .when((left == 0) & (~double_out | dart["double"]), "finish")
+            .when((left <= 0) | ((left == 1) & double_out), "bust")
+            .otherwise("scored")
+        )
+
+    def after(b: Column) -> Column:
+        s = b["status"]
+        remaining = (
+            F.when(s == "scored", b["left"])
+            .when(s == "finish", F.lit(0))
+            .when(s == "bust", b["base"])
+            .otherwise(state["remaining"])
+        )
+        return F.struct(
+            dart["turn_no"].alias("turn_no"),
+            remaining.alias("remaining"),
+            b["base"].alias("base"),
+            (b["void"] | (s == "bust")).alias("void"),
+            s.alias("status"),
+        )
 
-def _struct(fields: dict[str, Column]) -> Column:
-    return F.struct(*[c.alias(n) for n, c in fields.items()])
+    judged = _let(
+        before,
+        lambda b: F.struct(
+            b["base"].alias("base"), b["void"].alias("void"), b["left"].alias("left"),
+            status(b).alias("status"),
+        ),
+    )
+    return _let(judged, after)
 
 
-def _initial(remaining: Column) -> dict[str, Column]:
-    return {
-        "turn_no": F.lit(-1).cast("bigint"),
-        "remaining": remaining.cast("int"),
-        "base": remaining.cast("int"),
-        "void": F.lit(False),
-        "status": F.lit(""),
-    }
+def _initial(remaining: Column) -> Column:
+    return F.struct(
+        F.lit(-1).cast("bigint").alias("turn_no"),
+        remaining.cast("int").alias("remaining"),
+        remaining.cast("int").alias("base"),
+        F.lit(False).alias("void"),
+        F.lit("").alias("status"),
+    )
 
 
 def _remaining_after(darts: Column, start: Column, double_out: Column) -> Column:
-    folded = F.aggregate(
-        darts, _struct(_initial(start)), lambda s, d: _struct(_step(s, d, double_out))
-    )
+    folded = F.aggregate(darts, _initial(start), lambda s, d: _step(s, d, double_out))
     return folded["remaining"]
 
 
@@ -236,30 +249,34 @@ def _states(darts: Column, start: Column, double_out: Column, out_type: str) ->
     """The fold of one piece, with the state after each dart."""
 
     def merge(acc: Column, dart: Column) -> Column:
-        after = _struct(_step(acc["state"], dart, double_out))
-        line = F.struct(
-            dart.alias("dart"),
-            after["remaining"].alias("remaining"),
-            after["status"].alias("status"),
-        )
-        return F.struct(
-            after.alias("state"), F.concat(acc["out"], F.array(line)).cast(out_type).alias("out")
-        )
-
-    zero = F.struct(
-        _struct(_initial(start)).alias("state"), F.array().cast(out_type).alias("out")
-    )
+        def line(after: Column) -> Column:
+            shown = F.struct(
+                dart.alias("dart"),
+                after["remaining"].alias("remaining"),
+                after["status"].alias("status"),
+            )
+            return F.struct(
+                after.alias("state"), F.concat(acc["out"], F.array(shown)).cast(out_type).alias("out")
+            )
+
+        return _let(_step(acc["state"], dart, double_out), line)
+
+    zero = F.struct(_initial(start).alias("state"), F.array().cast(out_type).alias("out"))
     return F.aggregate(darts, zero, merge)["out"]
 
 
-def x01_states(throws: DataFrame, games: DataFrame) -> DataFrame:
+def x01_states(
+    throws: DataFrame, games: DataFrame, counted: DataFrame | None = None
+) -> DataFrame:
     """X01 after each throw: remaining, and how the throw counted.
 
     `status` is scored, bust, void (rest of a bust turn), finish, or after (the
     leg is over, for whichever player finished it; `remaining` is then null).
+    `counted` may name a table that has at least these throws and is cheaper to
+    count, such as the stored events where `throws` is a result.
     """
     out_type = _OUT.format(ts=throws.schema["captured_at"].dataType.simpleString())
-    hot, long_legs = _sizes(throws)
+    hot, long_legs = _sizes(throws if counted is None else counted)
 
     def play(legs: DataFrame) -> DataFrame:
         return _x01(legs, out_type, long_legs)
@@ -520,13 +537,17 @@ def cricket_points(throws: DataFrame, keys: Sequence[str] = ("session_id",)) ->
     return over_groups(throws, list(keys), ORDER, lambda df: _cricket(df, keys))
 
 
-def cricket_states(throws: DataFrame, games: DataFrame) -> DataFrame:
-    """W6 over the Cricket legs of the games in force."""
-    hot, _ = _sizes(throws)
+def cricket_states(
+    throws: DataFrame, games: DataFrame, counted: DataFrame | None = None
+) -> DataFrame:
+    """W6 over the Cricket legs of the games in force; `counted` as for X01."""
+    hot, _ = _sizes(throws if counted is None else counted)
     return _over_legs(throws, games, "Cricket", hot, lambda df: _cricket(df, LEG))
 
 
-def cricket_standings(throws: DataFrame, games: DataFrame | None = None) -> DataFrame:
+def cricket_standings(
+    throws: DataFrame, games: DataFrame | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """Points, closed numbers and winner per leg.
 
     With `games` the Cricket legs are found by time, without it each session is
@@ -535,7 +556,7 @@ def cricket_standings(throws: DataFrame, games: DataFrame | None = None) -> Data
     if games is None:
         keys, points = ["session_id"], cricket_points(throws)
     else:
-        keys, points = LEG, cricket_states(throws, games)
+        keys, points = LEG, cricket_states(throws, games, counted)
     counts = ~F.col("after")
     return points.groupBy(*keys, "player_id").agg(
         F.sum(F.when(counts, F.col("points")).otherwise(0)).alias("points"),

@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+SETTING = "spark.checkpoint.dir"
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="ocheline-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    folder = spark.conf.get(SETTING, None)
+    if folder is not None:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
+    return _own_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and go on from there.
+    """Write `df` as a table to the shared folder and go on from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own.
+    Unlike `DataFrame.checkpoint` this computes the rows once, and what reads
+    them prunes columns and knows their size.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="ocheline-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/ocheline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

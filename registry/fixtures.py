@@ -10,23 +10,39 @@ from ocheline.operators.board import map_segment, to_notation, with_score
 BOARD_POINTS = {"n": (0.0, 1.0), "e": (1.0, 0.0), "s": (0.0, -1.0), "w": (-1.0, 0.0)}
 
 
+# The given tables that are read, with their declared columns.
+SCHEMAS = {
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
-    pair = F.floor(F.col("user_id") / 2).cast("bigint")
-    return table(spark, sf_dir, "events").withColumns(
-        {
-            "k": k,
-            "pair": pair,
-            "session_id": F.concat(F.lit("s"), pair.cast("string")),
-            "player_id": F.concat(F.lit("p"), F.col("user_id").cast("string")),
-            "calibration_id": F.concat(F.lit("c"), F.col("user_id").cast("string")),
-            "x": ((F.col("event_id") * 7919) % 2001 - 1000) * F.lit(0.0011),
-            "y": ((F.col("event_id") * 104729) % 2003 - 1001) * F.lit(0.0011),
-        }
+    return table(spark, sf_dir, "events").selectExpr(
+        "*",
+        "cast(regexp_extract(props, '([0-9]+)', 1) AS int) AS k",
+        "user_id div 2 AS pair",
+        "concat('s', user_id div 2) AS session_id",
+        "concat('p', user_id) AS player_id",
+        "concat('c', user_id) AS calibration_id",
+        "((event_id * 7919) % 2001 - 1000) * 0.0011D AS x",
+        "((event_id * 104729) % 2003 - 1001) * 0.0011D AS y",
     )
 
 
@@ -46,21 +62,20 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def throws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manual = F.col("event_type") == "error"
-    earlier = (F.col("event_id") - 1 - F.col("k") % 3).cast("string")
-    lost = F.concat(F.lit("lost-"), F.col("event_id").cast("string"))
-    base = _events(spark, sf_dir).select(
-        F.col("event_id").cast("string").alias("id"),
+    """Errors correct one of the three events before them, or one that is lost."""
+    base = _events(spark, sf_dir).selectExpr(
+        "cast(event_id AS string) AS id",
         "session_id",
         "player_id",
-        F.lit(None).cast("string").alias("turn_id"),
-        F.col("ts").alias("captured_at"),
+        "cast(NULL AS string) AS turn_id",
+        "ts AS captured_at",
         "x",
         "y",
-        (F.col("k") / F.lit(100.0)).alias("confidence"),
+        "k / 100D AS confidence",
         "calibration_id",
-        F.when(manual, "manual-correction").otherwise("camera").alias("source"),
-        F.when(manual & (F.col("k") >= 95), lost).when(manual, earlier).alias("correction_of"),
+        "if(event_type = 'error', 'manual-correction', 'camera') AS source",
+        """CASE WHEN event_type <> 'error' THEN NULL WHEN k >= 95 THEN concat('lost-', event_id)
+           ELSE cast(event_id - 1 - k % 3 AS string) END AS correction_of""",
     )
     scored = to_notation(with_score(map_segment(base)))
     return scored.select(

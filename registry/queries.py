@@ -20,11 +20,6 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _legs_of(df: DataFrame) -> DataFrame:
-    """X01 turns of whole sessions, as the turn reports want them."""
-    return games.assign_turns(df)
-
-
 # --- scans and events -------------------------------------------------------
 
 
@@ -141,7 +136,7 @@ def j7_authorised(spark, d):
 
 @query
 def j8_close_groupings(spark, d):
-    near = games.close_groupings(_legs_of(fx.throws(spark, d)), 0.25)
+    near = games.close_groupings(games.assign_turns(fx.throws(spark, d)), 0.25)
     return near.withColumn("distance", F.round("distance", 6))
 
 
@@ -374,16 +369,18 @@ def r3_correction_lineage(spark, d):
 
 @query
 def e1_x01_states(spark, d):
-    final = corrections.effective_throws(fx.throws(spark, d))
-    return games.x01_states(final, fx.games(spark, d)).select(
+    t = fx.throws(spark, d)
+    final = corrections.effective_throws(t)
+    return games.x01_states(final, fx.games(spark, d), counted=t).select(
         "id", "turn_no", "dart_no", "remaining", "status"
     )
 
 
 @query
 def e2_cricket_standings(spark, d):
-    final = corrections.effective_throws(fx.throws(spark, d))
-    return games.cricket_standings(final, fx.games(spark, d))
+    t = fx.throws(spark, d)
+    final = corrections.effective_throws(t)
+    return games.cricket_standings(final, fx.games(spark, d), counted=t)
 
 
 @query
