@@ -7,6 +7,7 @@ size they share one shuffle; see `plans.ordered` for the others.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,19 +37,27 @@ PIECES_PER_STEP = 1000
 # --- turns and totals -------------------------------------------------------
 
 
-def _with_turns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _with_turns(df: DataFrame, keys: Sequence[str], given: bool) -> DataFrame:
     """Add turn_no (0, 1, …) and dart_no (1…3) per `keys`.
 
     A turn ends after three darts or where a given turn id changes. Where no
-    turn ids are given this is floor((n - 1) / 3) over the throws in order.
+    turn ids are `given` this is floor((n - 1) / 3) over the throws in order.
     """
-    one = F.lit(1)
-    df = running(
-        df,
-        keys,
-        ORDER,
-        {"_n": total(one), "_before": previous(F.struct(F.col("turn_id").alias("t")))},
-    )
+    count = total(F.lit(1))
+    if not given:
+        place = F.col("_n") - 1
+        return (
+            running(df, keys, ORDER, {"_n": count})
+            .withColumns(
+                {
+                    "dart_no": (place % DARTS + 1).cast("int"),
+                    "turn_no": F.floor(place / DARTS).cast("bigint"),
+                }
+            )
+            .drop("_n")
+        )
+    before = previous(F.struct(F.col("turn_id").alias("t")))
+    df = running(df, keys, ORDER, {"_n": count, "_before": before})
     opens = F.col("_before").isNull() | ~F.col("_before.t").eqNullSafe(F.col("turn_id"))
     df = running(
         df.withColumn("_open", F.when(opens, F.col("_n"))),
@@ -69,7 +78,10 @@ def _with_turns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def assign_turns(throws: DataFrame) -> DataFrame:
     """Turn and dart number per session and player."""
     keys = ["session_id", "player_id"]
-    return over_groups(throws, ["session_id"], ORDER, lambda df: _with_turns(df, keys))
+    given = not throws.filter(F.col("turn_id").isNotNull()).isEmpty()
+    return over_groups(
+        throws, ["session_id"], ORDER, lambda df: _with_turns(df, keys, given)
+    )
 
 
 def turn_totals(throws: DataFrame) -> DataFrame:
@@ -150,28 +162,50 @@ def asof_game(throws: DataFrame, games: DataFrame, check_hot: bool = True) -> Da
     )
 
 
-def _sizes(throws: DataFrame) -> tuple[bool, bool]:
-    """Whether a session is over-large, and whether a leg can exceed one piece."""
-    per_player = throws.groupBy("session_id", "player_id").agg(F.count(F.lit(1)).alias("n"))
+class _Sizes(NamedTuple):
+    hot: bool
+    long_legs: bool
+    given_turns: bool
+
+
+def _sizes(throws: DataFrame) -> _Sizes:
+    """Whether a session is over-large, a leg can exceed one piece, turn ids are given."""
+    per_player = throws.groupBy("session_id", "player_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("turn_id").alias("given")
+    )
     top = (
         per_player.groupBy("session_id")
-        .agg(F.sum("n").alias("session"), F.max("n").alias("player"))
-        .agg(F.max("session").alias("session"), F.max("player").alias("player"))
+        .agg(
+            F.sum("n").alias("session"), F.max("n").alias("player"), F.max("given").alias("given")
+        )
+        .agg(F.max("session").alias("session"), F.max("player").alias("player"), F.max("given").alias("given"))
         .first()
     )
-    return (top["session"] or 0) > hot_limit(throws), (top["player"] or 0) > TURNS_PER_PIECE
+    return _Sizes(
+        (top["session"] or 0) > hot_limit(throws),
+        (top["player"] or 0) > TURNS_PER_PIECE,
+        (top["given"] or 0) > 0,
+    )
 
 
 def _over_legs(
     throws: DataFrame,
     games: DataFrame,
     game_type: str,
+    columns: Sequence[str],
     hot: bool,
     body: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Apply `body` to the throws of one game type, with their leg."""
-    played = asof_game(throws, games, check_hot=hot).filter(F.col("game_type") == game_type)
-    return over_groups(played, LEG, ORDER, body) if hot else body(played)
+    """Apply `body` to the throws of one game type, with their leg.
+
+    Splitting reads its input several times, so with an over-large session that
+    input is written first, with no more than the rules need.
+    """
+    narrow = throws.select("id", "session_id", "player_id", "captured_at", *columns)
+    if hot:
+        narrow = cut_lineage(narrow)
+    played = asof_game(narrow, games, check_hot=hot).filter(F.col("game_type") == game_type)
+    return over_groups(cut_lineage(played), LEG, ORDER, body) if hot else body(played)
 
 
 # --- X01 --------------------------------------------------------------------
@@ -276,18 +310,19 @@ def x01_states(
     count, such as the stored events where `throws` is a result.
     """
     out_type = _OUT.format(ts=throws.schema["captured_at"].dataType.simpleString())
-    hot, long_legs = _sizes(throws if counted is None else counted)
+    sizes = _sizes(throws if counted is None else counted)
 
     def play(legs: DataFrame) -> DataFrame:
-        return _x01(legs, out_type, long_legs)
+        return _x01(legs, out_type, sizes)
 
-    return _over_legs(throws, games, "X01", hot, play)
+    columns = ["turn_id", "multiplier", "score"]
+    return _over_legs(throws, games, "X01", columns, sizes.hot, play)
 
 
-def _x01(legs: DataFrame, out_type: str, long_legs: bool) -> DataFrame:
+def _x01(legs: DataFrame, out_type: str, sizes: _Sizes) -> DataFrame:
     player = [*LEG, "player_id"]
     pieces = (
-        _with_turns(legs, player)
+        _with_turns(legs, player, sizes.given_turns)
         .select(
             *player,
             "start_score",
@@ -309,7 +344,7 @@ def _x01(legs: DataFrame, out_type: str, long_legs: bool) -> DataFrame:
             F.array_sort(F.collect_list("dart")).alias("darts"),
         )
     )
-    if long_legs:
+    if sizes.long_legs:
         pieces = _with_piece_starts(cut_lineage(pieces), player)
     else:
         pieces = pieces.withColumn("start", F.col("start_score"))
@@ -541,8 +576,9 @@ def cricket_states(
     throws: DataFrame, games: DataFrame, counted: DataFrame | None = None
 ) -> DataFrame:
     """W6 over the Cricket legs of the games in force; `counted` as for X01."""
-    hot, _ = _sizes(throws if counted is None else counted)
-    return _over_legs(throws, games, "Cricket", hot, lambda df: _cricket(df, LEG))
+    hot = _sizes(throws if counted is None else counted).hot
+    columns = ["segment", "multiplier"]
+    return _over_legs(throws, games, "Cricket", columns, hot, lambda df: _cricket(df, LEG))
 
 
 def cricket_standings(
