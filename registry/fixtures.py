@@ -33,8 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files, in event time."""
+    files = (
+        spark.readStream.schema(SCHEMAS["events"])
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    return files.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return with_keys(table(spark, sf_dir, "events"))
+
+
+def with_keys(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "*",
         "cast(regexp_extract(props, '([0-9]+)', 1) AS int) AS k",
         "user_id div 2 AS pair",
@@ -63,7 +77,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def throws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors correct one of the three events before them, or one that is lost."""
-    base = _events(spark, sf_dir).selectExpr(
+    return throws_of(_events(spark, sf_dir))
+
+
+def throws_of(events: DataFrame) -> DataFrame:
+    base = events.selectExpr(
         "cast(event_id AS string) AS id",
         "session_id",
         "player_id",
@@ -99,11 +117,14 @@ def throws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def throws_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Throws with planted faults; some rows come twice."""
+    return dirty_of(throws(spark, sf_dir))
+
+
+def dirty_of(clean: DataFrame) -> DataFrame:
     n = F.col("id").cast("bigint")
     copies = F.when(n % 50 == 0, 2).otherwise(1)
     return (
-        throws(spark, sf_dir)
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+        clean.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
         .drop("_copy")
         .withColumns(
             {
@@ -201,7 +222,11 @@ def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every throw seen from three views."""
-    seen = _events(spark, sf_dir).withColumn(
+    return detections_of(_events(spark, sf_dir))
+
+
+def detections_of(events: DataFrame) -> DataFrame:
+    seen = events.withColumn(
         "view", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
     )
     bx = F.col("x") + (F.col("view") - 1) * F.lit(0.002)
@@ -221,7 +246,11 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select(
+    return frames_of(_events(spark, sf_dir))
+
+
+def frames_of(events: DataFrame) -> DataFrame:
+    return events.select(
         "session_id",
         F.col("event_id").alias("frame_no"),
         F.col("ts").alias("captured_at"),

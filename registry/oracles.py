@@ -686,3 +686,86 @@ ORACLES: dict[str, str] = {
         "ticket",
     ),
 }
+
+# The stream closes what lies before its newest event.
+PARTS["newest"] = "SELECT max(ts) AS at FROM events"
+PARTS["camera"] = "SELECT * FROM thr WHERE correction_of IS NULL"
+_LEG = """
+  SELECT t.*, g.started_at FROM camera t ASOF JOIN game g
+    ON g.session_id = t.session_id AND t.captured_at >= g.started_at
+  WHERE g.game_type = 'Cricket'"""
+NEEDS["camera"] = ["thr"]
+_W2 = ORACLES["w2_detect_throws"]
+_ON_CAMERA = {
+    name: PARTS[name].replace("FROM eff t", "FROM camera t")
+    for name in ("x01_dart", "x01_line", "leg_end")
+}
+_PAYLOAD = ORACLES["p7_to_adapter"]
+
+ORACLES |= {
+    "s1_read_throws": _sql(
+        "SELECT id, session_id, captured_at, x, score, correction_of FROM thr", "thr"
+    ),
+    "s2_stream_throws": _sql(
+        "SELECT id, captured_at, notation, confidence, source FROM thr", "thr"
+    ),
+    "s6_store_throws": _sql(
+        """SELECT CAST(captured_at AS DATE) AS capture_date, count(*) AS throws,
+                  CAST(sum(score) AS BIGINT) AS points FROM thr GROUP BY 1""",
+        "thr",
+    ),
+    "s7_publish": _PAYLOAD,
+    "t1_live_scores": _sql(
+        """SELECT l.session_id, l.started_at, l.player_id, 'X01' AS game_type,
+                  CAST(arg_max(l.remaining, l.n) FILTER (coalesce(d.captured_at <= e.ended, TRUE))
+                       AS INTEGER) AS value,
+                  CAST(count(*) AS INTEGER) AS throws
+           FROM x01_line l JOIN x01_dart d USING (session_id, started_at, player_id, n)
+           LEFT JOIN leg_end e USING (session_id, started_at) GROUP BY 1, 2, 3
+           UNION ALL
+           SELECT session_id, started_at, player_id, 'Cricket',
+                  CAST(sum(CASE WHEN after THEN 0 ELSE points END) AS INTEGER),
+                  CAST(count(*) AS INTEGER)
+           FROM c_state GROUP BY 1, 2, 3""",
+        "camera",
+        "game",
+        extra={**_ON_CAMERA, "leg": _LEG, **_cricket("leg", "session_id, started_at")},
+    ),
+    "t2_once_each": _sql("SELECT id, score, source FROM dirty_once", "dirty_once"),
+    "t3_session_summary": _sql(
+        """SELECT session_id, opened_at, closed_at, throws, points FROM (
+             SELECT session_id, min(captured_at) AS opened_at,
+                    max(captured_at) + INTERVAL 6 HOUR AS closed_at, count(*) AS throws,
+                    CAST(sum(score) AS BIGINT) AS points
+             FROM (SELECT *, sum(CASE WHEN captured_at < was + INTERVAL 6 HOUR THEN 0 ELSE 1 END)
+                          OVER (PARTITION BY session_id ORDER BY captured_at) AS part
+                   FROM (SELECT *, lag(captured_at) OVER (PARTITION BY session_id
+                                                          ORDER BY captured_at) AS was FROM thr))
+             GROUP BY session_id, part), newest
+           WHERE closed_at <= newest.at""",
+        "thr",
+        "newest",
+    ),
+    "t4_live_frame_rate": """
+        WITH hop AS (
+          SELECT event_type AS runtime,
+                 unnest([time_bucket(INTERVAL 30 MINUTE, ts),
+                         time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS window_start
+          FROM events)
+        SELECT runtime, window_start, count(*) AS frames, round(count(*) / 3600e0, 9) AS rate
+        FROM hop WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)
+        GROUP BY 1, 2""",
+    "t5_live_throws": f"""
+        SELECT * FROM ({_W2}) WHERE session_id <>
+          (SELECT 's' || CAST(arg_max(user_id, ts) // 2 AS VARCHAR) FROM events)""",
+    "t6_with_stored_calibration": _sql(
+        f"""SELECT throw_id, CAST(view AS INTEGER) AS view, round({_H[0]} / {_INV}, 9) AS h0
+            FROM det JOIN fwd USING (calibration_id)""",
+        "det",
+        "cal",
+        extra={"fwd": _FORWARD},
+    ),
+    "t7_forward_live": f"""
+        SELECT * FROM ({_PAYLOAD}) WHERE id IN (SELECT id FROM ({ORACLES["j7_authorised"]}))""",
+    "t8_review_queue": ORACLES["p4_route_confidence"],
+}
