@@ -16,7 +16,7 @@ SCORES = (
     "status string, throws int, closed boolean"
 )
 _THROW = (
-    "at bigint, player string, segment int, multiplier int, correction_of string, leg bigint, "
+    "id string, at bigint, player string, segment int, multiplier int, correction_of string, leg bigint, "
     "game string, start int, double_out boolean, turn string"
 )
 
@@ -33,19 +33,24 @@ class _Scoreboard(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.throws = handle.getMapState("throws", "id string", _THROW)
+        # A refold reads all throws of the session, so they are kept as a list
+        # that each batch is appended to at once.
+        self.throws = handle.getListState("throws", _THROW)
+
+    def _stored(self) -> dict[str, tuple]:
+        return {t[0]: tuple(t[1:]) for t in self.throws.get()} if self.throws.exists() else {}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (session,) = key
-        stored = {k[0]: tuple(v) for k, v in self.throws.iterator()}
-        arrived, newest = set(), 0
+        stored = self._stored()
+        arrived, newest = {}, 0
         for batch in rows:
             for r in batch.itertuples(index=False):
                 newest = max(newest, int(r.at))
-                if r.id in stored:
+                if r.id in stored or r.id in arrived:
                     continue
                 given = pd.notna(r.leg)
-                value = (
+                arrived[r.id] = (
                     int(r.at),
                     r.player_id,
                     int(r.segment),
@@ -57,21 +62,19 @@ class _Scoreboard(StatefulProcessor):
                     bool(r.double_out) if given else None,
                     r.turn_id,
                 )
-                self.throws.updateValue((r.id,), value)
-                stored[r.id] = value
-                arrived.add(r.id)
         if not arrived:
             return
+        self.throws.appendList([(id, *value) for id, value in arrived.items()])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(newest // 1000 + self.idle_ms)
-        lines = _score(stored, arrived)
+        lines = _score({**stored, **arrived}, set(arrived))
         if lines:
             yield _frame(session, lines, closed=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (session,) = key
-        stored = {k[0]: tuple(v) for k, v in self.throws.iterator()}
+        stored = self._stored()
         self.throws.clear()
         lines = _score(stored, set(stored))
         if lines:
