@@ -158,19 +158,18 @@ def to_adapter(
 
 
 def dedupe_throws(throws: DataFrame) -> DataFrame:
-    """The first delivery of each id, by time and then payload digest.
+    """The first delivery of each id, by time and then payload hash.
 
     Spark limits each group before the shuffle for `row_number() = 1`, so an id
     that was redelivered very often costs one row per task, not one task.
     """
     payload = [c for c in throws.columns if c not in ("id", "captured_at")]
-    digest = F.sha2(F.to_json(F.struct(*payload)), 256)
-    first = Window.partitionBy("id").orderBy("captured_at", "_digest")
+    first = Window.partitionBy("id").orderBy("captured_at", "_hash")
     return (
-        throws.withColumn("_digest", digest)
+        throws.withColumn("_hash", F.xxhash64(*payload))
         .withColumn("_n", F.row_number().over(first))
         .filter(F.col("_n") == 1)
-        .drop("_n", "_digest")
+        .drop("_n", "_hash")
     )
 
 

@@ -32,6 +32,8 @@ DARTS = 3
 TURNS_PER_PIECE = 100
 # Pieces whose effects are chained in one row.
 PIECES_PER_STEP = 1000
+# Throws that a caller's rules fold in one row.
+THROWS_PER_FOLD = 100_000
 
 
 # --- turns and totals -------------------------------------------------------
@@ -469,13 +471,49 @@ def fold_game(
 ) -> DataFrame:
     """Fold the throws of each group in order with the rules of another game.
 
-    `init`, `step` and `finish` are column expressions. The throws of one group
-    are put into one row; a game whose legs can be larger needs rules that
-    chain, as X01 has above.
+    `init`, `step` and `finish` are column expressions over a state of one type.
+    At most `THROWS_PER_FOLD` throws are put into one row. A longer group is
+    folded one such piece after the other, each from the state the last one
+    left; other groups are not held up by it, as each round only has the groups
+    that go on.
     """
+    finish = finish or (lambda state: state)
     dart = F.struct(*ORDER, *columns)
-    groups = throws.groupBy(*keys).agg(F.array_sort(F.collect_list(dart)).alias("_darts"))
-    return groups.select(*keys, F.aggregate("_darts", init(), step, finish).alias("state"))
+
+    def number(df: DataFrame) -> DataFrame:
+        return running(df, keys, ORDER, {"_n": total(F.lit(1))})
+
+    def fold(groups: DataFrame, start: Column) -> DataFrame:
+        darts = F.array_sort(F.collect_list("_dart"))
+        rows = groups.groupBy(*keys).agg(darts.alias("_darts"), F.first("_start").alias("_start"))
+        return rows.select(*keys, F.aggregate("_darts", start, step).alias("_state"))
+
+    rows = over_groups(throws.select(*keys, *{*ORDER, *columns} - {*keys}), keys, ORDER, number)
+    rows = rows.select(
+        *keys,
+        F.floor((F.col("_n") - 1) / THROWS_PER_FOLD).alias("_piece"),
+        dart.alias("_dart"),
+    )
+    sizes = throws.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    last = ((sizes.first()["n"] or 0) - 1) // THROWS_PER_FOLD
+    if last > 0:
+        rows = cut_lineage(rows)
+    first = rows.filter(F.col("_piece") == 0) if last > 0 else rows
+    state = fold(first.withColumn("_start", F.lit(None)), init())
+    done = None
+    for piece in range(1, last + 1):
+        state = cut_lineage(state)
+        started = state.select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_state").alias("_start")
+        )
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        more = rows.filter(F.col("_piece") == piece).join(started, same)
+        going = more.select(*keys).distinct().select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+        over = state.join(going, same, "left_anti")
+        done = over if done is None else done.unionByName(over)
+        state = fold(more, F.col("_start"))
+    whole = state if done is None else done.unionByName(state)
+    return whole.select(*keys, finish(F.col("_state")).alias("state"))
 
 
 # --- Cricket ----------------------------------------------------------------

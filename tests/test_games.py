@@ -222,15 +222,30 @@ def test_shuffled_rows_change_nothing(spark):
     assert sorted(r.only_in for r in games.replay_diff(a, changed).collect()) == ["a", "b"]
 
 
-def test_fold_another_game(spark):
-    rows = [make.throw(i, w, player=p) for i, (p, w) in enumerate([("a", "T20"), ("b", "S1"), ("a", "D1")])]
+@pytest.mark.parametrize("size", [100_000, 4])
+@pytest.mark.parametrize("large", [False, True])
+def test_fold_another_game(spark, request, monkeypatch, size, large):
+    if large:
+        request.getfixturevalue("hot")
+    monkeypatch.setattr(games, "THROWS_PER_FOLD", size)
+    rng = random.Random(6)
+    rows = [make.throw(i, rng.choice(["S1", "S5", "T20", "MISS"]), player=rng.choice("aaab")) for i in range(40)]
     found = games.fold_game(
         make.table(spark, rows),
         ["session_id", "player_id"],
-        lambda: F.lit(100),
-        lambda left, dart: F.greatest(left - dart["score"], F.lit(0)),
+        lambda: F.struct(F.lit(300).alias("left"), F.lit("").alias("path")),
+        lambda s, dart: F.struct(
+            F.greatest(s["left"] - dart["score"], F.lit(0)).alias("left"),
+            F.concat(s["path"], dart["id"], F.lit(" ")).alias("path"),
+        ),
+        lambda s: F.concat(s["path"], s["left"].cast("string")),
     )
-    assert {r.player_id: r.state for r in found.collect()} == {"a": 38, "b": 99}
+    expected = {}
+    for p in "ab":
+        mine = [r for r in rows if r["player_id"] == p]
+        left = max(300 - sum(r["score"] for r in mine), 0)
+        expected[p] = "".join(r["id"] + " " for r in mine) + str(left)
+    assert {r.player_id: r.state for r in found.collect()} == expected
 
 
 def test_scoreboard(spark):
