@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ocheline.plans.storage import cut_lineage
 
-LIMIT_SETTING = "ocheline.hotGroupRows"
+LIMIT_SETTING = "spark.ocheline.hotGroupRows"
 DEFAULT_LIMIT = 2_000_000
 CHUNK = "_chunk"
 # Hot groups hold more than `limit` rows each, so there are few of them; above
