@@ -12,6 +12,14 @@ from ocheline.sources import outbox
 from ocheline.streaming import live, sources
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of a stateful stream opens a store of its own."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 class Feed:
     """A folder of event files, added to batch by batch."""
 
