@@ -2,19 +2,89 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocheline.llm import ftrl, secrets, unigram, vptree, wu_manber
+from ocheline.llm import (
+    ftrl,
+    kd_shards,
+    phrases,
+    pstable,
+    secrets,
+    simple8b,
+    unigram,
+    url_trust,
+    vptree,
+    wu_manber,
+)
+from ocheline.plans.storage import shared_folder
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
+SHARDS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow or block each page's url, by rule or by the trust of its host."""
+    return url_trust.judge(table(spark, sf_dir, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict", "trust", "distrust"
+    )
+
+
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes by a k-d tree over length, script and language."""
+    text = F.coalesce("text", F.lit(""))
+    size = F.octet_length(text).cast("long")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (size + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.log(1.0 + F.col("n_chars")).alias("length"),
+        ((size + 1) / (F.length(text) + 1)).alias("script"),
+        F.crc32(F.coalesce("lang", F.lit("")).cast("binary")).alias("language"),
+    )
+    dealt = kd_shards.kd_shards(rows, "size", ("length", "script", "language"), shards=SHARDS)
+    return dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, written as Simple-8b blocks and read back."""
+    path = f"{shared_folder(spark)}/simple8b-{uuid.uuid4().hex}"
+    with open(BYTE_BPE, encoding="utf-8") as f:
+        simple8b.write_ids(table(spark, sf_dir, "documents"), path, f.read(), END_ID)
+    return simple8b.read_ids(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op4_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.93 or more within a label."""
+    return pstable.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without the windows that recur anywhere."""
+    return phrases.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, decoded again."""
     return unigram.round_trip(table(spark, sf_dir, "documents"), unigram.load(PIECES))
@@ -54,6 +124,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_url_trust,
+        op2_kd_shards,
+        op3_simple8b,
+        op4_pstable,
+        op5_phrases,
         op6_sentencepiece,
         op7_wu_manber,
         op8_vptree,
@@ -108,6 +183,38 @@ FROM texts LEFT JOIN lists USING (doc_id)"""
 
 
 ORACLES = {
+    "op4_pstable": """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND len([x FOR x IN embedding IF isfinite(x)]) = len(embedding)
+        AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b USING (label)
+    WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
+FROM embeddings JOIN roots ON roots.a = vec_id LEFT JOIN counts ON counts.a = vec_id""",
+    "op5_phrases": r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS phrase
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)),
+repeats AS (SELECT phrase FROM places GROUP BY phrase HAVING count(*) > 1),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i
+    FROM places SEMI JOIN repeats USING (phrase)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+    FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+    sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)""",
     "op7_wu_manber": r"""
 WITH docs AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),

@@ -153,3 +153,18 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     np.add.at(steps, starts, 1)
     np.subtract.at(steps, starts + lengths, 1)
     return np.cumsum(steps[:-1]) > 0
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A batch as compressed bytes, to travel through a shuffle as one value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(
+        sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")
+    ) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(raw: bytes) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(raw) as reader:
+        yield from reader
