@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,11 +87,8 @@ class Bucket:
         self.copies = batch.column("copies").to_numpy()
         self.tile = batch.column("tile").to_numpy()
         self.table = batch.column("tab").to_numpy()
-        raw = batch.column("vector")
-        sizes = raw.cast(pa.large_binary()).buffers()[1]
-        offsets = np.frombuffer(sizes, np.int64)[raw.offset : raw.offset + len(raw) + 1]
-        self.size = (offsets[1:] - offsets[:-1]) // 8
-        self.raw = raw
+        self.raw = batch.column("vector")
+        self.size = pc.binary_length(self.raw).to_numpy() // 8
         self.codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint64).reshape(-1, TABLES)
 
     def vectors(self, s: int, e: int) -> np.ndarray:
@@ -236,7 +234,7 @@ def near_vectors(
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column("vector")
-            sizes = pa.compute.binary_length(raws).to_numpy() // 8
+            sizes = pc.binary_length(raws).to_numpy() // 8
             labels, keys = batch.column("label").to_numpy(), batch.column("key").to_numpy()
             for size in np.unique(sizes):
                 every = np.flatnonzero(sizes == size)

@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allow or block each page's url, by rule or by the trust of its host."""
     return url_trust.judge(table(spark, sf_dir, "pages")).select(
-        "page_id", "host", "path", "rule", "verdict", "trust", "distrust"
+        "page_id", "host", "path", "rule", "verdict"
     )
 
 
@@ -182,7 +182,63 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM texts LEFT JOIN lists USING (doc_id)"""
 
 
+
+def _op1_sql() -> str:
+    """The rounds of trust (links as they are) and distrust (links turned round), one CTE each."""
+    low = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    fits = [
+        f"WHEN (h = '{r.host}' OR ends_with(h, '.{r.host}')) AND starts_with(p, '{r.path}') THEN "
+        for r in sorted(url_trust.RULES, key=lambda r: (-len(r.text), r.text))
+    ]
+    by_text = sorted(url_trust.RULES, key=lambda r: (-len(r.text), r.text))
+    rule = " ".join(f"{f}'{r.text}'" for f, r in zip(fits, by_text))
+    verdict = " ".join(f"{f}'{r.verdict}'" for f, r in zip(fits, by_text))
+    rounds = []
+    for name, seed, a, b in (("t", "allow", "src", "dst"), ("d", "block", "dst", "src")):
+        rounds.append(
+            f"""{name}_out AS (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS share
+    FROM links),
+{name}0 AS MATERIALIZED (SELECT h, count(*) / sum(count(*)) OVER () AS s FROM judged
+    WHERE h <> '' AND v = '{seed}' GROUP BY h)"""
+        )
+        for k in range(1, url_trust.ROUNDS + 1):
+            rounds.append(
+                f"""{name}{k} AS MATERIALIZED (SELECT h, sum(s) AS s FROM (
+    SELECT b AS h, s * share * {url_trust.DAMPING} AS s FROM {name}{k - 1} JOIN {name}_out ON a = h
+    UNION ALL SELECT h, s * (1 - {url_trust.DAMPING}) FROM {name}0) GROUP BY h)"""
+            )
+    last = url_trust.ROUNDS
+    return f"""
+WITH parsed AS (
+    SELECT page_id, coalesce(html, '') AS html,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {low}) AS h,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p FROM pages),
+judged AS MATERIALIZED (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS v FROM parsed),
+hrefs AS (
+    SELECT h, unnest(regexp_extract_all(html,
+        '(?i)href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]+)', 1)) AS href FROM judged),
+chain AS (
+    SELECT DISTINCT array_to_string(l[k:], '.') AS h
+    FROM (SELECT l, unnest(range(1, len(l) + 1)) AS k
+        FROM (SELECT DISTINCT string_split(h, '.') AS l FROM judged))),
+sites AS (
+    SELECT h AS a, regexp_replace(h, '^[^.]*\\.', '') AS b FROM chain
+    WHERE contains(h, '.') AND contains(regexp_replace(h, '^[^.]*\\.', ''), '.')),
+links AS MATERIALIZED (
+    SELECT src, dst, count(*) AS n FROM (
+        SELECT h AS src, translate(regexp_extract(CASE WHEN starts_with(href, '//')
+            THEN 'x:' || href ELSE href END, '(?s)^.*?://([^/?#]*)', 1), {low}) AS dst FROM hrefs
+        UNION ALL SELECT a, b FROM sites UNION ALL SELECT b, a FROM sites)
+    WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+{", ".join(rounds)}
+SELECT page_id, judged.h AS host, p AS path, rule, coalesce(v, CASE
+    WHEN coalesce(d{last}.s, 0) > {url_trust.THRESHOLD} AND coalesce(d{last}.s, 0) > coalesce(t{last}.s, 0)
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN t{last} ON t{last}.h = judged.h LEFT JOIN d{last} ON d{last}.h = judged.h"""
+
+
 ORACLES = {
+    "op1_url_trust": _op1_sql(),
     "op4_pstable": """
 WITH RECURSIVE usable AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings

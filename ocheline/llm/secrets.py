@@ -203,12 +203,14 @@ def with_spans(
     result = unused(docs, "_spans")
     indexed = {r.kind for r in rules if trigram_query(r.pattern)}
     found = candidates(docs, rules, id_col, text_col)
+    held = unused(docs, "_rules")
+    found = found.withColumnRenamed("_rules", held)
     joined = docs.join(found, docs[id_col].eqNullSafe(found["_cid"]), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     each = []
     for rank, rule in enumerate(rules):
         run = (
-            F.coalesce(F.array_contains("_rules", rule.kind), F.lit(False))
+            F.coalesce(F.array_contains(held, rule.kind), F.lit(False))
             if rule.kind in indexed
             else F.lit(True)
         )

@@ -178,8 +178,9 @@ def shard_links(fps: np.ndarray, guest: np.ndarray, reach: int) -> tuple[np.ndar
 def hamming_links(prints: DataFrame, reach: int = RADIUS) -> DataFrame:
     """Links (a, b) that connect what fingerprints within `reach` bits connect.
 
-    `prints` has one column fp of distinct longs. The links are a subset of the
-    true pairs with the same connected components. Shards grow in number with
+    `prints` has one column fp of distinct longs. The links join each print to
+    the smallest of those it hangs together with in a shard; their connected
+    components are those of all true pairs. Shards grow in number with
     the input; the tree is broadcast, with at most 2^MAX_DEPTH nodes.
     """
     total = prints.count()
