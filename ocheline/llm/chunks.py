@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # A task forgets its chunks beyond this number, so that its memory is bounded.
-MAX_CHUNKS = 1_500_000
+MAX_CHUNKS = 400_000
 
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
