@@ -111,11 +111,13 @@ def resolve_corrections(throws: DataFrame) -> DataFrame:
 
 def _with_finals(throws: DataFrame) -> DataFrame:
     """Originals with the event in force (`final_id`) and its values (`final`)."""
-    ends = resolve_corrections(throws).filter(F.col("status") == "resolved")
+    # Chains that hang on a lost or a losing event have a root that is no
+    # original, so the join with the originals leaves them out.
+    ends = follow_chains(throws).links.groupBy("root").agg(F.max_by("id", "step").alias("final_id"))
     finals = (
         throws.filter(F.col("correction_of").isNotNull())
         .select(F.col("id").alias("final_id"), F.struct(*VALUE).alias("final"))
-        .join(ends.select("root", "final_id"), "final_id")
+        .join(ends, "final_id")
     )
     originals = throws.filter(F.col("correction_of").isNull())
     joined = originals.join(finals, F.col("id") == F.col("root"), "left")

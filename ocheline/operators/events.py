@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ocheline.functions import board, rules
 from ocheline.schemas import THROW_EVENT
@@ -29,13 +30,35 @@ def split_valid(throws: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def vendor_leak(raw: DataFrame, json_column: str, allowed: Sequence[str] | None = None) -> DataFrame:
-    """Top-level fields of a raw JSON event that the contract does not know."""
+    """Fields of a raw JSON event that the contract does not know, nested ones by path.
+
+    `allowed` names top-level fields; without it the contract is THROW_EVENT,
+    whose objects are looked into as well ('impact.vendorField').
+    """
     names = list(allowed) if allowed is not None else THROW_EVENT.fieldNames()
-    found = F.map_keys(F.from_json(F.col(json_column), "map<string,string>"))
-    leaked = F.array_sort(F.array_except(found, F.array(*[F.lit(n) for n in names])))
+    top = F.from_json(F.col(json_column), "map<string,string>")
+
+    def unknown(fields: Column, known: Sequence[str]) -> Column:
+        keys = F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
+        return F.array_except(keys, F.array(*[F.lit(n) for n in known]))
+
+    found = [unknown(top, names)]
+    for field in THROW_EVENT.fields if allowed is None else ():
+        if isinstance(field.dataType, T.StructType):
+            inner = F.from_json(top[field.name], "map<string,string>")
+            found.append(
+                F.transform(
+                    unknown(inner, field.dataType.fieldNames()), _prefixed(field.name)
+                )
+            )
+    leaked = F.array_sort(F.concat(*found))
     return raw.withColumn("leaked", leaked).filter(F.size("leaked") > 0)
 
 
+def _prefixed(name: str) -> Callable[[Column], Column]:
+    return lambda key: F.concat(F.lit(f"{name}."), key)
+
+
 def route_confidence(throws: DataFrame, threshold: float = 0.5) -> DataFrame:
     """P4: 'review' below the threshold or without a confidence, else 'accept'."""
     accepted = F.col("confidence") >= F.lit(float(threshold))
@@ -105,7 +128,7 @@ def nest_throws(throws: DataFrame) -> DataFrame:
 
 def captured_instant(text: Column) -> Column:
     """ISO-8601 to an instant; a time without offset is UTC. Null if it is neither."""
-    has_zone = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    has_zone = text.rlike(r"[T ]\d{1,2}:.*(Z|[+-]\d{2}(:?\d{2})?)$")
     return F.try_to_timestamp(F.when(has_zone, text).otherwise(F.concat(text, F.lit("Z"))))
 
 
@@ -130,6 +153,16 @@ def flatten_throws(events: DataFrame) -> DataFrame:
     )
 
 
+def adapter_fields(
+    mapping: DataFrame | Sequence[tuple[str, str]], adapter: str
+) -> list[tuple[str, str]]:
+    """The (canonical, vendor) names of one adapter."""
+    if not isinstance(mapping, DataFrame):
+        return list(mapping)
+    rows = mapping.filter(F.col("adapter") == adapter).select("canonical", "vendor").distinct()
+    return sorted((r["canonical"], r["vendor"]) for r in rows.collect())
+
+
 def to_adapter(
     throws: DataFrame,
     mapping: DataFrame | Sequence[tuple[str, str]],
@@ -139,15 +172,13 @@ def to_adapter(
     """The fields an adapter wants, under its names, as JSON; `keep` is passed on.
 
     `mapping` has rows (adapter, canonical, vendor), or is the list of pairs
-    itself. It names columns of one table, so it is read on the driver.
+    itself. It names columns of one table, so it is read on the driver; a name
+    that is no column is an error.
     """
-    if isinstance(mapping, DataFrame):
-        rows = mapping.filter(F.col("adapter") == adapter).filter(
-            F.col("canonical").isin(*throws.columns)
-        )
-        pairs = sorted((r["canonical"], r["vendor"]) for r in rows.distinct().collect())
-    else:
-        pairs = list(mapping)
+    pairs = adapter_fields(mapping, adapter)
+    unknown = sorted({canonical for canonical, _ in pairs} - set(throws.columns))
+    if unknown:
+        raise ValueError(f"the mapping of {adapter} names unknown columns: {', '.join(unknown)}")
     fields = [F.col(canonical).alias(vendor) for canonical, vendor in pairs]
     return throws.select(
         F.lit(adapter).alias("adapter"),

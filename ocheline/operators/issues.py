@@ -33,6 +33,10 @@ def _parent_line() -> Column:
     return F.regexp_extract(F.col("body"), PARENT, 1).try_cast("bigint")
 
 
+def _parent() -> Column:
+    return F.coalesce("native_parent", _parent_line())
+
+
 def _blocker_numbers() -> Column:
     listed = F.regexp_extract(F.col("body"), BLOCKED, 1)
     numbers = F.regexp_extract_all(listed, F.lit(r"#(\d+)"), F.lit(1))
@@ -75,8 +79,7 @@ def map_sections(issues: DataFrame) -> DataFrame:
 
 def parents(issues: DataFrame) -> DataFrame:
     """Parent edge of each issue: the native one, else the body line."""
-    parent = F.coalesce("native_parent", _parent_line())
-    return issues.select(*TICKET, parent.alias("parent")).filter(F.col("parent").isNotNull())
+    return issues.select(*TICKET, _parent().alias("parent")).filter(F.col("parent").isNotNull())
 
 
 def blocking_edges(issues: DataFrame) -> DataFrame:
@@ -118,7 +121,7 @@ def claim_audit(issues: DataFrame, activity: DataFrame) -> DataFrame:
 
 
 def map_decisions(issues: DataFrame) -> DataFrame:
-    """Entries under 'Decisions so far' of each map, with the tickets they link."""
+    """Entries under 'Decisions so far' of each map, with the ticket each is about."""
     # The section up to the next heading, then its bullets with what is indented below.
     section = F.regexp_extract(
         F.col("body"), r"(?ms)^## Decisions so far[ \t]*$(.*?)(?=^## |\z)", 1
@@ -127,8 +130,10 @@ def map_decisions(issues: DataFrame) -> DataFrame:
     maps = classify_issues(issues).filter(F.col("kind") == "map")
     lines = maps.select("repo", F.col("number").alias("parent"), F.explode(entries).alias("entry"))
     linked = F.regexp_extract_all(F.col("entry"), F.lit(r"#(\d+)"), F.lit(1))
-    numbers = F.transform(F.array_distinct(linked), lambda n: n.try_cast("bigint"))
-    return lines.withColumn("number", F.explode(numbers))
+    # An entry is about the ticket it links first; others are mentioned.
+    return lines.withColumn("number", F.get(linked, F.lit(0)).try_cast("bigint")).filter(
+        F.col("number").isNotNull()
+    )
 
 
 def resolution_audit(issues: DataFrame, comments: DataFrame) -> DataFrame:
@@ -138,10 +143,7 @@ def resolution_audit(issues: DataFrame, comments: DataFrame) -> DataFrame:
     'pasted': an entry holds a whole resolution of the ticket.
     """
     closed = (
-        tickets(issues)
-        .filter(F.col("state") == "closed")
-        .select(*TICKET)
-        .join(parents(issues), TICKET, "left")
+        tickets(issues).filter(F.col("state") == "closed").select(*TICKET, _parent().alias("parent"))
     )
     resolutions = (
         comments.filter(F.col("kind") == "resolution")
@@ -181,10 +183,10 @@ def branch_audit(branches: DataFrame, prototypes: DataFrame | None = None) -> Da
 
 def map_progress(issues: DataFrame) -> DataFrame:
     """Open and closed tickets per map, and whether the map is settled."""
-    edges = parents(tickets(issues))
-    state = issues.select(*TICKET, "state")
     return (
-        edges.join(state, TICKET)
+        tickets(issues)
+        .select("repo", _parent().alias("parent"), "state")
+        .filter(F.col("parent").isNotNull())
         .groupBy("repo", "parent")
         .agg(
             F.count(F.lit(1)).alias("tickets"),

@@ -8,29 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ocheline.operators.vision import micros
 
-# Resolution of the impact error, in board radii.
-ERROR_GRID = 1e-4
-# Resolution of the latency, in milliseconds.
-LATENCY_GRID = 1e-2
-
 
 def accuracy_report(pairs: DataFrame, conditions: DataFrame) -> DataFrame:
     """Agreement by lighting, board and dart, with subtotals.
 
     Pairs are counted per session before the join, and per condition before the
-    rollup, so neither sees the single throws.
+    rollup, so neither sees the single throws. Sessions of unknown conditions
+    are lines with null conditions, told from subtotals by `level`.
     """
     per_session = pairs.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("agree").alias("n_agree")
     )
     dims = ["lighting", "board", "dart"]
     finest = (
-        per_session.join(conditions, "session_id")
+        per_session.join(conditions, "session_id", "left")
         .groupBy(*dims)
         .agg(F.sum("n").alias("n"), F.sum("n_agree").alias("n_agree"))
     )
@@ -63,22 +59,39 @@ def confusion_matrix(pairs: DataFrame, segments: Sequence[int]) -> DataFrame:
     )
 
 
-def impact_error(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _counted(value: Column, resolution: float | None) -> Column:
+    """The value itself, or rounded to a multiple of `resolution`."""
+    if resolution is None:
+        return value
+    return F.round(value / F.lit(resolution)) * F.lit(resolution)
+
+
+def impact_error(
+    pairs: DataFrame,
+    by: Sequence[str] = (),
+    corrected_only: bool = True,
+    resolution: float | None = None,
+) -> DataFrame:
     """Median and 95th percentile of the distance between detected and corrected.
 
-    Distances are counted on a fine grid first, which bounds what the exact
-    percentile has to hold however many throws there are.
+    With `corrected_only` pairs whose detection stands are left out. Distances
+    are counted before the percentiles are taken. These are exact and hold one
+    entry for each different distance; a `resolution` in board radii bounds
+    that number and makes them approximate. `largest` is exact either way.
     """
+    if corrected_only:
+        pairs = pairs.filter(F.col("final_id") != F.col("id"))
     distance = F.hypot(
         F.col("detected_x") - F.col("corrected_x"), F.col("detected_y") - F.col("corrected_y")
     )
-    steps = F.round(distance / F.lit(ERROR_GRID)).cast("bigint")
-    counted = pairs.groupBy(*by, steps.alias("steps")).agg(F.count(F.lit(1)).alias("n"))
+    counted = pairs.groupBy(*by, _counted(distance, resolution).alias("_d")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(distance).alias("top")
+    )
     return counted.groupBy(*by).agg(
         F.sum("n").alias("throws"),
-        (F.percentile("steps", F.lit(0.5), F.col("n")) * ERROR_GRID).alias("p50"),
-        (F.percentile("steps", F.lit(0.95), F.col("n")) * ERROR_GRID).alias("p95"),
-        (F.max("steps") * F.lit(ERROR_GRID)).alias("largest"),
+        F.percentile("_d", F.lit(0.5), F.col("n")).alias("p50"),
+        F.percentile("_d", F.lit(0.95), F.col("n")).alias("p95"),
+        F.max("top").alias("largest"),
     )
 
 
@@ -169,25 +182,28 @@ def calibration_friction(attempts: DataFrame) -> DataFrame:
     )
 
 
-def runtime_report(frames: DataFrame, width: str = "1 minute") -> DataFrame:
+def runtime_report(
+    frames: DataFrame, width: str = "1 minute", resolution: float | None = None
+) -> DataFrame:
     """Frames per second and latency by runtime and time window.
 
-    Latencies are counted at a fixed resolution first, as in `impact_error`.
-    Battery use is averaged where the frames carry it (`battery_mw`).
+    `width` is an interval as Spark reads it. Latencies are counted first, at
+    `resolution` milliseconds if given, as in `impact_error`. Battery use is
+    averaged where the frames carry it (`battery_mw`).
     """
-    steps = F.round(F.col("latency_ms") / F.lit(LATENCY_GRID)).cast("bigint")
+    latency = _counted(F.col("latency_ms"), resolution)
     battery = [c for c in ("battery_mw",) if c in frames.columns]
     keys = ["runtime", "w"]
     counted = frames.groupBy(
-        "runtime", F.window("captured_at", width).alias("w"), steps.alias("steps")
+        "runtime", F.window("captured_at", width).alias("w"), latency.alias("_ms")
     ).agg(F.count(F.lit(1)).alias("n"), *[F.sum(b).alias(b) for b in battery])
-    seconds = F.lit(_seconds(width))
+    seconds = (micros(F.col("w.end")) - micros(F.col("w.start"))) / F.lit(1e6)
     return (
         counted.groupBy(*keys)
         .agg(
             F.sum("n").alias("frames"),
-            (F.percentile("steps", F.lit(0.5), F.col("n")) * LATENCY_GRID).alias("latency_p50"),
-            (F.percentile("steps", F.lit(0.95), F.col("n")) * LATENCY_GRID).alias("latency_p95"),
+            F.percentile("_ms", F.lit(0.5), F.col("n")).alias("latency_p50"),
+            F.percentile("_ms", F.lit(0.95), F.col("n")).alias("latency_p95"),
             *[(F.sum(b) / F.sum("n")).alias(b) for b in battery],
         )
         .select(
@@ -202,11 +218,6 @@ def runtime_report(frames: DataFrame, width: str = "1 minute") -> DataFrame:
     )
 
 
-def _seconds(width: str) -> float:
-    number, unit = width.split()
-    return float(number) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[unit[0]]
-
-
 def worst_segments(pairs: DataFrame, k: int) -> DataFrame:
     """The k segments with the highest share of corrected detections."""
     return (

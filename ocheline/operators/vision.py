@@ -31,6 +31,22 @@ def visible_frames(
     )
 
 
+def usable_frames(
+    frames: DataFrame,
+    landmarks: DataFrame,
+    expected: Sequence[str] = LANDMARK_NAMES,
+    keys: Sequence[str] = ("session_id", "frame_no"),
+) -> DataFrame:
+    """P5: the frames, as they are, in which every expected landmark was found."""
+    found = (
+        landmarks.filter(F.col("name").isin(*expected))
+        .groupBy(*keys)
+        .agg(F.count_distinct("name").alias("_n"))
+        .filter(F.col("_n") == len(set(expected)))
+    )
+    return frames.join(found.select(*keys), list(keys), "left_semi")
+
+
 def _moments() -> list[Column]:
     """Sums over landmarks that make up the least-squares system."""
     one = F.lit(1.0)

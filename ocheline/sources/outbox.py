@@ -6,37 +6,51 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OUTBOX = "id string, payload string, capture_date date, adapter string"
+OUTBOX = "id string, payload string, captured_at {ts}, adapter string, bucket int"
+# Ids are dealt out to so many folders of an adapter, so a small delivery reads few.
+BUCKETS = 64
 
 
-def delivered(spark: SparkSession, path: str) -> DataFrame:
-    """Events already in the outbox; none if there is no outbox yet."""
+def delivered(spark: SparkSession, path: str, ts: str = "timestamp_ntz") -> DataFrame:
+    """Events already in the outbox; none if there is no outbox yet.
+
+    `ts` is the type of `captured_at` in the delivered events.
+    """
+    schema = OUTBOX.format(ts=ts)
     try:
-        return spark.read.schema(OUTBOX).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], OUTBOX)
+        return spark.createDataFrame([], schema)
 
 
 def publish(events: DataFrame, path: str) -> None:
     """Append the events (adapter, id, payload, captured_at) not yet delivered.
 
-    Repeating a delivery, in whole or in part, adds nothing. Only the days that
-    occur in `events` are read back from the outbox.
+    Repeating a delivery, in whole or in part, adds nothing, also with another
+    time. Of several rows of one id the first by (captured_at, payload) counts.
+    Only the buckets that occur in `events` are read back from the outbox.
     """
-    fresh = events.withColumn("capture_date", F.to_date("captured_at")).drop("captured_at")
-    fresh = fresh.dropDuplicates(["adapter", "id"])
-    days = fresh.select("adapter", "capture_date").distinct()
+    first = F.min(F.struct("captured_at", "payload"))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+    fresh = (
+        events.groupBy("adapter", "id")
+        .agg(first.alias("_first"))
+        .select("adapter", bucket.alias("bucket"), "id", "_first.payload", "_first.captured_at")
+    )
+    ts = events.schema["captured_at"].dataType.simpleString()
+    # At most BUCKETS rows for each adapter.
+    touched = fresh.select("adapter", "bucket").distinct()
     known = (
-        delivered(events.sparkSession, path)
-        .join(days, ["adapter", "capture_date"], "left_semi")
-        .select("adapter", "capture_date", "id")
+        delivered(events.sparkSession, path, ts)
+        .join(touched, ["adapter", "bucket"], "left_semi")
+        .select("adapter", "bucket", "id")
     )
     (
-        fresh.join(known, ["adapter", "capture_date", "id"], "left_anti")
-        .hint("rebalance", "adapter", "capture_date")
-        .write.partitionBy("adapter", "capture_date")
+        fresh.join(known, ["adapter", "bucket", "id"], "left_anti")
+        .hint("rebalance", "adapter", "bucket")
+        .write.partitionBy("adapter", "bucket")
         .mode("append")
         .parquet(path)
     )

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ocheline.plans.storage import cut_lineage
 from ocheline.streaming import rules
 
 SCORES = (
     "session_id string, started_at timestamp, game_type string, player_id string, value int, "
     "status string, throws int, closed boolean"
 )
+_CLOSED = "leg bigint, game string, start int, double_out boolean, saved string"
 _THROW = (
     "id string, at bigint, player string, segment int, multiplier int, correction_of string, leg bigint, "
     "game string, start int, double_out boolean, turn string"
@@ -26,24 +28,35 @@ def _instant(micros: int | None):
 
 
 class _Scoreboard(StatefulProcessor):
-    """Keeps the throws of a session; what arrives re-scores the legs it touches."""
+    """Keeps the throws of an open session; what arrives re-scores the legs it touches.
+
+    When the session is closed its legs are put away as they stand and the
+    throws are dropped, so the state of a closed session is a line per leg and
+    player. Throws that come later go on from there.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # A refold reads all throws of the session, so they are kept as a list
+        # A refold reads all throws of the open legs, so they are kept as a list
         # that each batch is appended to at once.
         self.throws = handle.getListState("throws", _THROW)
+        self.newest = handle.getValueState("newest", "at bigint")
+        self.closed = handle.getListState("closed", _CLOSED)
 
     def _stored(self) -> dict[str, tuple]:
         return {t[0]: tuple(t[1:]) for t in self.throws.get()} if self.throws.exists() else {}
 
+    def _saved(self) -> dict[int, tuple]:
+        return {c[0]: tuple(c[1:]) for c in self.closed.get()} if self.closed.exists() else {}
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (session,) = key
         stored = self._stored()
-        arrived, newest = {}, 0
+        arrived = {}
+        newest = self.newest.get()[0] if self.newest.exists() else 0
         for batch in rows:
             for r in batch.itertuples(index=False):
                 newest = max(newest, int(r.at))
@@ -65,27 +78,37 @@ class _Scoreboard(StatefulProcessor):
         if not arrived:
             return
         self.throws.appendList([(id, *value) for id, value in arrived.items()])
+        self.newest.update((newest,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(newest // 1000 + self.idle_ms)
-        lines = _score({**stored, **arrived}, set(arrived))
-        if lines:
-            yield _frame(session, lines, closed=False)
+        legs = _score({**stored, **arrived}, set(arrived), self._saved())
+        if legs:
+            yield _frame(session, legs, closed=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (session,) = key
         stored = self._stored()
+        saved = self._saved()
         self.throws.clear()
-        lines = _score(stored, set(stored))
-        if lines:
-            yield _frame(session, lines, closed=True)
+        legs = _score(stored, set(stored), saved)
+        for leg, game, start, double_out, state in legs:
+            saved[leg] = (game, start, double_out, state.saved())
+        if saved:
+            self.closed.put([(leg, *rest) for leg, rest in saved.items()])
+        if legs:
+            yield _frame(session, legs, closed=True)
 
     def close(self) -> None:
         pass
 
 
-def _score(stored: dict, arrived: set) -> list[tuple]:
-    """Score the legs that `arrived` belongs to, corrections in the place of their originals."""
+def _score(stored: dict, arrived: set, saved: dict) -> list[tuple]:
+    """(leg, game, start, double out, state) of the legs that `arrived` belongs to.
+
+    Corrections stand in the place of their originals; a leg that was put away
+    is taken up from there.
+    """
     last: dict[str, str] = {}
     for id, v in stored.items():
         if v[4] is not None and (v[4] not in last or (v[0], id) > (stored[last[v[4]]][0], last[v[4]])):
@@ -106,11 +129,11 @@ def _score(stored: dict, arrived: set) -> list[tuple]:
         return stored[id]
 
     touched = {stored[r][5] for r in map(root_of, arrived) if r is not None}
-    lines = []
     legs: dict[int, list] = {}
     for id, v in stored.items():
         if v[4] is None and v[5] is not None and v[5] in touched:
             legs.setdefault(v[5], []).append((v[0], id))
+    scored = []
     for leg, members in legs.items():
         members.sort()
         game, start, double_out = stored[members[0][1]][6:9]
@@ -118,41 +141,42 @@ def _score(stored: dict, arrived: set) -> list[tuple]:
         for at, id in members:
             value = final(id)
             darts.append(rules.Throw(at, id, stored[id][1], value[2], value[3], stored[id][9]))
-        if game == "X01":
-            result = rules.x01(darts, start, double_out)
-        else:
-            result = rules.cricket(darts)
-        lines += [(leg, game, player, *line) for player, line in result.items()]
-    return lines
+        before = saved[leg][3] if leg in saved else None
+        scored.append((leg, game, start, double_out, rules.play(game, darts, start, double_out, before)))
+    return scored
 
 
-def _frame(session: str, lines: list[tuple], closed: bool) -> pd.DataFrame:
+def _frame(session: str, legs: list[tuple], closed: bool) -> pd.DataFrame:
+    lines = [
+        (session, _instant(leg), game, player, line.value, line.status, line.throws, closed)
+        for leg, game, _, _, state in legs
+        for player, line in state.lines().items()
+    ]
     return pd.DataFrame(
-        {
-            "session_id": [session] * len(lines),
-            "started_at": [_instant(line[0]) for line in lines],
-            "game_type": [line[1] for line in lines],
-            "player_id": [line[2] for line in lines],
-            "value": [line[3] for line in lines],
-            "status": [line[4] for line in lines],
-            "throws": [line[5] for line in lines],
-            "closed": [closed] * len(lines),
-        }
-    )
+        lines,
+        columns=[
+            "session_id", "started_at", "game_type", "player_id", "value", "status", "throws", "closed",
+        ],
+    )
 
 
 def live_scores(stream: DataFrame, games: DataFrame, idle: str = "2 hours") -> DataFrame:
     """The scoreboard lines that change with each batch; closed after `idle`.
 
     `games` is stored; the game in force is the last one started by the time of
-    a throw. A correction re-scores the leg of the throw it corrects. When a
-    session is idle for so long that the watermark passes, its last lines come
-    once more as `closed` and its state is freed.
+    a throw. A correction re-scores the leg of the throw it corrects, unless
+    that was closed before: what is closed stands, and stored corrections are
+    resolved in batch. When a session is idle for so long that the watermark
+    passes, its last lines come once more as `closed`, and its throws are
+    dropped; a later throw goes on from those lines.
     """
-    per_session = games.groupBy("session_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("started_at", "game_type", "start_score", "double_out"))
-        ).alias("_games")
+    # Written once, so that a batch reads one row per session.
+    per_session = cut_lineage(
+        games.groupBy("session_id").agg(
+            F.array_sort(
+                F.collect_list(F.struct("started_at", "game_type", "start_score", "double_out"))
+            ).alias("_games")
+        )
     )
     begun = F.filter("_games", lambda g: g["started_at"] <= F.col("captured_at"))
     game = F.try_element_at(begun, F.lit(-1))
@@ -206,12 +230,22 @@ class _Detector(StatefulProcessor):
             ]
         if held:
             self.pending.appendList(held)
-            self.handle.registerTimer(max(held)[0] // 1000 + 1)
+            self._wake(min(held)[0])
         return iter(())
 
+    def _wake(self, at: int) -> None:
+        """One timer, just after the earliest frame that is held."""
+        due = at // 1000 + 1
+        timers = list(self.handle.listTimers())
+        if all(due < timer for timer in timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (session,) = key
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # All that the watermark has passed, not only the frame that set the timer.
+        limit = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         held = sorted(tuple(r) for r in self.pending.get())
         ready = [h for h in held if h[0] <= limit]
         if not ready:
@@ -219,6 +253,7 @@ class _Detector(StatefulProcessor):
         rest = held[len(ready) :]
         if rest:
             self.pending.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
         else:
             self.pending.clear()
         before, throws = self.seen.get() if self.seen.exists() else (0, 0)

@@ -8,17 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ocheline import schemas
-from ocheline.operators.events import authorised, flatten_throws, route_confidence, to_adapter
+from ocheline.operators.events import adapter_fields, authorised, route_confidence, to_adapter
 from ocheline.sources.outbox import publish
+from ocheline.sources.tables import split_lines
 
 LATENESS = "10 minutes"
 
 
 def stream_throws(spark: SparkSession, path: str, lateness: str = LATENESS) -> DataFrame:
-    """Throw events as they arrive, in event time."""
-    events = spark.readStream.schema(schemas.THROW_EVENT).json(path)
-    return flatten_throws(events).withWatermark("captured_at", lateness)
+    """Throw events as they arrive, in event time; `stream_rejects` has the other lines."""
+    good, _ = split_lines(spark.readStream.text(path))
+    return good.withWatermark("captured_at", lateness)
+
+
+def stream_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that are no throw event, for a sink of their own."""
+    _, bad = split_lines(spark.readStream.text(path))
+    return bad
+
+
+def sampled_frames(stream: DataFrame, every: str) -> DataFrame:
+    """W1 for a stream: the first frame of each session in each interval, once it is over."""
+    first = F.min_by(F.struct("captured_at", "frame_no"), F.struct("captured_at", "frame_no"))
+    return (
+        stream.groupBy("session_id", F.window("captured_at", every).alias("w"))
+        .agg(first.alias("f"))
+        .select("session_id", F.col("w.start").alias("slot_start"), "f.captured_at", "f.frame_no")
+    )
 
 
 def once_each(stream: DataFrame) -> DataFrame:
@@ -102,9 +118,11 @@ def forward_live(
 ) -> StreamingQuery:
     """Granted events to the outbox of an adapter; a repeated batch adds nothing."""
 
+    fields = adapter_fields(mapping, adapter)
+
     def deliver(batch: DataFrame, _: int) -> None:
         allowed = authorised(batch, grants, adapter)
-        publish(to_adapter(allowed, mapping, adapter, keep=["captured_at"]), path)
+        publish(to_adapter(allowed, fields, adapter, keep=["captured_at"]), path)
 
     return (
         stream.writeStream.foreachBatch(deliver)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ocheline.operators.board import map_segment, to_notation, with_score
+from ocheline.plans.storage import shared_folder
 
 BOARD_POINTS = {"n": (0.0, 1.0), "e": (1.0, 0.0), "s": (0.0, -1.0), "w": (-1.0, 0.0)}
 
@@ -33,14 +36,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The events arrive in so many deliveries, each up to so many seconds late.
+DELIVERIES = 4
+DELAY = 7200
+# The keys of the event that ends a stream.
+END_SESSION, END_ID, END_RUNTIME = "s-1", "-1", "end"
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files, in event time."""
+    """All events as a stream of files, in event time, out of order, and with an end.
+
+    An event arrives up to DELAY seconds after it happened; what arrives in a
+    span of time is one delivery. Within a delivery files come in any order, so
+    the lateness is the span and the delay. The last delivery is one event long
+    after the others, of a session of its own, with which all others close.
+    In a stream an error corrects an event of its own session (`corrects`).
+    """
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    ordered = Window.partitionBy("pair").orderBy("ts", "event_id")
+    earlier = F.coalesce(*[F.when(F.col("k") % 3 == n, F.lag("event_id", 1 + n).over(ordered)) for n in range(3)])
+    lost = F.concat(F.lit("lost-"), F.col("event_id").cast("string"))
+    corrects = F.when(
+        F.col("event_type") == "error",
+        F.when(F.col("k") >= 95, lost).otherwise(F.coalesce(earlier.cast("string"), lost)),
+    )
+    columns = [*table(spark, sf_dir, "events").columns, "corrects"]
+    events = _events(spark, sf_dir).withColumn("corrects", corrects).select(*columns)
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    low, high = events.agg(F.min(seconds), F.max(seconds)).first()
+    span = -(-(high - low + DELAY + 1) // DELIVERIES)
+    delivery = F.floor((seconds + F.pmod(F.xxhash64("event_id"), F.lit(DELAY)) - low) / span)
+    for number in range(DELIVERIES):
+        events.filter(delivery == number).write.mode("append").parquet(folder)
+    end = events.limit(1).select(
+        F.lit(-1).cast("bigint").alias("event_id"),
+        F.timestamp_add("DAY", F.lit(400), F.timestamp_seconds(F.lit(high)).cast("timestamp_ntz")).alias("ts"),
+        F.lit(-2).cast("bigint").alias("user_id"),
+        F.lit(END_RUNTIME).alias("event_type"),
+        F.lit(0.0).alias("value"),
+        F.lit('{"k": 50}').alias("props"),
+        F.lit(None).cast("string").alias("corrects"),
+    )
+    end.write.mode("append").parquet(folder)
     files = (
-        spark.readStream.schema(SCHEMAS["events"])
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
+        spark.readStream.schema(SCHEMAS["events"] + ", corrects string")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(folder)
+    )
+    return files.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark(
+        "ts", f"{span + DELAY} seconds"
     )
-    return files.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +126,10 @@ def throws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def throws_of(events: DataFrame) -> DataFrame:
+    corrects = """CASE WHEN event_type <> 'error' THEN NULL WHEN k >= 95 THEN concat('lost-', event_id)
+           ELSE cast(event_id - 1 - k % 3 AS string) END"""
+    if "corrects" in events.columns:
+        corrects = "corrects"
     base = events.selectExpr(
         "cast(event_id AS string) AS id",
         "session_id",
@@ -92,8 +141,7 @@ def throws_of(events: DataFrame) -> DataFrame:
         "k / 100D AS confidence",
         "calibration_id",
         "if(event_type = 'error', 'manual-correction', 'camera') AS source",
-        """CASE WHEN event_type <> 'error' THEN NULL WHEN k >= 95 THEN concat('lost-', event_id)
-           ELSE cast(event_id - 1 - k % 3 AS string) END AS correction_of""",
+        f"{corrects} AS correction_of",
     )
     scored = to_notation(with_score(map_segment(base)))
     return scored.select(
@@ -120,6 +168,34 @@ def throws_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty_of(throws(spark, sf_dir))
 
 
+def throws_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Throws that break each of the twelve rules now and then, some several at once."""
+    t, n = throws(spark, sf_dir), F.col("id").cast("bigint")
+
+    def now_and_then(step: int, value, column: str):
+        return F.when(n % step == 0, value).otherwise(F.col(column)).alias(column)
+
+    manual = F.when(F.col("correction_of").isNull(), "1")
+    changed = {
+        "session_id": (127, F.lit(None)),
+        "captured_at": (131, F.lit(None)),
+        "x": (137, F.lit(float("nan"))),
+        "segment": (139, F.lit(21)),
+        "multiplier": (149, F.lit(4)),
+        "score": (97, F.col("score") + 1),
+        "notation": (151, F.lit("?")),
+        "confidence": (101, F.col("confidence") + 1),
+        "calibration_id": (157, F.lit(None)),
+        "source": (103, F.lit("other")),
+        "correction_of": (163, manual),
+        "id": (113, F.lit(None)),
+    }
+    return t.select(
+        n.alias("event_id"),
+        *[now_and_then(*changed[c], c) if c in changed else F.col(c) for c in t.columns],
+    )
+
+
 def dirty_of(clean: DataFrame) -> DataFrame:
     n = F.col("id").cast("bigint")
     copies = F.when(n % 50 == 0, 2).otherwise(1)
@@ -139,11 +215,10 @@ def dirty_of(clean: DataFrame) -> DataFrame:
 
 
 def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as JSON text, some with fields of a vendor."""
-    extra = F.when(
-        F.col("event_type").isin("purchase", "signup"),
-        F.concat(F.lit(',"'), F.col("event_type"), F.lit('":'), F.col("props")),
-    ).otherwise("")
+    """Events as JSON text, some with fields of a vendor, at the top or in the impact."""
+    field = F.concat(F.lit(',"'), F.col("event_type"), F.lit('":'), F.col("props"))
+    extra = F.when(F.col("event_type").isin("purchase", "signup"), field).otherwise("")
+    inner = F.when(F.col("event_type") == "click", field).otherwise("")
     return _events(spark, sf_dir).select(
         F.col("event_id").cast("string").alias("id"),
         F.concat(
@@ -151,13 +226,22 @@ def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("event_id").cast("string"),
             F.lit('","sessionId":"'),
             F.col("session_id"),
-            F.lit('","source":"camera"'),
+            F.lit('","source":"camera","impact":{"xNormalized":0.5'),
+            inner,
+            F.lit("}"),
             extra,
             F.lit("}"),
         ).alias("raw"),
     )
 
 
+def frame_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landmarks found in each frame; every seventh frame lacks one."""
+    n = F.col("event_id")
+    names = F.when(n % 7 == 0, F.array(*map(F.lit, "nes"))).otherwise(F.array(*map(F.lit, "nesw")))
+    return _events(spark, sf_dir).select("session_id", n.alias("frame_no"), F.explode(names).alias("name"))
+
+
 def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four landmarks per supplier; geometry 8 lacks one, geometry 9 is a line."""
     i = F.col("s_suppkey") % 10
@@ -279,11 +363,13 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions of most sessions; nothing is known of every seventh."""
     n = F.col("pair")
     return (
         _events(spark, sf_dir)
         .select("session_id", "pair")
         .distinct()
+        .filter(n % 7 != 6)
         .select(
             "session_id",
             F.concat(F.lit("l"), (n % 3).cast("string")).alias("lighting"),

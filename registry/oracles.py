@@ -61,14 +61,31 @@ PARTS["dirty"] = """
     (SELECT *, unnest(generate_series(1, CASE WHEN event_id % 50 = 0 THEN 2 ELSE 1 END)) AS copies
      FROM dirty_once)"""
 
+PARTS["broken"] = """
+  SELECT event_id, segment AS seg0, multiplier AS mult0,
+         CASE WHEN event_id % 139 = 0 THEN 21 ELSE segment END AS seg,
+         CASE WHEN event_id % 149 = 0 THEN 4 ELSE multiplier END AS mult,
+         CASE WHEN event_id % 97 = 0 THEN score + 1 ELSE score END AS score,
+         CASE WHEN event_id % 101 = 0 THEN confidence + 1 ELSE confidence END AS confidence,
+         CASE WHEN event_id % 103 = 0 THEN 'other' ELSE source END AS source,
+         (correction_of IS NOT NULL) <> (event_id % 163 = 0) AS corrects
+  FROM thr"""
+
 PARTS["faults"] = """
-  SELECT id, concat_ws(',',
-    CASE WHEN score <> segment * multiplier THEN 'score' END,
+  SELECT event_id, concat_ws(',',
+    CASE WHEN event_id % 113 = 0 THEN 'id' END,
+    CASE WHEN event_id % 127 = 0 THEN 'session_id' END,
+    CASE WHEN event_id % 131 = 0 THEN 'captured_at' END,
+    CASE WHEN event_id % 137 = 0 THEN 'impact' END,
+    CASE WHEN seg = 21 THEN 'segment' END,
+    CASE WHEN mult = 4 OR seg = 21 THEN 'multiplier' END,
+    CASE WHEN score <> seg * mult THEN 'score' END,
+    CASE WHEN event_id % 151 = 0 OR seg <> seg0 OR mult <> mult0 THEN 'notation' END,
     CASE WHEN confidence > 1 OR confidence < 0 THEN 'confidence' END,
+    CASE WHEN event_id % 157 = 0 THEN 'calibration_id' END,
     CASE WHEN source = 'other' THEN 'source' END,
-    CASE WHEN (source = 'manual-correction') <> (correction_of IS NOT NULL)
-         THEN 'correction_of' END) AS violations
-  FROM dirty"""
+    CASE WHEN (source = 'manual-correction') <> corrects THEN 'correction_of' END) AS violations
+  FROM broken"""
 
 PARTS["cal"] = """
   SELECT s_suppkey, 'c' || CAST(s_suppkey AS VARCHAR) AS calibration_id,
@@ -134,7 +151,7 @@ PARTS["pairs"] = """
 PARTS["numbered"] = """
   SELECT *, row_number() OVER (PARTITION BY session_id, player_id
                                ORDER BY captured_at, id) - 1 AS n
-  FROM thr"""
+  FROM eff"""
 
 PARTS["turns"] = """
   SELECT *, n // 3 AS turn_no, CAST(n % 3 + 1 AS INTEGER) AS dart_no FROM numbered"""
@@ -258,7 +275,8 @@ NEEDS = {
     "thr": ["hit"],
     "dirty_once": ["thr"],
     "dirty": ["dirty_once"],
-    "faults": ["dirty"],
+    "broken": ["thr"],
+    "faults": ["broken"],
     "det": ["ev"],
     "game": ["ev"],
     "winner": ["thr"],
@@ -266,7 +284,7 @@ NEEDS = {
     "ends": ["chain"],
     "eff": ["ends"],
     "pairs": ["eff"],
-    "numbered": ["thr"],
+    "numbered": ["eff"],
     "turns": ["numbered"],
     "x01_dart": ["eff", "game"],
     "x01_line": ["x01_dart"],
@@ -276,8 +294,15 @@ NEEDS = {
 }
 
 
-def _sql(body: str, *parts: str, extra: dict[str, str] | None = None) -> str:
+def _sql(
+    body: str,
+    *parts: str,
+    extra: dict[str, str] | None = None,
+    instead: dict[str, str] | None = None,
+) -> str:
+    """`body` with the parts it needs; `extra` come last, `instead` replaces parts."""
     wanted: list[str] = []
+    known = PARTS | (instead or {})
 
     def add(name: str) -> None:
         for needed in NEEDS.get(name, []):
@@ -287,7 +312,7 @@ def _sql(body: str, *parts: str, extra: dict[str, str] | None = None) -> str:
 
     for part in parts:
         add(part)
-    ctes = [f"{n} AS ({PARTS[n]}\n)" for n in wanted]
+    ctes = [f"{n} AS ({known[n]}\n)" for n in wanted]
     ctes += [f"{n} AS ({text}\n)" for n, text in (extra or {}).items()]
     return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
@@ -315,11 +340,12 @@ ORACLES: dict[str, str] = {
     "s8_union_sources": _sql(
         "SELECT id, session_id, source, correction_of, score FROM thr", "thr"
     ),
-    "p1_validate_throws": _sql("SELECT id, violations FROM faults", "faults"),
-    "p2_split_valid": _sql("SELECT id, violations = '' AS good FROM faults", "faults"),
+    "p1_validate_throws": _sql("SELECT event_id, violations FROM faults", "faults"),
+    "p2_split_valid": _sql("SELECT event_id, violations = '' AS good FROM faults", "faults"),
     "p3_vendor_leak": _sql(
-        """SELECT CAST(event_id AS VARCHAR) AS id, event_type AS leaked FROM ev
-           WHERE event_type IN ('purchase', 'signup')""",
+        """SELECT CAST(event_id AS VARCHAR) AS id,
+                  CASE WHEN event_type = 'click' THEN 'impact.' ELSE '' END || event_type AS leaked
+           FROM ev WHERE event_type IN ('purchase', 'signup', 'click')""",
         "ev",
     ),
     "p4_route_confidence": _sql(
@@ -330,6 +356,11 @@ ORACLES: dict[str, str] = {
     "p5_visible_frames": """
         SELECT 'c' || CAST(s_suppkey AS VARCHAR) AS calibration_id, CAST(4 AS BIGINT) AS n_landmarks
         FROM supplier WHERE s_suppkey % 10 <> 8""",
+    "p5_usable_frames": _sql(
+        """SELECT session_id, event_id AS frame_no, event_id % 4 AS n_tips FROM ev
+           WHERE event_id % 7 <> 0""",
+        "ev",
+    ),
     "p6_assemble_throws": _sql(
         """SELECT sha256(session_id || '|' || event_id || '|' || calibration_id) AS id, session_id,
                   player_id, segment, multiplier, score, notation, 'camera' AS source
@@ -449,7 +480,7 @@ ORACLES: dict[str, str] = {
         "det",
         "cal",
     ),
-    "g3_turn_totals": _sql(_turn_sum("thr"), "thr"),
+    "g3_turn_totals": _sql(_turn_sum("eff"), "eff"),
     "g4_accuracy_report": _sql(
         """SELECT lighting, board, dart,
                   CAST(grouping(lighting) * 4 + grouping(board) * 2 + grouping(dart) AS BIGINT)
@@ -457,7 +488,9 @@ ORACLES: dict[str, str] = {
                   count(*) AS throws, count(*) FILTER (agree) AS agreeing,
                   round(count(*) FILTER (agree) / CAST(count(*) AS DOUBLE), 9) AS accuracy
            FROM (SELECT agree, 'l' || n % 3 AS lighting, 'b' || n % 2 AS board, 'd' || n % 5 AS dart
-                 FROM (SELECT agree, CAST(substr(session_id, 2) AS BIGINT) AS n FROM pairs))
+                 FROM (SELECT agree, nullif(CAST(substr(session_id, 2) AS BIGINT),
+                              CASE WHEN CAST(substr(session_id, 2) AS BIGINT) % 7 = 6
+                                   THEN CAST(substr(session_id, 2) AS BIGINT) END) AS n FROM pairs))
            GROUP BY ROLLUP (lighting, board, dart)""",
         "pairs",
     ),
@@ -467,9 +500,9 @@ ORACLES: dict[str, str] = {
         "pairs",
     ),
     "g6_impact_error": _sql(
-        """SELECT count(*) AS throws, round(quantile_cont(round(distance, 4), 0.5), 6) AS p50,
-                  round(quantile_cont(round(distance, 4), 0.95), 6) AS p95,
-                  round(max(round(distance, 4)), 6) AS largest
+        """SELECT count(*) AS throws, round(quantile_cont(distance, 0.5), 6) AS p50,
+                  round(quantile_cont(distance, 0.95), 6) AS p95,
+                  round(max(distance), 6) AS largest
            FROM pairs WHERE final_id <> id""",
         "pairs",
     ),
@@ -538,28 +571,28 @@ ORACLES: dict[str, str] = {
     "w4_running_score": _sql(
         """SELECT id, CAST(sum(score) OVER (PARTITION BY session_id, player_id
                                             ORDER BY captured_at, id) AS BIGINT) AS running_score
-           FROM thr""",
-        "thr",
+           FROM eff""",
+        "eff",
     ),
     "w5_cricket_marks": _sql(
         """SELECT id, segment, CAST(marks AS INTEGER) AS marks,
                   CAST(least(upto, 3) AS BIGINT) AS marks_so_far FROM c_throw WHERE segment >= 15""",
-        "thr",
-        extra={"c_throw": _cricket("thr", "session_id")["c_throw"]},
+        "eff",
+        extra={"c_throw": _cricket("eff", "session_id")["c_throw"]},
     ),
     "w6_cricket_points": _sql(
         """SELECT id, CAST(points AS BIGINT) AS points, CAST(points_so_far AS BIGINT)
                     AS points_so_far, closes, numbers_closed, wins, after
            FROM c_state""",
-        "thr",
-        extra=_cricket("thr", "session_id"),
+        "eff",
+        extra=_cricket("eff", "session_id"),
     ),
     "w7_scoreboard": _sql(
         """SELECT session_id, player_id, max(captured_at) AS captured_at,
                   arg_max(id, captured_at) AS id, CAST(sum(score) AS BIGINT) AS running_score,
                   count(*) AS n_throws
-           FROM thr GROUP BY 1, 2""",
-        "thr",
+           FROM eff GROUP BY 1, 2""",
+        "eff",
     ),
     "w8_worst_segments": _sql(
         """SELECT detected_segment, count(*) AS throws, count(*) FILTER (NOT agree) AS errors,
@@ -606,6 +639,13 @@ ORACLES: dict[str, str] = {
             **_cricket("leg", "session_id, started_at"),
         },
     ),
+    "e3_fold_game": _sql(
+        """SELECT session_id, player_id, count(*) FILTER (score < 10) AS lost,
+                  CAST(sum(CASE WHEN multiplier = 3 THEN 2 * score ELSE score END) AS BIGINT)
+                    AS points
+           FROM eff GROUP BY 1, 2""",
+        "eff",
+    ),
     "e4_replay_diff": _sql(
         """SELECT *, 'a' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
            UNION ALL
@@ -687,27 +727,76 @@ ORACLES: dict[str, str] = {
     ),
 }
 
-# The stream closes what lies before its newest event.
-PARTS["newest"] = "SELECT max(ts) AS at FROM events"
-PARTS["camera"] = "SELECT * FROM thr WHERE correction_of IS NULL"
+# In a stream an error corrects an event of its own session.
+_LIVE = {
+    "thr": PARTS["thr"]
+    .replace(
+        "CAST(event_id - 1 - k % 3 AS VARCHAR)",
+        "coalesce(CAST(CASE k % 3 "
+        + " ".join(
+            f"WHEN {n} THEN lag(event_id, {n + 1}) OVER (PARTITION BY pair ORDER BY ts, event_id)"
+            for n in range(3)
+        )
+        + " END AS VARCHAR), 'lost-' || event_id)",
+    )
+}
 _LEG = """
-  SELECT t.*, g.started_at FROM camera t ASOF JOIN game g
+  SELECT t.*, g.started_at FROM eff t ASOF JOIN game g
     ON g.session_id = t.session_id AND t.captured_at >= g.started_at
   WHERE g.game_type = 'Cricket'"""
-NEEDS["camera"] = ["thr"]
 _W2 = ORACLES["w2_detect_throws"]
-_ON_CAMERA = {
-    name: PARTS[name].replace("FROM eff t", "FROM camera t")
-    for name in ("x01_dart", "x01_line", "leg_end")
-}
 _PAYLOAD = ORACLES["p7_to_adapter"]
 
 ORACLES |= {
     "s1_read_throws": _sql(
-        "SELECT id, session_id, captured_at, x, score, correction_of FROM thr", "thr"
+        """SELECT id, session_id, captured_at, x, score, correction_of, NULL AS reason FROM thr
+           WHERE event_id % 211 <> 0 AND event_id % 223 <> 0
+           UNION ALL
+           SELECT CASE WHEN event_id % 211 <> 0 THEN id END, NULL, NULL, NULL, NULL, NULL,
+                  CASE WHEN event_id % 211 = 0 THEN 'malformed' ELSE 'captured_at' END
+           FROM thr WHERE event_id % 211 = 0 OR event_id % 223 = 0""",
+        "thr",
     ),
     "s2_stream_throws": _sql(
-        "SELECT id, captured_at, notation, confidence, source FROM thr", "thr"
+        """SELECT id, captured_at, notation, confidence, source FROM thr
+           WHERE event_id % 211 <> 0 AND event_id % 223 <> 0""",
+        "thr",
+    ),
+    "s2_stream_rejects": _sql(
+        """SELECT CASE WHEN event_id % 211 <> 0 THEN id END AS id,
+                  CASE WHEN event_id % 211 = 0 THEN 'malformed' ELSE 'captured_at' END AS reason,
+                  CASE WHEN event_id % 211 = 0 THEN 'broken' ELSE '{"id":' END AS begins
+           FROM thr WHERE event_id % 211 = 0 OR event_id % 223 = 0""",
+        "thr",
+    ),
+    "s3_read_calibrations": _sql(
+        f"""SELECT calibration_id, validated_at, round({_H[0]} / {_INV}, 9) AS h0
+            FROM cal JOIN fwd USING (calibration_id)""",
+        "cal",
+        extra={"fwd": _FORWARD},
+    ),
+    "s3_read_landmarks": _sql(
+        """SELECT calibration_id, name, bx, by0,
+                  round((300e0 * bx + 5e0 * i * by0 + 640e0)
+                        / (1e0 + 0.01e0 * i * bx + 0.02e0 * by0), 6) AS px
+           FROM (SELECT calibration_id, i, name, bx,
+                        CASE WHEN i = 9 THEN 0e0 ELSE by1 END AS by0
+                 FROM cal, (VALUES ('n', 0e0, 1e0), ('e', 1e0, 0e0), ('s', 0e0, -1e0),
+                                   ('w', -1e0, 0e0)) AS m(name, bx, by1)
+                 WHERE i <> 8 OR name <> 'w')""",
+        "cal",
+    ),
+    "s5_read_detections": _sql(
+        """SELECT throw_id, CAST(view AS INTEGER) AS view, frame_no, captured_at, confidence
+           FROM det""",
+        "det",
+    ),
+    "s9_read_issues": _sql(
+        """SELECT repo, number, state,
+                  CAST(CASE WHEN NOT is_map AND p_size % 13 = 0 THEN 2 END AS BIGINT)
+                    AS native_parent
+           FROM issue""",
+        "issue",
     ),
     "s6_store_throws": _sql(
         """SELECT CAST(captured_at AS DATE) AS capture_date, count(*) AS throws,
@@ -719,17 +808,20 @@ ORACLES |= {
         """SELECT l.session_id, l.started_at, l.player_id, 'X01' AS game_type,
                   CAST(arg_max(l.remaining, l.n) FILTER (coalesce(d.captured_at <= e.ended, TRUE))
                        AS INTEGER) AS value,
+                  arg_max(CASE WHEN d.captured_at > e.ended THEN 'after' ELSE l.status END, l.n)
+                    AS status,
                   CAST(count(*) AS INTEGER) AS throws
            FROM x01_line l JOIN x01_dart d USING (session_id, started_at, player_id, n)
            LEFT JOIN leg_end e USING (session_id, started_at) GROUP BY 1, 2, 3
            UNION ALL
            SELECT session_id, started_at, player_id, 'Cricket',
                   CAST(sum(CASE WHEN after THEN 0 ELSE points END) AS INTEGER),
+                  CASE WHEN bool_or(wins AND NOT after) THEN 'winner' ELSE 'playing' END,
                   CAST(count(*) AS INTEGER)
            FROM c_state GROUP BY 1, 2, 3""",
-        "camera",
-        "game",
-        extra={**_ON_CAMERA, "leg": _LEG, **_cricket("leg", "session_id, started_at")},
+        "leg_end",
+        extra={"leg": _LEG, **_cricket("leg", "session_id, started_at")},
+        instead=_LIVE,
     ),
     "t2_once_each": _sql("SELECT id, score, source FROM dirty_once", "dirty_once"),
     "t3_session_summary": _sql(
@@ -741,10 +833,8 @@ ORACLES |= {
                           OVER (PARTITION BY session_id ORDER BY captured_at) AS part
                    FROM (SELECT *, lag(captured_at) OVER (PARTITION BY session_id
                                                           ORDER BY captured_at) AS was FROM thr))
-             GROUP BY session_id, part), newest
-           WHERE closed_at <= newest.at""",
+             GROUP BY session_id, part)""",
         "thr",
-        "newest",
     ),
     "t4_live_frame_rate": """
         WITH hop AS (
@@ -753,11 +843,8 @@ ORACLES |= {
                          time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS window_start
           FROM events)
         SELECT runtime, window_start, count(*) AS frames, round(count(*) / 3600e0, 9) AS rate
-        FROM hop WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)
-        GROUP BY 1, 2""",
-    "t5_live_throws": f"""
-        SELECT * FROM ({_W2}) WHERE session_id <>
-          (SELECT 's' || CAST(arg_max(user_id, ts) // 2 AS VARCHAR) FROM events)""",
+        FROM hop GROUP BY 1, 2""",
+    "t5_live_throws": _W2,
     "t6_with_stored_calibration": _sql(
         f"""SELECT throw_id, CAST(view AS INTEGER) AS view, round({_H[0]} / {_INV}, 9) AS h0
             FROM det JOIN fwd USING (calibration_id)""",
@@ -765,6 +852,22 @@ ORACLES |= {
         "cal",
         extra={"fwd": _FORWARD},
     ),
+    "t6_with_arriving_calibration": _sql(
+        f"""SELECT throw_id, CAST(view AS INTEGER) AS view, validated_at,
+                   round({_H[0]} / {_INV}, 9) AS h0
+            FROM det JOIN (SELECT calibration_id, validated_at FROM cal) USING (calibration_id)
+            JOIN fwd USING (calibration_id)
+            WHERE captured_at BETWEEN validated_at AND validated_at + INTERVAL 5 DAY""",
+        "det",
+        "cal",
+        extra={"fwd": _FORWARD},
+    ),
+    "w1_live_sample": _sql(
+        """SELECT session_id, time_bucket(INTERVAL 6 HOUR, ts) AS slot_start,
+                  min(event_id) AS frame_no
+           FROM ev GROUP BY 1, 2""",
+        "ev",
+    ),
     "t7_forward_live": f"""
         SELECT * FROM ({_PAYLOAD}) WHERE id IN (SELECT id FROM ({ORACLES["j7_authorised"]}))""",
     "t8_review_queue": ORACLES["p4_route_confidence"],

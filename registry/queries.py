@@ -20,6 +20,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _final(spark: SparkSession, d: str) -> DataFrame:
+    """What counts: the originals, with the values of the corrections in force."""
+    return corrections.effective_throws(fx.throws(spark, d))
+
+
 # --- scans and events -------------------------------------------------------
 
 
@@ -33,15 +38,15 @@ def s8_union_sources(spark, d):
 
 @query
 def p1_validate_throws(spark, d):
-    checked = events.validate_throws(fx.throws_dirty(spark, d))
-    return checked.select("id", F.array_join("violations", ",").alias("violations"))
+    checked = events.validate_throws(fx.throws_broken(spark, d))
+    return checked.select("event_id", F.array_join("violations", ",").alias("violations"))
 
 
 @query
 def p2_split_valid(spark, d):
-    good, bad = events.split_valid(fx.throws_dirty(spark, d))
-    return good.select("id", F.lit(True).alias("good")).unionByName(
-        bad.select("id", F.lit(False).alias("good"))
+    good, bad = events.split_valid(fx.throws_broken(spark, d))
+    return good.select("event_id", F.lit(True).alias("good")).unionByName(
+        bad.select("event_id", F.lit(False).alias("good"))
     )
 
 
@@ -61,6 +66,12 @@ def p5_visible_frames(spark, d):
     return vision.visible_frames(fx.landmarks(spark, d))
 
 
+@query
+def p5_usable_frames(spark, d):
+    kept = vision.usable_frames(fx.frames(spark, d), fx.frame_landmarks(spark, d))
+    return kept.select("session_id", "frame_no", "n_tips")
+
+
 @query
 def p6_assemble_throws(spark, d):
     mapped = board.map_segment(fx.points(spark, d).drop("id"))
@@ -136,7 +147,7 @@ def j7_authorised(spark, d):
 
 @query
 def j8_close_groupings(spark, d):
-    near = games.close_groupings(games.assign_turns(fx.throws(spark, d)), 0.25)
+    near = games.close_groupings(games.assign_turns(_final(spark, d)), 0.25)
     return near.withColumn("distance", F.round("distance", 6))
 
 
@@ -231,7 +242,7 @@ def g2_fuse_views(spark, d):
 
 @query
 def g3_turn_totals(spark, d):
-    return games.turn_totals(games.assign_turns(fx.throws(spark, d)))
+    return games.turn_totals(games.assign_turns(_final(spark, d)))
 
 
 def _pairs(spark, d):
@@ -251,8 +262,7 @@ def g5_confusion(spark, d):
 
 @query
 def g6_impact_error(spark, d):
-    moved = _pairs(spark, d).filter(F.col("final_id") != F.col("id"))
-    errors = reports.impact_error(moved)
+    errors = reports.impact_error(_pairs(spark, d))
     return errors.select(
         "throws", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "largest")]
     )
@@ -312,31 +322,31 @@ def w2_detect_throws(spark, d):
 
 @query
 def w3_assign_turns(spark, d):
-    return games.assign_turns(fx.throws(spark, d)).select("id", "turn_no", "dart_no")
+    return games.assign_turns(_final(spark, d)).select("id", "turn_no", "dart_no")
 
 
 @query
 def w4_running_score(spark, d):
-    return games.running_score(fx.throws(spark, d)).select("id", "running_score")
+    return games.running_score(_final(spark, d)).select("id", "running_score")
 
 
 @query
 def w5_cricket_marks(spark, d):
-    return games.cricket_marks(fx.throws(spark, d)).select(
+    return games.cricket_marks(_final(spark, d)).select(
         "id", "segment", "marks", "marks_so_far"
     )
 
 
 @query
 def w6_cricket_points(spark, d):
-    return games.cricket_points(fx.throws(spark, d)).select(
+    return games.cricket_points(_final(spark, d)).select(
         "id", "points", "points_so_far", "closes", "numbers_closed", "wins", "after"
     )
 
 
 @query
 def w7_scoreboard(spark, d):
-    t = games.running_score(fx.throws(spark, d))
+    t = games.running_score(_final(spark, d))
     return games.scoreboard(t, ["running_score"])
 
 
@@ -383,6 +393,21 @@ def e2_cricket_standings(spark, d):
     return games.cricket_standings(final, fx.games(spark, d), counted=t)
 
 
+@query
+def e3_fold_game(spark, d):
+    """Another game by the same fold: lives lost on a dart of less than ten, points doubled by a treble."""
+    state = games.fold_game(
+        _final(spark, d),
+        ["session_id", "player_id"],
+        lambda: F.struct(F.lit(0).cast("bigint").alias("lost"), F.lit(0).cast("bigint").alias("points")),
+        lambda s, dart: F.struct(
+            (s["lost"] + F.when(dart["score"] < 10, 1).otherwise(0)).alias("lost"),
+            (s["points"] + dart["score"] * F.when(dart["multiplier"] == 3, 2).otherwise(1)).alias("points"),
+        ),
+    )
+    return state.select("session_id", "player_id", "state.lost", "state.points")
+
+
 @query
 def e4_replay_diff(spark, d):
     """What resolving the corrections changes in the turn totals."""

@@ -83,28 +83,75 @@ def _utc_games(spark: SparkSession, d: str) -> DataFrame:
     return fx.games(spark, d).withColumn("started_at", F.col("started_at").cast("timestamp"))
 
 
-@query
-def s1_read_throws(spark, d):
-    """Throws written as JSON events and read back, good and bad ones."""
+def _written(spark: SparkSession, d: str) -> str:
+    """A folder of lines: throws as JSON, some broken, some without a time."""
     folder = _folder(spark)
     t = fx.throws(spark, d).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
-    ev.nest_throws(t).write.json(folder)
-    good, bad = tables.read_throws(spark, folder)
+    n = F.col("id").cast("bigint")
+    nested = ev.nest_throws(t).withColumn(
+        "capturedAt", F.when(n % 223 == 0, "at noon").otherwise(F.col("capturedAt"))
+    )
+    line = F.to_json(F.struct(*nested.columns))
+    nested.select(F.when(n % 211 == 0, F.concat(F.lit("broken "), "id")).otherwise(line)).write.text(folder)
+    return folder
+
+
+@query
+def s1_read_throws(spark, d):
+    """Throws written as lines of JSON and read back, good and bad ones."""
+    good, bad = tables.read_throws(spark, _written(spark, d))
     return good.select("id", "session_id", _plain("captured_at"), "x", "score", "correction_of").unionByName(
-        bad.select("id"), allowMissingColumns=True
+        bad.select("id", "reason"), allowMissingColumns=True
     )
 
 
 @query
 def s2_stream_throws(spark, d):
-    """Throws written as JSON events and read as a stream."""
-    folder = _folder(spark)
-    t = fx.throws(spark, d).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
-    ev.nest_throws(t).write.json(folder)
-    seen = _arrived(sources.stream_throws(spark, folder))
+    """Throws written as lines of JSON and read as a stream."""
+    seen = _arrived(sources.stream_throws(spark, _written(spark, d)))
     return seen.select("id", _plain("captured_at"), "notation", "confidence", "source")
 
 
+@query
+def s2_stream_rejects(spark, d):
+    """The lines of the stream that are no throw events."""
+    seen = _arrived(sources.stream_rejects(spark, _written(spark, d)))
+    return seen.select("id", "reason", F.substring("raw", 1, 6).alias("begins"))
+
+
+@query
+def s3_read_calibrations(spark, d):
+    folder = _folder(spark)
+    stored = fx.calibrations(spark, d).withColumn("validated_at", F.col("validated_at").cast("timestamp"))
+    stored.write.parquet(folder)
+    found = tables.read_calibrations(spark, folder)
+    return found.select("calibration_id", _plain("validated_at"), F.round(F.col("h")[0], 9).alias("h0"))
+
+
+@query
+def s3_read_landmarks(spark, d):
+    folder = _folder(spark)
+    fx.landmarks(spark, d).write.parquet(folder)
+    found = tables.read_landmarks(spark, folder)
+    return found.select("calibration_id", "name", F.round("px", 6).alias("px"), "bx", "by0")
+
+
+@query
+def s5_read_detections(spark, d):
+    folder = _folder(spark)
+    seen = fx.detections(spark, d).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    seen.write.parquet(folder)
+    found = tables.read_detections(spark, folder)
+    return found.select("throw_id", "view", "frame_no", _plain("captured_at"), "confidence")
+
+
+@query
+def s9_read_issues(spark, d):
+    folder = _folder(spark)
+    fx.issues(spark, d).write.json(folder)
+    return tables.read_issues(spark, folder).select("repo", "number", "state", "native_parent")
+
+
 @query
 def s6_store_throws(spark, d):
     folder = _folder(spark)
@@ -117,24 +164,25 @@ def s6_store_throws(spark, d):
 
 @query
 def s7_publish(spark, d):
-    """Two overlapping deliveries to the outbox."""
+    """Overlapping deliveries to the outbox, the last one under another day."""
     folder = _folder(spark)
     t = fx.throws(spark, d)
     shaped = ev.to_adapter(t, fx.adapter_mapping(spark), "scores", keep=["captured_at", "source"])
     outbox.publish(shaped.filter(F.col("source") == "camera").drop("source"), folder)
     outbox.publish(shaped.drop("source"), folder)
+    later = F.col("captured_at") + F.make_dt_interval(days=F.lit(1))
+    outbox.publish(shaped.drop("source").withColumn("captured_at", later), folder)
     return outbox.delivered(spark, folder).select("adapter", "id", "payload")
 
 
 @query
 def t1_live_scores(spark, d):
-    """The last line per leg and player, from the camera events."""
-    camera = _throws(spark, d).filter(F.col("correction_of").isNull())
-    lines = _arrived(live.live_scores(camera, _utc_games(spark, d)), "update")
+    """The last line per leg and player; corrections re-score what they correct."""
+    lines = _arrived(live.live_scores(_throws(spark, d), _utc_games(spark, d), "60 days"), "update")
     newest = F.struct("batch", "closed")
     return (
         lines.groupBy("session_id", "started_at", "player_id")
-        .agg(F.max_by(F.struct("game_type", "value", "throws"), newest).alias("last"))
+        .agg(F.max_by(F.struct("game_type", "value", "status", "throws"), newest).alias("last"))
         .select("session_id", _plain("started_at"), "player_id", "last.*")
     )
 
@@ -142,12 +190,14 @@ def t1_live_scores(spark, d):
 @query
 def t2_once_each(spark, d):
     dirty = fx.dirty_of(_throws(spark, d))
-    return _arrived(sources.once_each(dirty)).select("id", "score", "source")
+    found = _arrived(sources.once_each(dirty)).filter(F.col("id") != fx.END_ID)
+    return found.select("id", "score", "source")
 
 
 @query
 def t3_session_summary(spark, d):
     found = _arrived(sources.session_summary(_throws(spark, d), "6 hours"))
+    found = found.filter(F.col("session_id") != fx.END_SESSION)
     return found.select("session_id", _plain("opened_at"), _plain("closed_at"), "throws", "points")
 
 
@@ -155,6 +205,7 @@ def t3_session_summary(spark, d):
 def t4_live_frame_rate(spark, d):
     frames = fx.frames_of(fx.with_keys(fx.event_stream(spark, d)))
     found = _arrived(sources.live_frame_rate(frames, "60 minutes", "30 minutes"))
+    found = found.filter(F.col("runtime") != fx.END_RUNTIME)
     return found.select(
         "runtime", _plain("window_start"), "frames", F.round("frames_per_second", 9).alias("rate")
     )
@@ -163,7 +214,8 @@ def t4_live_frame_rate(spark, d):
 @query
 def t5_live_throws(spark, d):
     frames = fx.frames_of(fx.with_keys(fx.event_stream(spark, d)))
-    return _arrived(live.live_throws(frames)).select(
+    found = _arrived(live.live_throws(frames)).filter(F.col("session_id") != fx.END_SESSION)
+    return found.select(
         "session_id", "frame_no", "n_tips", "new_tips", "retrieved", "throws_so_far"
     )
 
@@ -175,6 +227,28 @@ def t6_with_stored_calibration(spark, d):
     return found.select("throw_id", "view", F.round(F.col("h")[0], 9).alias("h0"))
 
 
+@query
+def t6_with_arriving_calibration(spark, d):
+    """Detections and calibrations both arrive; a calibration counts for five days."""
+    folder = _folder(spark)
+    stored = fx.calibrations(spark, d).withColumn("validated_at", F.col("validated_at").cast("timestamp"))
+    stored.filter(F.col("validated_at").isNotNull()).write.parquet(folder)
+    arriving = (
+        spark.readStream.schema(stored.schema).parquet(folder).withWatermark("validated_at", "40 days")
+    )
+    seen = fx.detections_of(fx.with_keys(fx.event_stream(spark, d)))
+    found = _arrived(sources.with_arriving_calibration(seen, arriving, "5 days"))
+    return found.select("throw_id", "view", _plain("validated_at"), F.round(F.col("h")[0], 9).alias("h0"))
+
+
+@query
+def w1_live_sample(spark, d):
+    frames = fx.frames_of(fx.with_keys(fx.event_stream(spark, d)))
+    found = _arrived(sources.sampled_frames(frames, "6 hours"))
+    found = found.filter(F.col("session_id") != fx.END_SESSION)
+    return found.select("session_id", _plain("slot_start"), "frame_no")
+
+
 @query
 def t7_forward_live(spark, d):
     folder = _folder(spark)
@@ -191,13 +265,14 @@ def t7_forward_live(spark, d):
             f"{folder}/state",
         )
     )
-    return outbox.delivered(spark, f"{folder}/outbox").select("adapter", "id", "payload")
+    return outbox.delivered(spark, f"{folder}/outbox", "timestamp").select("adapter", "id", "payload")
 
 
 @query
 def t8_review_queue(spark, d):
     folder = _folder(spark)
     _finish(sources.review_queue(_throws(spark, d), 0.5, f"{folder}/routes", f"{folder}/state"))
-    return spark.read.schema("id string, confidence double, route string").parquet(
+    found = spark.read.schema("id string, confidence double, route string").parquet(
         f"{folder}/routes"
     )
+    return found.filter(F.col("id") != fx.END_ID)

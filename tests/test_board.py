@@ -157,3 +157,15 @@ def test_unknown_licence_is_not_usable(spark):
     cat = spark.createDataFrame([("x", "mit"), ("y", "nc"), ("z", "?"), ("w", None)], "dataset string, licence string")
     lic = spark.createDataFrame([("mit", True), ("nc", False), (None, True)], "licence string, commercial boolean")
     assert [r.dataset for r in events.usable_datasets(cat, lic).collect()] == ["x"]
+
+
+def test_mapping_of_an_unknown_column(spark):
+    t = make.table(spark, [make.throw(1)])
+    mapping = spark.createDataFrame([("x", "scoer", "points")], "adapter string, canonical string, vendor string")
+    with pytest.raises(ValueError, match="scoer"):
+        events.to_adapter(t, mapping, "x")
+
+
+def test_vendor_fields_inside_objects(spark):
+    raw = spark.createDataFrame([('{"id":"1","impact":{"xNormalized":1,"vendorTip":2},"detected":{"score":1}}',), ('{"impact":null}',)], "raw string")
+    assert [r.leaked for r in events.vendor_leak(raw, "raw").collect()] == [["impact.vendorTip"]]

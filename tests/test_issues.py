@@ -78,7 +78,7 @@ def test_claims(spark):
 
 def test_resolutions(spark):
     body = (
-        "## Decisions so far\n\n- [#2](u) use files\n- #4: Because of A.\n  And of B.\n- see #5\n"
+        "## Decisions so far\n\n- [#2](u) use files\n- #4: Because of A.\n  And of B.\n- see #5\n- #4 again, unlike #6\n"
         "## Not yet specified\n\n- #6 Because\n"
     )
     rows = [ticket(1, title="[Wayfinder Map] m", body=body)] + [ticket(n, state="closed") for n in (2, 3, 4, 5, 6)] + [ticket(7)]

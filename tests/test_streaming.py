@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ocheline import schemas
 from ocheline.operators import corrections, events, games, vision
 from ocheline.sources import outbox
-from ocheline.streaming import live, sources
+from ocheline.streaming import live, rules, sources
 
 
 @pytest.fixture(autouse=True)
@@ -185,3 +185,79 @@ def test_forward_and_review(spark, tmp_path):
     routes = spark.read.parquet(str(tmp_path / "routes"))
     assert {(r.route, r["count"]) for r in routes.groupBy("route").count().collect()} == {("review", 1), ("accept", 5)}
     assert spark.read.parquet(str(tmp_path / "store")).count() == 6
+
+
+def test_late_throws_never_bring_the_closing_forward(spark, tmp_path):
+    """The newest throw counts for the idle time, not the newest of the last batch."""
+    g = make.game(spark, "X01", 101, True, ("s", "t"))
+    feed = Feed(spark, tmp_path)
+    for part in (
+        [make.throw(1, "S1", second=0), make.throw(2, "T10", second=7200)],
+        [make.throw(3, "S20", second=5500)],
+        [make.throw(8, "S1", session="t", second=9300 + 1800)],
+        [make.throw(4, "S12", second=10000)],
+        [make.throw(9, "S1", session="t", second=9301 + 1800)],
+    ):
+        feed.add(part)
+        stream = sources.stream_throws(spark, feed.path, "30 minutes")
+        found = run(live.live_scores(stream, g, idle="1 hour"), tmp_path, "update")
+    assert not found.filter("closed AND session_id = 's'").count()
+    assert last_lines(found, "session_id")[("s",)] == (38, "scored", 4)
+
+
+@pytest.mark.parametrize("kind,start,value", [("X01", 101, 38), ("Cricket", 0, 0)])
+def test_closed_session_goes_on_where_it_stood(spark, tmp_path, kind, start, value):
+    g = make.game(spark, kind, start, True, ("s", "t"))
+    feed = Feed(spark, tmp_path)
+    for part in (
+        [make.throw(1, "T19"), make.throw(2, "S5")],
+        [make.throw(3, "S1", session="t", second=20000)],
+        [make.throw(4, "S1", session="t", second=20001)],
+        [make.throw(5, "S1", second=20002)],
+    ):
+        feed.add(part)
+        stream = sources.stream_throws(spark, feed.path, "1 minute")
+        found = run(live.live_scores(stream, g, idle="1 hour"), tmp_path, "update")
+    assert found.filter("closed AND session_id = 's'").count() == 1
+    line = last_lines(found, "session_id")[("s",)]
+    assert line[0] == value and line[2] == 3
+
+
+@pytest.mark.parametrize("kind", ["X01", "Cricket"])
+def test_legs_resume_from_any_point(kind):
+    rng = random.Random(4)
+    for _ in range(30):
+        throws = [
+            rules.Throw(i, str(i), rng.choice("ab"), rng.choice([0, 15, 16, 17, 18, 19, 20, 25, 7]), rng.choice([1, 1, 2]))
+            for i in range(60)
+        ]
+        whole = rules.play(kind, throws, 301, True)
+        cut = rng.randrange(61)
+        # Both players are known from the start, as in a leg that began.
+        opening = rules.play(kind, throws[:cut], 301, True)
+        if kind == "Cricket" and len(opening.players) < 2:
+            continue
+        assert rules.play(kind, throws[cut:], 301, True, opening.saved()).lines() == whole.lines()
+
+
+def test_lines_that_are_no_events_do_not_end_the_stream(spark, tmp_path):
+    g = make.game(spark, "X01", 101, True, ("s",))
+    feed = Feed(spark, tmp_path)
+    feed.add([make.throw(1, "S1")])
+    (tmp_path / "in" / "bad.json").write_text('{"id": "2", "sess\n{"id": "3", "capturedAt": "noon"}\n')
+    found = run(live.live_scores(sources.stream_throws(spark, feed.path), g), tmp_path, "update")
+    assert [r.value for r in found.collect()] == [100]
+    bad = run(sources.stream_rejects(spark, feed.path), tmp_path, name="bad").collect()
+    assert {r.reason for r in bad} == {"malformed", "captured_at"} and len(bad) == 2
+
+
+def test_sampled_frames_equal_the_batch(spark, tmp_path):
+    rows = [("st"[i % 2], i, make.at(7 * i), 0, "web", 1.0) for i in range(80)]
+    path = str(tmp_path / "frames")
+    end = [("end", 1000, make.at(90000), 0, "web", 1.0)]
+    for part in (rows[40:], rows[:40], end):
+        spark.createDataFrame(part, schemas.FRAMES).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schemas.FRAMES).parquet(path).withWatermark("captured_at", "1 hour")
+    seen = run(sources.sampled_frames(stream, "1 minute"), tmp_path, name="sampled")
+    expected = vision.sample_frames(spark.createDataFrame(rows, schemas.FRAMES), 60_000)
+    assert sorted(r.frame_no for r in seen.collect()) == sorted(r.frame_no for r in expected.collect())

@@ -147,3 +147,31 @@ def test_confusion_matrix(spark):
     pairs = spark.createDataFrame([(20, 20), (20, 5), (20, 5), (1, 1)], "detected_segment int, corrected_segment int")
     found = {r.detected_segment: (r["1"], r["5"], r["20"]) for r in reports.confusion_matrix(pairs, [1, 5, 20]).collect()}
     assert found == {20: (0, 2, 1), 1: (1, 0, 0)}
+
+
+def test_runtime_windows_of_any_width(spark):
+    for width, seconds in (("100 milliseconds", 0.1), ("1 week", 7 * 86400), ("2 minutes", 120)):
+        report = reports.runtime_report(frames(spark, [0] * 3), width).collect()
+        assert {r.frames_per_second * seconds / r.frames for r in report} == {1.0}
+
+
+def test_reports_keep_all_pairs_and_real_values(spark):
+    pairs = spark.createDataFrame(
+        [("1", "9", "s", 0.0, 0.0, 0.123456, 0.0, True), ("2", "2", "t", 0.0, 0.0, 0.0, 0.0, False)],
+        "id string, final_id string, session_id string, detected_x double, detected_y double, "
+        "corrected_x double, corrected_y double, agree boolean",
+    )
+    conditions = spark.createDataFrame([("s", "l", "b", "d")], "session_id string, lighting string, board string, dart string")
+    total = reports.accuracy_report(pairs, conditions).filter("level = 7").first()
+    assert (total.throws, total.agreeing) == (2, 1)
+    error = reports.impact_error(pairs).first()
+    assert (error.throws, error.p50, error.largest) == (1, 0.123456, 0.123456)
+    coarse = reports.impact_error(pairs, corrected_only=False, resolution=0.1).first()
+    assert (coarse.throws, coarse.largest) == (2, 0.123456) and abs(coarse.p95 - 0.095) < 1e-9
+
+
+def test_frames_with_all_landmarks(spark):
+    rows = [("s", 1, n) for n in "nesw"] + [("s", 2, n) for n in "nessnn"] + [("t", 1, n) for n in "nes"]
+    marks = spark.createDataFrame(rows, "session_id string, frame_no bigint, name string")
+    kept = vision.usable_frames(marks.select("session_id", "frame_no").distinct(), marks)
+    assert [tuple(r) for r in kept.collect()] == [("s", 1)]
