@@ -70,17 +70,18 @@ def usable_datasets(catalogue: DataFrame, licences: DataFrame) -> DataFrame:
     return catalogue.join(licences.filter("commercial"), "licence", "left_semi")
 
 
-def assemble_throws(mapped: DataFrame) -> DataFrame:
+def assemble_throws(
+    mapped: DataFrame, identity: Sequence[str] = ("session_id", "frame_no", "calibration_id")
+) -> DataFrame:
     """Throw events from board points that carry segment and multiplier.
 
-    The id is a digest of session, frame and calibration, so a repeated run
-    gives the same event the same id.
+    The id is a digest of the `identity` columns (session, frame and
+    calibration), so a repeated run gives the same event the same id.
     """
     seg, mult = F.col("segment"), F.col("multiplier")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in identity])
     return mapped.select(
-        F.sha2(
-            F.concat_ws("|", "session_id", F.col("frame_no").cast("string"), "calibration_id"), 256
-        ).alias("id"),
+        F.sha2(key, 256).alias("id"),
         "session_id",
         "player_id",
         F.lit(None).cast("string").alias("turn_id"),

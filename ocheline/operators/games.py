@@ -80,9 +80,12 @@ def _with_turns(df: DataFrame, keys: Sequence[str], given: bool) -> DataFrame:
 def assign_turns(throws: DataFrame) -> DataFrame:
     """Turn and dart number per session and player."""
     keys = ["session_id", "player_id"]
-    given = not throws.filter(F.col("turn_id").isNotNull()).isEmpty()
     return over_groups(
-        throws, ["session_id"], ORDER, lambda df: _with_turns(df, keys, given)
+        throws,
+        ["session_id"],
+        ORDER,
+        lambda df, given: _with_turns(df, keys, given),
+        noted=F.col("turn_id").isNotNull(),
     )
 
 
@@ -183,10 +186,11 @@ def _sizes(throws: DataFrame) -> _Sizes:
         .agg(F.max("session").alias("session"), F.max("player").alias("player"), F.max("given").alias("given"))
         .first()
     )
+    given = (top["given"] or 0) > 0
+    # Without turn ids a turn has three darts, else it may have one.
+    most = TURNS_PER_PIECE if given else TURNS_PER_PIECE * DARTS
     return _Sizes(
-        (top["session"] or 0) > hot_limit(throws),
-        (top["player"] or 0) > TURNS_PER_PIECE,
-        (top["given"] or 0) > 0,
+        (top["session"] or 0) > hot_limit(throws), (top["player"] or 0) > most, given
     )
 
 
@@ -278,27 +282,25 @@ def _remaining_after(darts: Column, start: Column, double_out: Column) -> Column
     return folded["remaining"]
 
 
-_OUT = "array<struct<dart:struct<captured_at:{ts},id:string,turn_no:bigint,dart_no:int,score:int,double:boolean>,remaining:int,status:string>>"
-
-
-def _states(darts: Column, start: Column, double_out: Column, out_type: str) -> Column:
+def _states(darts: Column, start: Column, double_out: Column) -> Column:
     """The fold of one piece, with the state after each dart."""
 
     def merge(acc: Column, dart: Column) -> Column:
         def line(after: Column) -> Column:
-            shown = F.struct(
-                dart.alias("dart"),
-                after["remaining"].alias("remaining"),
-                after["status"].alias("status"),
-            )
-            return F.struct(
-                after.alias("state"), F.concat(acc["out"], F.array(shown)).cast(out_type).alias("out")
-            )
+            shown = F.struct(after["remaining"].alias("remaining"), after["status"].alias("status"))
+            return F.struct(after.alias("state"), F.concat(acc["out"], F.array(shown)).alias("out"))
 
         return _let(_step(acc["state"], dart, double_out), line)
 
-    zero = F.struct(_initial(start).alias("state"), F.array().cast(out_type).alias("out"))
-    return F.aggregate(darts, zero, merge)["out"]
+    nothing = F.array().cast("array<struct<remaining:int,status:string>>")
+    zero = F.struct(_initial(start).alias("state"), nothing.alias("out"))
+    return F.zip_with(
+        darts,
+        F.aggregate(darts, zero, merge)["out"],
+        lambda dart, o: F.struct(
+            dart.alias("dart"), o["remaining"].alias("remaining"), o["status"].alias("status")
+        ),
+    )
 
 
 def x01_states(
@@ -311,17 +313,16 @@ def x01_states(
     `counted` may name a table that has at least these throws and is cheaper to
     count, such as the stored events where `throws` is a result.
     """
-    out_type = _OUT.format(ts=throws.schema["captured_at"].dataType.simpleString())
     sizes = _sizes(throws if counted is None else counted)
 
     def play(legs: DataFrame) -> DataFrame:
-        return _x01(legs, out_type, sizes)
+        return _x01(legs, sizes)
 
     columns = ["turn_id", "multiplier", "score"]
     return _over_legs(throws, games, "X01", columns, sizes.hot, play)
 
 
-def _x01(legs: DataFrame, out_type: str, sizes: _Sizes) -> DataFrame:
+def _x01(legs: DataFrame, sizes: _Sizes) -> DataFrame:
     player = [*LEG, "player_id"]
     pieces = (
         _with_turns(legs, player, sizes.given_turns)
@@ -352,7 +353,7 @@ def _x01(legs: DataFrame, out_type: str, sizes: _Sizes) -> DataFrame:
         pieces = pieces.withColumn("start", F.col("start_score"))
     folded = pieces.select(
         *player,
-        _states(F.col("darts"), F.col("start"), F.col("double_out"), out_type).alias("out"),
+        _states(F.col("darts"), F.col("start"), F.col("double_out")).alias("out"),
     )
     finish = F.filter("out", lambda o: o["status"] == "finish")
     folded = folded.withColumn(
@@ -388,11 +389,13 @@ def _with_piece_starts(pieces: DataFrame, player: Sequence[str]) -> DataFrame:
     can be left before it. Such tables chain, so a leg of any length is worked
     off in steps of bounded size. What the first piece leaves bounds the table.
     """
-    first = pieces.filter(F.col("piece") == 0).select(
+    # A leg of more than one piece has a second one; only those legs are chained.
+    long = pieces.filter(F.col("piece") == 1).select(*[F.col(c).alias(f"_f_{c}") for c in player])
+    same = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in player]
+    first = pieces.filter(F.col("piece") == 0).join(long, same, "left_semi").select(
         *[F.col(c).alias(f"_f_{c}") for c in player],
         _remaining_after(F.col("darts"), F.col("start_score"), F.col("double_out")).alias("head"),
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in player]
     later = pieces.filter(F.col("piece") > 0).join(first, same).drop(*[f"_f_{c}" for c in player])
     effects = cut_lineage(
         later.select(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ocheline.plans.ordered import hot_limit
+from ocheline.plans.storage import cut_lineage
+
 BROADCAST_ROWS = 100_000
 
 
@@ -26,8 +29,10 @@ def interval_lookup(
 
     Every interval is spread over the grid cells it touches, which makes the
     range condition an equi-join on the cell. The interval side is broadcast
-    only when its count allows; otherwise it is repeated per salt, so that a
-    cell which holds most of the facts is still shared by many tasks.
+    only when its count allows. Otherwise a cell that holds more facts than the
+    row limit of `plans.ordered` is divided by salts, and its intervals are
+    repeated for each, so that it is shared by many tasks; others are joined
+    as they are. An interval should not be very much wider than a cell.
     """
     cells = intervals.withColumn(
         "_cell",
@@ -43,11 +48,26 @@ def interval_lookup(
         side = F.broadcast(cells.withColumnRenamed("_cell", "_icell"))
         joined = keyed.join(side, (F.col("_cell") == F.col("_icell")) & in_range, "left")
         return joined.drop("_cell", "_icell", "_value")
-    salts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = cells.withColumnRenamed("_cell", "_icell").withColumn(
-        "_isalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    # Only cells with more facts than a task should have are salted, by their size.
+    limit = hot_limit(facts)
+    crowded = cut_lineage(
+        keyed.groupBy(F.col("_cell").alias("_hcell"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > limit)
+        .select("_hcell", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_salts"))
+    )
+    salts = F.coalesce("_salts", F.lit(1))
+    side = (
+        cells.withColumnRenamed("_cell", "_icell")
+        .join(crowded, F.col("_icell") == F.col("_hcell"), "left")
+        .withColumn("_isalt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("_hcell", "_salts")
+    )
+    spread = (
+        keyed.join(crowded, F.col("_cell") == F.col("_hcell"), "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), salts).cast("int"))
+        .drop("_hcell", "_salts")
     )
-    spread = keyed.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
     joined = spread.join(
         side,
         (F.col("_cell") == F.col("_icell")) & (F.col("_salt") == F.col("_isalt")) & in_range,

@@ -34,16 +34,20 @@ def over_groups(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    body: Callable[[DataFrame], DataFrame],
+    body: Callable[..., DataFrame],
+    noted: Column | None = None,
 ) -> DataFrame:
     """Apply `body`, made of `running` steps, to groups of any size.
 
     Ordinary groups go through `body` as they are. The rows of over-large ones
-    go through it a second time, cut into chunks.
+    go through it a second time, cut into chunks. With a condition `noted`,
+    `body` is also told whether it holds for any row, which is found out in
+    the pass that counts the groups.
     """
-    cold, hot = split_hot(df, keys, order)
-    done = body(cold)
-    return done if hot is None else done.unionByName(body(hot).drop(CHUNK))
+    cold, hot, found = _split(df, keys, order, noted)
+    told = () if noted is None else (found,)
+    done = body(cold, *told)
+    return done if hot is None else done.unionByName(body(hot, *told).drop(CHUNK))
 
 
 def split_hot(
@@ -56,17 +60,31 @@ def split_hot(
     the order of two others. They are written at that point, since the number
     must not change when a task is repeated.
     """
+    return _split(df, keys, order, None)[:2]
+
+
+def _split(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], noted: Column | None
+) -> tuple[DataFrame, DataFrame | None, bool]:
+    """`split_hot`, and whether `noted` holds for any row, with one pass over `df`."""
     limit = hot_limit(df)
     names = [f"_hot_{k}" for k in keys]
     sizes = (
         df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)])
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > limit)
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.bool_or(F.lit(False) if noted is None else noted).alias("_noted"),
+        )
     )
-    found = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_rows").alias("rows")).first()
+    large = F.col("_rows") > limit
+    found = sizes.agg(
+        F.count_if(large).alias("groups"),
+        F.sum(F.when(large, F.col("_rows"))).alias("rows"),
+        F.bool_or("_noted").alias("noted"),
+    ).first()
     if not found["groups"]:
-        return df, None
-    sizes = cut_lineage(sizes.drop("_rows"))
+        return df, None, bool(found["noted"])
+    sizes = cut_lineage(sizes.filter(large).drop("_rows", "_noted"))
     if found["groups"] <= MAX_BROADCAST_GROUPS:
         sizes = F.broadcast(sizes)
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
@@ -76,7 +94,7 @@ def split_hot(
         .repartitionByRange(parts, *keys, *order)
         .withColumn(CHUNK, F.spark_partition_id())
     )
-    return df.join(sizes, same, "left_anti"), cut_lineage(hot)
+    return df.join(sizes, same, "left_anti"), cut_lineage(hot), bool(found["noted"])
 
 
 def is_split(df: DataFrame) -> bool:

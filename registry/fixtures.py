@@ -344,6 +344,35 @@ def frames_of(events: DataFrame) -> DataFrame:
     )
 
 
+def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections keyed by the frame of `frames` they were found in."""
+    return detections(spark, sf_dir).withColumn("frame_no", F.col("throw_id").cast("bigint"))
+
+
+def long_throws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All originals in two sessions of two players, so that legs have hundreds of turns."""
+    number = F.substring("player_id", 2, 20).cast("bigint")
+    return (
+        throws(spark, sf_dir)
+        .filter(F.col("correction_of").isNull())
+        .withColumns(
+            {
+                "session_id": F.concat(F.lit("L"), (F.floor(number / 2) % 2).cast("string")),
+                "player_id": F.concat(F.lit("q"), (number % 2).cast("string")),
+            }
+        )
+    )
+
+
+def long_games(spark: SparkSession) -> DataFrame:
+    """One leg of either session; 1,001 is not finished soon."""
+    rows = [("L0", "X01", 1001, True), ("L1", "X01", 501, False)]
+    legs = spark.createDataFrame(
+        rows, "session_id string, game_type string, start_score int, double_out boolean"
+    )
+    return legs.withColumn("started_at", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two legs per session: from its first throw, and from the 16th."""
     n = F.col("pair")

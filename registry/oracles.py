@@ -98,7 +98,7 @@ PARTS["cal"] = """
 
 PARTS["det"] = """
   SELECT event_id, CAST(event_id AS VARCHAR) AS throw_id, view, event_id * 3 + view AS frame_no,
-         session_id, ts AS captured_at, calibration_id, x + (view - 1) * 0.002e0 AS bx, y AS by0,
+         session_id, player_id, ts AS captured_at, calibration_id, x + (view - 1) * 0.002e0 AS bx, y AS by0,
          ((k + 31 * view) % 100 + 1) / 101e0 AS confidence
   FROM ev, (SELECT unnest([0, 1, 2]) AS view)"""
 
@@ -727,6 +727,47 @@ ORACLES: dict[str, str] = {
     ),
 }
 
+_X01_SQL = """SELECT d.id, d.n // 3 AS turn_no, CAST(d.n % 3 + 1 AS INTEGER) AS dart_no,
+                  CASE WHEN coalesce(d.captured_at > e.ended, FALSE) THEN NULL
+                       ELSE CAST(l.remaining AS INTEGER) END AS remaining,
+                  CASE WHEN d.captured_at > e.ended THEN 'after' ELSE l.status END AS status
+           FROM x01_line l JOIN x01_dart d USING (session_id, started_at, player_id, n)
+           LEFT JOIN leg_end e USING (session_id, started_at)"""
+_LONG = """
+  SELECT id, session_id, player_id, TIMESTAMP '2020-01-01' AS started_at, captured_at,
+         CASE session_id WHEN 'L0' THEN 1001 ELSE 501 END AS start_score,
+         session_id = 'L0' AS double_out, score, multiplier = 2 AS dbl,
+         row_number() OVER (PARTITION BY session_id, player_id ORDER BY captured_at, id) - 1 AS n
+  FROM (SELECT id, captured_at, score, multiplier,
+               'L' || (CAST(substr(player_id, 2) AS BIGINT) // 2 % 2) AS session_id,
+               'q' || (CAST(substr(player_id, 2) AS BIGINT) % 2) AS player_id
+        FROM thr WHERE correction_of IS NULL)"""
+# Throws by new tips, each with the next best tip of its frame, at its board point.
+_SEEN = f"""
+  SELECT *, row_number() OVER (PARTITION BY session_id, started_at, player_id
+                               ORDER BY captured_at, id) - 1 AS n
+  FROM (
+    WITH seen AS (SELECT * FROM ({ORACLES["w2_detect_throws"]})),
+    tried AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY confidence DESC, view)
+                AS place FROM det),
+    dart AS (
+      SELECT t.session_id, t.player_id, t.captured_at, t.bx AS x, t.by0 AS y, t.calibration_id,
+             sha256(t.session_id || '|' || s.frame_no || '|' || t.calibration_id || '|'
+                    || (s.throws_so_far - s.new_tips + t.place)) AS id
+      FROM seen s JOIN tried t ON t.event_id = s.frame_no AND t.place <= s.new_tips
+      WHERE t.calibration_id IN (SELECT calibration_id FROM cal)),
+    polar AS ({PARTS["polar"].replace("FROM ev", "FROM dart")}),
+    hit AS ({PARTS["hit"]})
+    SELECT h.id, h.session_id, h.player_id, g.started_at, h.captured_at, g.start_score,
+           g.double_out, h.score, h.multiplier = 2 AS dbl
+    FROM hit h ASOF JOIN game g
+      ON g.session_id = h.session_id AND h.captured_at >= g.started_at
+    WHERE g.game_type = 'X01')"""
+ORACLES |= {
+    "e1_long_legs": _sql(_X01_SQL, "thr", "leg_end", instead={"x01_dart": _LONG}),
+    "e5_frames_to_states": _sql(_X01_SQL, "det", "cal", "game", "leg_end", instead={"x01_dart": _SEEN}),
+}
+
 # In a stream an error corrects an event of its own session.
 _LIVE = {
     "thr": PARTS["thr"]

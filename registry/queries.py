@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocheline.operators import board, corrections, events, games, issues, reports, vision
+from ocheline.operators import (
+    board,
+    corrections,
+    events,
+    games,
+    issues,
+    recognition,
+    reports,
+    vision,
+)
 from registry import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,6 +395,24 @@ def e1_x01_states(spark, d):
     )
 
 
+@query
+def e1_long_legs(spark, d):
+    """X01 where a leg is folded in several pieces."""
+    states = games.x01_states(fx.long_throws(spark, d), fx.long_games(spark))
+    return states.select("id", "turn_no", "dart_no", "remaining", "status")
+
+
+@query
+def e5_frames_to_states(spark, d):
+    """The whole way: frames, throws, tips, calibrations, segments, events, game."""
+    seen = recognition.throws_from_frames(
+        fx.frames(spark, d), fx.tips(spark, d), fx.calibrations(spark, d)
+    )
+    return games.x01_states(seen, fx.games(spark, d)).select(
+        "id", "turn_no", "dart_no", "remaining", "status"
+    )
+
+
 @query
 def e2_cricket_standings(spark, d):
     t = fx.throws(spark, d)

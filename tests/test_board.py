@@ -68,6 +68,12 @@ def test_no_point_no_segment(spark):
     assert board.map_segment(df, board.board_spec(spark)).first()["segment"] is None
 
 
+def test_crowded_cells_of_a_large_ring_table(spark, monkeypatch, hot):
+    monkeypatch.setattr(joins.interval_lookup, "__defaults__", (0,))
+    points = [p for p, _ in CASES] * 9
+    assert mapped(spark, points, board.board_spec(spark)) == mapped(spark, points)
+
+
 def test_ring_table_too_large_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(joins.interval_lookup, "__defaults__", (0,))
     points = [p for p, _ in CASES]

@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import os
 import re
 
 import make
@@ -23,6 +24,13 @@ def plan(df) -> str:
     return out.getvalue()
 
 
+def test_tables_of_a_session_can_be_removed(spark):
+    kept = storage.cut_lineage(spark.range(3))
+    assert kept.count() == 3 and storage.session_folder(spark) in kept.inputFiles()[0]
+    storage.remove_tables(spark)
+    assert not os.path.exists(storage.session_folder(spark))
+
+
 @pytest.fixture
 def no_broadcast(spark):
     key = "spark.sql.autoBroadcastJoinThreshold"
