@@ -95,9 +95,9 @@ def joined(found: Words) -> Words:
     if total:
         inside[ends - 1] = False
         source = np.zeros(len(found.data) + 1, np.int8)
-        source[found.starts] += 1
-        np.subtract.at(source, found.ends, 1)
-        out[inside] = found.data[np.cumsum(source[:-1], dtype=np.int8).astype(bool)]
+        source[found.starts] += 1  # no two words start or end at one place
+        source[found.ends] -= 1
+        out[inside] = found.data[np.cumsum(source[:-1], dtype=np.int8).view(bool)]
     return Words(out, starts, ends - 1, found.first)
 
 
@@ -106,12 +106,17 @@ _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uin
 _BASE, _GAP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    if n:
-        up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo 2^64, as products of large and small steps."""
+    step = 4096
+
+    def row(factor: int, size: int) -> np.ndarray:
+        out = np.full(size, factor, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out)
+
+    large = row(pow(base, step, 1 << 64), n // step + 1)
+    return (large[:, None] * row(base, step)).ravel()[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -125,12 +130,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hash modulo 2^64 of the runs values[start:end]."""
-    up, down = _powers(base, len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
+    np.cumsum(values * _powers(base, len(values)), out=sums[1:])
+    down = _powers(pow(base, -1, 1 << 64), len(values) + 1)
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+def members(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes are among the sorted ones of `known`."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    # Most others are told by a table of some of their bits.
+    bits = np.uint64(max(10, min(24, int(len(known)).bit_length() + 3)))
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    table = np.zeros(1 << int(bits), bool)
+    table[known & mask] = True
+    out = table[values & mask]
+    some = np.flatnonzero(out)
+    place = np.minimum(np.searchsorted(known, values[some]), len(known) - 1)
+    out[some] = known[place] == values[some]
+    return out
+
+
 def word_hashes(found: Words) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     if not len(found.starts):

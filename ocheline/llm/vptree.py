@@ -37,7 +37,7 @@ SAMPLE = 1 << 22
 PER_SHARD = 32
 MAX_DEPTH = 20
 SHARD_ROWS = 2000
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 
 
 def _fingerprints(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.pieces(batches, "text"):
+        for part in tx.pieces(batches, "text", 1 << 20):
             fp = _fingerprints(part, "text").view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp)], ["id", "fp"])
 
