@@ -20,6 +20,7 @@ one row, however many copies there are elsewhere or in it.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -62,8 +63,11 @@ class Texts:
         # Windows and anchors may start so close to a text's end that they cross it.
         left = np.repeat(first[1:], self.words.counts) - np.arange(n)
         self.full = left[: max(0, n - window + 1)] >= window
-        grams = tx.window_hashes(self.hashes, anchor)
-        self.grams = np.minimum(grams, _NONE - np.uint64(1))
+
+    @functools.cached_property
+    def grams(self) -> np.ndarray:
+        """The hash of the anchor at each word."""
+        return np.minimum(tx.window_hashes(self.hashes, self.anchor), _NONE - np.uint64(1))
 
     def least(self, grams: np.ndarray) -> np.ndarray:
         """The smallest gram of each window."""
@@ -174,13 +178,14 @@ def without_repeats(
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = np.unique(right.column("hash").to_numpy().view(np.uint64))
         phrases: set[str] = set()
-        for _, texts in _texts(left, window, anchor):
-            some = np.flatnonzero(np.isin(texts.grams, wanted) & texts.elected())
+        every = [texts for _, texts in _texts(left, window, anchor)]
+        for texts in every:
+            some = np.flatnonzero(tx.members(texts.grams, wanted) & texts.elected())
             _, first = np.unique(texts.grams[some], return_index=True)
             phrases.update(map(texts.phrase, some[first].tolist()))
         made = automata(sorted(phrases))
         found = [np.zeros(0, np.uint64)]
-        for _, texts in _texts(left, window, anchor) if made else ():
+        for texts in every if made else ():
             found.append(texts.window_hashes()[texts.candidates(texts.located(made))])
         hashes, counts = np.unique(np.concatenate(found), return_counts=True)
         part = (left if left.num_rows else right).column("part")[0].as_py()
@@ -197,7 +202,7 @@ def without_repeats(
         out: list[list] = [[], [], [], []]
         for piece, texts in _texts(left, window, anchor):
             w = texts.words
-            starts = np.flatnonzero(texts.full & np.isin(texts.window_hashes(), repeats))
+            starts = np.flatnonzero(texts.full & tx.members(texts.window_hashes(), repeats))
             gone = tx.covered(starts, np.full(len(starts), window), len(w.starts))
             kept = tx.joined(tx.Words(w.data, w.starts[~gone], w.ends[~gone], _ends(~gone, w.first)))
             raw, ends = kept.data.tobytes(), np.append(kept.starts, len(kept.data))[kept.first].tolist()
