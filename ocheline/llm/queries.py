@@ -20,7 +20,7 @@ from ocheline.llm import (
     vptree,
     wu_manber,
 )
-from ocheline.plans.storage import shared_folder
+from ocheline.plans.storage import session_folder
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,7 +65,7 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, written as Simple-8b blocks and read back."""
-    path = f"{shared_folder(spark)}/simple8b-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/simple8b-{uuid.uuid4().hex}"
     with open(BYTE_BPE, encoding="utf-8") as f:
         simple8b.write_ids(table(spark, sf_dir, "documents"), path, f.read(), END_ID)
     return simple8b.read_ids(spark, path).select(
