@@ -28,8 +28,8 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 class ChunkEncoder:
     """Ids of chunks, by an `encode` that maps chunks to (all ids, number of ids of each)."""
 
-    def __init__(self, encode: Encode) -> None:
-        self._encode = encode
+    def __init__(self, encode: Encode, most: int = MAX_CHUNKS) -> None:
+        self._encode, self._most = encode, most
         self._forget()
 
     def _forget(self) -> None:
@@ -70,7 +70,7 @@ class ChunkEncoder:
             [None, pa.py_buffer(np.ascontiguousarray(borders, np.int64)), pa.py_buffer(data)],
         ).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self._known) > MAX_CHUNKS:
+        if len(self._known) > self._most:
             self._forget()
         if new := [c for c in distinct if c not in self._known]:
             self._learn(new)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ocheline.llm import text as tx
-from ocheline.llm.chunks import ChunkEncoder
+from ocheline.llm.chunks import ChunkEncoder, gather
 
 # How many ids of which width each selector packs.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -40,7 +40,21 @@ MAGIC = b"S8B1"
 BLOCK = 1024
 ESCAPE = np.uint64((1 << 60) - 1)
 # About so much text makes one ordered part of the corpus.
-PART_BYTES = 48 << 20
+PART_BYTES = 64 << 20
+# Different chunks that a task remembers.
+MOST_CHUNKS = 1_000_000
+
+
+def _widths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that each value needs, 60 for escaped ones; and which those are."""
+    bounds = np.uint64(1) << np.arange(60, dtype=np.uint64)
+    if values.max(initial=0) < 1 << 16:
+        small = np.searchsorted(bounds[:16], np.arange(1 << 16), "right").astype(np.uint8)
+        return small[values.astype(np.uint16)], np.zeros(values.shape, bool)
+    width = np.searchsorted(bounds, values.ravel(), "right").reshape(values.shape).astype(np.uint8)
+    large = values >= ESCAPE
+    width[large] = 60
+    return width, large
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +65,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(blocks * BLOCK, np.uint64)
     padded[:total] = ids
     values[:, :BLOCK] = padded.reshape(blocks, BLOCK)
-    large = values >= ESCAPE
-    bounds = np.uint64(1) << np.arange(60, dtype=np.uint64)
-    width = np.searchsorted(bounds, values.ravel(), "right").reshape(values.shape).astype(np.uint8)
-    width[large] = 60
-    width[:, BLOCK:] = 0
+    width, large = _widths(values)
     selector = np.full((blocks, BLOCK), 15, np.uint8)
     most, size = width, 1
     for s in range(14, -1, -1):
@@ -76,13 +86,13 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     block, place = start // BLOCK, start % BLOCK
     chosen = selector[block, place]
     escaped = large[block, place]
-    words = chosen.astype(np.uint64) << np.uint64(60)
+    words, flat = chosen.astype(np.uint64) << np.uint64(60), values.ravel()
     for s in range(2, 16):
         rows = np.flatnonzero(chosen == s)
+        at, word = block[rows] * values.shape[1] + place[rows], words[rows]
         for k in range(int(COUNTS[s])):
-            words[rows] |= values[block[rows], place[rows] + k] << np.uint64(k * int(WIDTHS[s])) if s < 15 else (
-                np.minimum(values[block[rows], place[rows]], ESCAPE)
-            )
+            word |= np.minimum(flat[at + k], ESCAPE) << np.uint64(k * int(WIDTHS[s]))
+        words[rows] = word
     where = np.arange(len(words)) + np.cumsum(escaped) - escaped
     out = np.zeros(len(words) + int(escaped.sum()), np.uint64)
     out[where] = words
@@ -186,25 +196,32 @@ def bpe_encoder(tokenizer_json: str) -> ChunkEncoder:
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [c.decode() for c in chunks]
         # Chunks without white space inside may stand in one text, a line each.
-        plain = [len(t.split()) == 1 and t.lstrip(" ") == t.strip() and t[:2] != "  " for t in texts]
-        ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        lines = [k for k, p in enumerate(plain) if p]
-        groups = [lines[s : s + 200] for s in range(0, len(lines), 200)]
-        joined = ["\n".join([texts[k] for k in g]) for g in groups]
-        for group, found in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            every = np.array(found.ids, np.uint32)
-            for k, one in zip(group, np.split(every, np.flatnonzero(every == line))):
-                ids[k] = one
-        for group in groups:
-            for k in group[1:]:
-                ids[k] = ids[k][1:]
-        rest = [k for k, p in enumerate(plain) if not p]
+        plain = np.fromiter((t[1:].isalpha() or _one_word(t) for t in texts), bool, len(texts))
+        lines, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids, lengths = [], np.zeros(len(texts), np.int64)
+        for s in range(0, len(lines), 20_000):
+            part = lines[s : s + 20_000].tolist()
+            joined = ["\n".join([texts[k] for k in part[g : g + 200]]) for g in range(0, len(part), 200)]
+            for found in tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+                ids += [found.ids, [line]]
+        every = np.concatenate([np.zeros(0, np.uint32), *(np.array(i, np.uint32) for i in ids)])
+        ends = np.flatnonzero(every == line)
+        lengths[lines] = np.diff(ends, prepend=-1) - 1
         found = tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
-        for k, one in zip(rest, found):
-            ids[k] = np.array(one.ids, np.uint32)
-        return np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
+        others = [np.array(one.ids, np.uint32) for one in found]
+        lengths[rest] = [len(o) for o in others]
+        pool = np.concatenate([every[every != line], *others])
+        order = np.concatenate([lines, rest])
+        starts = np.zeros(len(texts), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return gather(pool, starts, lengths), lengths
+
+    return ChunkEncoder(encode, MOST_CHUNKS)
+
 
-    return ChunkEncoder(encode)
+def _one_word(text: str) -> bool:
+    """No white space but for a single space in front, and something behind that."""
+    return len(text.split()) == 1 and text.lstrip(" ") == text.strip() and text[:2] != "  "
 
 
 def write_ids(
