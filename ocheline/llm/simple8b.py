@@ -196,7 +196,11 @@ def bpe_encoder(tokenizer_json: str) -> ChunkEncoder:
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [c.decode() for c in chunks]
         # Chunks without white space inside may stand in one text, a line each.
-        plain = np.fromiter((t[1:].isalpha() or _one_word(t) for t in texts), bool, len(texts))
+        plain = np.fromiter(
+            (t[1:].isalpha() and (t[0] == " " or t[0].isalpha()) or _one_word(t) for t in texts),
+            bool,
+            len(texts),
+        )
         lines, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
         ids, lengths = [], np.zeros(len(texts), np.int64)
         for s in range(0, len(lines), 20_000):

@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -107,6 +107,7 @@ def test_simple8b_words():
 
 
 @given(st.text(alphabet=st.sampled_from(list("ab A1'.,…é×à \n\t\r\u00a0\u3000日😀") + ["\u0301", "s"]), max_size=60))
+@example("\nA")
 @settings(max_examples=300, deadline=None)
 def test_chunks_encode_like_whole_texts(text):
     data, offsets = tx.flat(pa.array([text, "x" + text]))
