@@ -6,7 +6,8 @@ links, distrust that of the blocked seeds against them (who links to bad hosts
 is suspect). Links are those of the pages, counted once for each pair of hosts,
 and one between each host and its parent domain, in both directions, since a
 subdomain is its owner's. A host without rule is blocked if its distrust is
-above THRESHOLD and above its trust.
+above its trust and above a bound. Distrust sums to 1 at most over all hosts, so
+the bound is one on distrust times hosts: THRESHOLD among THRESHOLD_HOSTS hosts.
 
 Everything is DataFrame operations. Links are added up per pair of hosts before
 they are shuffled; scores are joined to links by host and added up by host.
@@ -25,6 +26,8 @@ from ocheline.plans.storage import cut_lineage
 DAMPING = 0.85
 ROUNDS = 12
 THRESHOLD = 0.001
+# The number of hosts that THRESHOLD is for; among n times as many it is an nth.
+THRESHOLD_HOSTS = 60
 # A table of links is written anew each so many rounds, so that plans stay short.
 CUT_EVERY = 3
 
@@ -153,7 +156,8 @@ def judge(
     """`pages` with host, path, rule, verdict, trust and distrust; clashing columns are replaced.
 
     A rule decides where one fits; else the method does: a host is blocked if
-    its distrust is above `threshold` and its trust. Null urls and those
+    its distrust is above its trust and above `threshold` * THRESHOLD_HOSTS /
+    hosts, for the number of hosts of `pages`. Null urls and those
     without :// have an empty host and path, no rule, and are allowed, since
     nothing is known against them. Repeated rows are judged alike but count as
     more pages of their host. An empty table gives an empty result.
@@ -170,6 +174,8 @@ def judge(
         .groupBy(F.col("h").alias("host"), "v")
         .agg(F.count("*").cast("double").alias("weight"))
     )
+    hosts = narrow.where("h <> ''").agg(F.countDistinct("h")).first()[0]
+    bound = threshold * (THRESHOLD_HOSTS / max(1, hosts))
     links = cut_lineage(host_links(narrow, "u", "html"))
     against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     trusted = spread(links, seeds.where("v = 'allow'").select("host", "weight"))
@@ -183,7 +189,7 @@ def judge(
     joined = pages.withColumn(mark, host_of(url)).join(scores, F.col(mark) == F.col("_host"), "left")
     rule, verdict = rule_for(F.col(mark), path_of(url), rules)
     trust, distrust = F.coalesce("_t", F.lit(0.0)), F.coalesce("_d", F.lit(0.0))
-    method = F.when((distrust > threshold) & (distrust > trust), "block").otherwise("allow")
+    method = F.when((distrust > bound) & (distrust > trust), "block").otherwise("allow")
     return joined.select(
         *[pages[c] for c in pages.columns if c not in added],
         F.col(mark).alias("host"),

@@ -152,6 +152,23 @@ def test_spread_against_dense_matrix(spark):
         assert got.get(f"h{k}", 0.0) == pytest.approx(rank[k])
 
 
+def test_verdicts_do_not_hang_on_the_number_of_hosts(spark):
+    rows = [(f"http://bad{k}.com/de/{j}", "") for k in range(3) for j in range(20)]
+    rows += [("http://ads.net/x", '<a href="http://bad0.com/de/1">'), ("http://bad0.com/x", ""), ("http://calm.net/", "")]
+    schema = "url string, html string, copy int"
+
+    def verdicts(copies):
+        many = [
+            (u.replace(".", f"x{c}."), h.replace(".", f"x{c}."), c) for c in range(copies) for u, h in rows
+        ]
+        found = url_trust.judge(spark.createDataFrame(many, schema)).select("url", "copy", "verdict").collect()
+        return {(r["url"].replace(f"x{r['copy']}.", "."), r["verdict"]) for r in found}
+
+    once = verdicts(1)
+    assert ("http://ads.net/x", "block") in once and ("http://calm.net/", "allow") in once
+    assert verdicts(300) == once
+
+
 def test_url_filter_runs_no_python(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert "Python" not in url_trust.judge(df)._jdf.queryExecution().toString()
