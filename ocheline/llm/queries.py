@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocheline.llm import (
+    bpe_tree,
     ftrl,
+    importance,
     kd_shards,
+    negatives,
     phrases,
     pstable,
     secrets,
@@ -121,6 +124,33 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, long ones by tree concatenation, decoded again."""
+    with open(BYTE_BPE, encoding="utf-8") as f:
+        vocabulary = f.read()
+    ids = bpe_tree.encoded(table(spark, sf_dir, "documents"), vocabulary)
+    return bpe_tree.decoded(ids, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by how likely their words are in the benchmark."""
+    return importance.resampled(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the first positives of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -134,6 +164,9 @@ QUERIES = {
         op8_vptree,
         op9_ftrl,
         op10_secrets,
+        op11_bpe_tree,
+        op12_importance,
+        op13_negatives,
     )
 }
 
@@ -300,4 +333,66 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op10_secrets": _op10_sql(),
+    "op12_importance": r"""
+WITH RECURSIVE steps AS (
+    SELECT range AS byte, range AS crc, 0 AS k FROM range(256)
+    UNION ALL SELECT byte, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, k + 1
+    FROM steps WHERE k < 8),
+lookup AS MATERIALIZED (SELECT list(crc ORDER BY byte) AS crcs FROM steps WHERE k = 8),
+texts AS (
+    SELECT 's' AS side, doc_id AS id, text FROM documents
+    UNION ALL SELECT 't', NULL, text FROM benchmark),
+words AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, side, id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+each AS MATERIALIZED (
+    SELECT r, side, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS feature
+    FROM words),
+hexed AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM each)),
+coded AS MATERIALIZED (
+    SELECT feature, xor(list_reduce(
+        [('0x' || h[2 * i - 1:2 * i])::BIGINT FOR i IN range(1, len(h) // 2 + 1)],
+        lambda c, b: xor(c >> 8, crcs[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 AS bucket
+    FROM hexed, lookup),
+counts AS (
+    SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t
+    FROM each JOIN coded USING (feature) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM counts),
+gains AS MATERIALIZED (
+    SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+    FROM counts, sums),
+weights AS (
+    SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+    FROM each JOIN coded USING (feature) JOIN gains USING (bucket) WHERE side = 's' GROUP BY r),
+scored AS (
+    SELECT id AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE)
+            / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM words LEFT JOIN weights USING (r) WHERE side = 's'),
+places AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+        count(*) FILTER (n_words >= 20) OVER () AS n_all FROM scored)
+SELECT doc_id, n_features, weight, score,
+    CASE WHEN n_words >= 20 AND place <= 25 * n_all // 100 THEN place END AS rank
+FROM places""",
+    "op13_negatives": """
+WITH given AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF isfinite(x)]) = len(embedding)),
+scores AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+        list_sum([a.v[i] * b.v[i] FOR i IN range(1, len(a.v) + 1)])::BIGINT AS score
+    FROM given a JOIN given b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+    (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, other_id))::INTEGER AS rank,
+    other_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives JOIN scores s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5""",
 }
