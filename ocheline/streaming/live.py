@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,29 +12,87 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ocheline.plans.storage import cut_lineage
-from ocheline.streaming import rules
+from ocheline.streaming import tracks
 
 SCORES = (
     "session_id string, started_at timestamp, game_type string, player_id string, value int, "
     "status string, throws int, closed boolean"
 )
-_CLOSED = "leg bigint, game string, start int, double_out boolean, saved string"
-_THROW = (
-    "id string, at bigint, player string, segment int, multiplier int, correction_of string, leg bigint, "
-    "game string, start int, double_out boolean, turn string"
+_EVENT = (
+    "at bigint, player string, segment int, multiplier int, correction_of string, leg bigint, turn string"
 )
+# `saved` (JSON) is where a leg stood when it was put away; `roots` the trees of its players since.
+_LEG = "game string, start int, double_out boolean, saved string, roots binary"
 
 
 def _instant(micros: int | None):
     return None if micros is None else pd.Timestamp(micros, unit="us")
 
 
+class _Nodes:
+    """Tree nodes in a map state; a batch reads and writes each once."""
+
+    def __init__(self, state, last):
+        self.state, self.last = state, last
+        self.known: dict[int, bytes] = {}
+        self.changed: set[int] = set()
+        self.number = last.get()[0] if last.exists() else 0
+
+    def get(self, node: int) -> bytes:
+        if node not in self.known:
+            self.known[node] = bytes(self.state.getValue((node,))[0])
+        return self.known[node]
+
+    def put(self, node: int, body: bytes) -> None:
+        self.known[node] = body
+        self.changed.add(node)
+
+    def new(self) -> int:
+        self.number += 1
+        return self.number
+
+    def flush(self) -> None:
+        for node in sorted(self.changed):
+            self.state.updateValue((node,), (self.known[node],))
+        self.last.update((self.number,))
+
+
+class _Leg:
+    """A leg with the trees of its players."""
+
+    def __init__(self, nodes: _Nodes, game: str, start: int, double_out: bool, saved: str | None, roots: bytes | None):
+        self.game, self.start, self.double_out = game, start, double_out
+        self.saved = None if saved is None else json.loads(saved)
+        self.nodes = nodes
+        self.rules = tracks.X01(start, double_out) if game == "X01" else tracks.Cricket()
+        known = {} if roots is None else dict(pickle.loads(roots))
+        self.tracks = {name: tracks.Track(nodes, self.rules, root) for name, root in known.items()}
+
+    def track(self, player: str | None) -> tracks.Track:
+        return self.tracks.setdefault(player, tracks.Track(self.nodes, self.rules))
+
+    def standing(self) -> tracks.Standing:
+        if self.game == "X01":
+            return tracks.x01_standing(self.tracks, self.start, self.saved)
+        return tracks.cricket_standing(self.tracks, self.saved)
+
+    def row(self) -> tuple:
+        saved = None if self.saved is None else json.dumps(self.saved)
+        roots = pickle.dumps([(n, t.saved()) for n, t in self.tracks.items()], 5) if self.tracks else None
+        return self.game, self.start, self.double_out, saved, roots
+
+    def put_away(self) -> None:
+        self.saved, self.tracks = self.standing().saved, {}
+
+
 class _Scoreboard(StatefulProcessor):
-    """Keeps the throws of an open session; what arrives re-scores the legs it touches.
+    """Keeps the events of an open session by id, and its darts in a tree per leg and player.
 
-    When the session is closed its legs are put away as they stand and the
-    throws are dropped, so the state of a closed session is a line per leg and
-    player. Throws that come later go on from there.
+    What arrives changes a path of a tree and costs the chain of its own
+    corrections; neither grows with the session but by its logarithm. When the
+    session is closed its legs are put away as they stand and events and trees
+    are dropped, so the state of a closed session is a line per leg and player.
+    Throws that come later go on from there.
     """
 
     def __init__(self, idle_ms: int):
@@ -40,118 +100,119 @@ class _Scoreboard(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # A refold reads all throws of the open legs, so they are kept as a list
-        # that each batch is appended to at once.
-        self.throws = handle.getListState("throws", _THROW)
+        self.events = handle.getMapState("events", "id string", _EVENT)
+        # The correction in force of an event.
+        self.latest = handle.getMapState("latest", "id string", "at bigint, by string")
+        self.legs = handle.getMapState("legs", "leg bigint", _LEG)
+        self.nodes = handle.getMapState("nodes", "node bigint", "body binary")
+        self.last = handle.getValueState("last", "node bigint")
         self.newest = handle.getValueState("newest", "at bigint")
-        self.closed = handle.getListState("closed", _CLOSED)
 
-    def _stored(self) -> dict[str, tuple]:
-        return {t[0]: tuple(t[1:]) for t in self.throws.get()} if self.throws.exists() else {}
+    def _event(self, id: str, seen: dict) -> tuple | None:
+        """The event of this id, remembered for the batch."""
+        if id not in seen:
+            seen[id] = tuple(self.events.getValue((id,))) if self.events.containsKey((id,)) else None
+        return seen[id]
 
-    def _saved(self) -> dict[int, tuple]:
-        return {c[0]: tuple(c[1:]) for c in self.closed.get()} if self.closed.exists() else {}
+    def _correction(self, id: str, last: dict) -> tuple | None:
+        if id not in last:
+            last[id] = tuple(self.latest.getValue((id,))) if self.latest.containsKey((id,)) else None
+        return last[id]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (session,) = key
-        stored = self._stored()
-        arrived = {}
+        seen: dict[str, tuple | None] = {}
+        last: dict[str, tuple | None] = {}
+        given: dict[int, tuple] = {}
+        arrived = []
         newest = self.newest.get()[0] if self.newest.exists() else 0
         for batch in rows:
             for r in batch.itertuples(index=False):
                 newest = max(newest, int(r.at))
-                if r.id in stored or r.id in arrived:
+                if self._event(r.id, seen) is not None:
                     continue
-                given = pd.notna(r.leg)
-                arrived[r.id] = (
-                    int(r.at),
-                    r.player_id,
-                    int(r.segment),
-                    int(r.multiplier),
-                    r.correction_of,
-                    int(r.leg) if given else None,
-                    r.game_type if given else None,
-                    int(r.start_score) if given else None,
-                    bool(r.double_out) if given else None,
-                    r.turn_id,
-                )
+                leg = int(r.leg) if pd.notna(r.leg) else None
+                if leg is not None:
+                    given[leg] = (r.game_type, int(r.start_score), bool(r.double_out))
+                event = (int(r.at), r.player_id, int(r.segment), int(r.multiplier), r.correction_of, leg, r.turn_id)
+                seen[r.id] = event
+                self.events.updateValue((r.id,), event)
+                arrived.append(r.id)
+                if r.correction_of is not None:
+                    before = self._correction(r.correction_of, last)
+                    if before is None or (event[0], r.id) > before:
+                        last[r.correction_of] = (event[0], r.id)
+                        self.latest.updateValue((r.correction_of,), (event[0], r.id))
         if not arrived:
             return
-        self.throws.appendList([(id, *value) for id, value in arrived.items()])
         self.newest.update((newest,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(newest // 1000 + self.idle_ms)
-        legs = _score({**stored, **arrived}, set(arrived), self._saved())
-        if legs:
-            yield _frame(session, legs, closed=False)
+        changed: dict[tuple, dict] = {}
+        for id in arrived:
+            root = self._root(id, seen)
+            if root is not None and seen[root][5] is not None:
+                at, player, _, _, _, leg, turn = seen[root]
+                value = self._event(self._final(root, last), seen)
+                changed.setdefault((leg, player), {})[(at, root)] = tracks.Dart(value[2], value[3], turn)
+        nodes, legs = _Nodes(self.nodes, self.last), {}
+        for (leg, player), darts in changed.items():
+            if leg not in legs:
+                stored = tuple(self.legs.getValue((leg,))) if self.legs.containsKey((leg,)) else (*given[leg], None, None)
+                legs[leg] = _Leg(nodes, *stored)
+            legs[leg].track(player).merge(darts)
+        lines = []
+        for leg, one in legs.items():
+            lines += _lines(session, leg, one, closed=False)
+            self.legs.updateValue((leg,), one.row())
+        nodes.flush()
+        if lines:
+            yield _frame(lines)
+
+    def _root(self, id: str, seen: dict) -> str | None:
+        """The throw that a chain of corrections hangs on; none if it has not come, or in a cycle."""
+        passed = set()
+        while (event := self._event(id, seen)) is not None:
+            if event[4] is None:
+                return id
+            if id in passed:
+                return None
+            passed.add(id)
+            id = event[4]
+        return None
+
+    def _final(self, id: str, last: dict) -> str:
+        while (correction := self._correction(id, last)) is not None:
+            id = correction[1]
+        return id
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (session,) = key
-        stored = self._stored()
-        saved = self._saved()
-        self.throws.clear()
-        legs = _score(stored, set(stored), saved)
-        for leg, game, start, double_out, state in legs:
-            saved[leg] = (game, start, double_out, state.saved())
-        if saved:
-            self.closed.put([(leg, *rest) for leg, rest in saved.items()])
-        if legs:
-            yield _frame(session, legs, closed=True)
+        nodes, lines = _Nodes(self.nodes, self.last), []
+        for (leg,), stored in list(self.legs.iterator()):
+            one = _Leg(nodes, *stored)
+            if one.tracks:
+                lines += _lines(session, leg, one, closed=True)
+                one.put_away()
+                self.legs.updateValue((leg,), one.row())
+        for state in (self.events, self.latest, self.nodes, self.last):
+            state.clear()
+        if lines:
+            yield _frame(lines)
 
     def close(self) -> None:
         pass
 
 
-def _score(stored: dict, arrived: set, saved: dict) -> list[tuple]:
-    """(leg, game, start, double out, state) of the legs that `arrived` belongs to.
-
-    Corrections stand in the place of their originals; a leg that was put away
-    is taken up from there.
-    """
-    last: dict[str, str] = {}
-    for id, v in stored.items():
-        if v[4] is not None and (v[4] not in last or (v[0], id) > (stored[last[v[4]]][0], last[v[4]])):
-            last[v[4]] = id
-
-    def root_of(id: str) -> str | None:
-        seen = set()
-        while id in stored and stored[id][4] is not None:
-            if id in seen:
-                return None
-            seen.add(id)
-            id = stored[id][4]
-        return id if id in stored else None
-
-    def final(id: str) -> tuple:
-        while id in last:
-            id = last[id]
-        return stored[id]
-
-    touched = {stored[r][5] for r in map(root_of, arrived) if r is not None}
-    legs: dict[int, list] = {}
-    for id, v in stored.items():
-        if v[4] is None and v[5] is not None and v[5] in touched:
-            legs.setdefault(v[5], []).append((v[0], id))
-    scored = []
-    for leg, members in legs.items():
-        members.sort()
-        game, start, double_out = stored[members[0][1]][6:9]
-        darts = []
-        for at, id in members:
-            value = final(id)
-            darts.append(rules.Throw(at, id, stored[id][1], value[2], value[3], stored[id][9]))
-        before = saved[leg][3] if leg in saved else None
-        scored.append((leg, game, start, double_out, rules.play(game, darts, start, double_out, before)))
-    return scored
-
-
-def _frame(session: str, legs: list[tuple], closed: bool) -> pd.DataFrame:
-    lines = [
-        (session, _instant(leg), game, player, line.value, line.status, line.throws, closed)
-        for leg, game, _, _, state in legs
-        for player, line in state.lines().items()
+def _lines(session: str, leg: int, one: _Leg, closed: bool) -> list[tuple]:
+    return [
+        (session, _instant(leg), one.game, player, line.value, line.status, line.throws, closed)
+        for player, line in one.standing().lines.items()
     ]
+
+
+def _frame(lines: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(
         lines,
         columns=[

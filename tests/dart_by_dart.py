@@ -1,4 +1,4 @@
-"""X01 and Cricket dart by dart, for the live scoreboard.
+"""X01 and Cricket dart by dart, to hold the library against.
 
 A leg can be put away as JSON and taken up again, so that a session that was
 closed goes on where it stood.

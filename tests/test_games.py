@@ -3,12 +3,12 @@
 import datetime as dt
 import random
 
+import dart_by_dart as rules
 import make
 import pytest
 from pyspark.sql import functions as F
 
 from ocheline.operators import corrections, games
-from ocheline.streaming import rules
 
 
 def x01(spark, whats, start=501, double_out=True, player="a", **kw):

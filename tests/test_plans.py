@@ -114,10 +114,12 @@ def test_running_values(spark, request, large):
 
 
 def test_lineage_goes_to_the_named_folder(spark, tmp_path):
-    before = set(__import__("os").listdir(spark.conf.get(storage.SETTING)))
+    own = storage.session_folder(spark)
+    assert own.startswith(spark.conf.get(storage.SETTING))
+    before = set(os.listdir(own)) if os.path.isdir(own) else set()
     cut = storage.cut_lineage(spark.range(5))
     assert cut.count() == 5 and "FileScan parquet" in plan(cut)
-    assert len(set(__import__("os").listdir(spark.conf.get(storage.SETTING))) - before) == 1
+    assert len(set(os.listdir(own)) - before) == 1
 
 
 def test_no_local_folder_on_a_cluster():

@@ -2,6 +2,7 @@
 
 import random
 
+import dart_by_dart as rules
 import make
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ocheline import schemas
 from ocheline.operators import corrections, events, games, vision
 from ocheline.sources import outbox
-from ocheline.streaming import live, rules, sources
+from ocheline.streaming import live, sources
 
 
 @pytest.fixture(autouse=True)
