@@ -1,18 +1,19 @@
 """Substring dedup: recurring passages, found by Aho-Corasick automata.
 
 A window is WINDOW consecutive words of one document; words that lie in a window
-which starts anywhere else as well are repeats. Three steps find them all:
+which starts anywhere else as well are repeats. Four steps find them all:
 
 1. Each window elects the anchor with the smallest hash among its ANCHOR-word
    phrases. Equal windows elect equal anchors, so an anchor elected at one place
    only belongs to no repeat. Of the elected ones (one word in fourteen) only
    hashes are counted.
-2. Documents are dealt out to parts of bounded size. The anchors that recur are
-   confirmed as phrases of the part's texts and compiled to Aho-Corasick
-   automata of bounded size; all texts of the part are streamed through them.
-   Windows whose elected anchor was located are candidates, and are counted over
-   all parts by a 64-bit hash of their words.
-3. Each part learns which of its windows recur and takes their words out.
+2. Documents are dealt out to parts of bounded size. Windows whose elected anchor
+   recurs are candidates; they are counted over all parts by two hashes of 64
+   bits, the anchor's and one of the whole window. Those found more than once
+   confirm the passages: the longest runs of such windows in a text.
+3. The different passages of a part are compiled to Aho-Corasick automata of
+   bounded size, and all texts of the part are streamed through each of them.
+4. What the automata locate is taken out, and nothing else.
 
 Texts travel compressed. What a part receives for an anchor or window is at most
 one row, however many copies there are elsewhere or in it.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +40,10 @@ WINDOW = 35
 ANCHOR = 8
 PART_BYTES = 8 << 20
 PACK_BYTES = 16 << 20
-AUTOMATON_PHRASES = 50_000
+# Letters of the passages in one automaton, windows in one passage, bytes of a word that is spelt out.
+AUTOMATON_BYTES = 1 << 20
+PASSAGE = 100
+LONG_WORD = 64
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -83,44 +88,124 @@ class Texts:
         edge = np.zeros(reach - 1, np.uint64)
         return sliding(np.concatenate([edge, low, edge]), reach, np.maximum) == self.grams
 
-    def located(self, phrases: Iterator[ahocorasick.Automaton]) -> np.ndarray:
-        """Which anchors are phrases of the automata."""
-        found = np.zeros(len(self.grams), bool)
-        raw = " " + self.words.data.tobytes().decode("latin-1")
-        for automaton in phrases:
-            hits = np.fromiter(
-                (end - size for end, size in automaton.iter(raw)), np.int64
-            )
-            # end - size is the place of the phrase's first word in the words' bytes
-            found[np.searchsorted(self.words.starts, hits)] = True
-        return found
-
-    def candidates(self, found: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose smallest anchor is among those found."""
-        if not found.any():
+    def least_at(self) -> np.ndarray:
+        """Where the smallest gram of each window stands, the first of equal ones."""
+        if not len(self.full):
             return np.zeros(0, np.int64)
-        low = self.least(np.where(found, self.grams, _NONE))
-        return np.flatnonzero(self.full & (low == self.least(self.grams)))
+        reach = self.window - self.anchor + 1
+        at, width = np.arange(len(self.grams)), 1
+
+        def first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.where(self.grams[a] <= self.grams[b], a, b)
+
+        while 2 * width <= reach:
+            at = first(at[:-width], at[width:])
+            width *= 2
+        more = reach - width
+        return (first(at[: len(at) - more], at[more:]) if more else at)[: len(self.full)]
+
+    def candidates(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, grams of their anchors) of the windows whose smallest anchor is among those found."""
+        at = self.least_at()
+        some = np.flatnonzero(self.full & found[at]) if len(at) else at
+        return some, self.grams[at[some]]
+
+    def passages(self, starts: np.ndarray) -> list[tuple[int, int]]:
+        """The longest runs of the windows at the sorted `starts`, as (first word, words).
+
+        A run of more than PASSAGE windows is cut into several that overlap, each
+        of a window at least, so what covers one is covered by them.
+        """
+        breaks = np.flatnonzero(np.diff(starts) != 1) + 1
+        out = []
+        for run in np.split(starts, breaks) if len(starts) else ():
+            for s in range(0, len(run), PASSAGE):
+                n = min(PASSAGE, len(run) - s)
+                out.append((int(run[s]), n + self.window - 1))
+        return out
+
+    @functools.cached_property
+    def spelt(self) -> tuple[str, np.ndarray]:
+        """(the words, a space around each, where each begins): what the automata read.
 
-    def phrase(self, k: int) -> str:
+        A word beyond LONG_WORD bytes stands there by its length and 128 bits of
+        hash, which keeps the automata's branches short.
+        """
         w = self.words
-        return w.data[w.starts[k] : w.ends[k + self.anchor - 1]].tobytes().decode("latin-1")
+        raw, starts = w.data.tobytes().decode("latin-1"), w.starts + 1
+        long_ = np.flatnonzero(w.ends - w.starts > LONG_WORD)
+        if not len(long_):
+            return f" {raw}", starts
+        each, at = [], 0
+        sizes = w.ends - w.starts
+        for k in long_.tolist():
+            word = raw[w.starts[k] : w.ends[k]]
+            short = f"{len(word)}\t{xxhash.xxh3_128_hexdigest(word.encode('latin-1'))}"  # no word has a tab
+            each += [raw[at : w.starts[k]], short]
+            at, sizes[k] = int(w.ends[k]), len(short)
+        ends = np.cumsum(sizes + 1)
+        return " " + "".join([*each, raw[at:]]), ends - sizes
+
+    def passage(self, first: int, words: int) -> str:
+        """The spelling of so many words, a space on both sides."""
+        raw, starts = self.spelt
+        end = starts[first + words] if first + words < len(starts) else len(raw)
+        return raw[starts[first] - 1 : end]
+
+    def located(self, made: Iterator[ahocorasick.Automaton]) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, words) of each place where a passage of the automata stands in one text."""
+        raw, starts = self.spelt
+        firsts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for automaton in made:
+            hits = np.fromiter(
+                (x for end, (size, words) in automaton.iter(raw) for x in (end - size + 2, words)), np.int64
+            ).reshape(-1, 2)
+            firsts.append(np.searchsorted(starts, hits[:, 0]))
+            sizes.append(hits[:, 1])
+        first, size = np.concatenate(firsts), np.concatenate(sizes)
+        # Texts stand end to end, so a passage may seem to go from one into the next.
+        text = np.searchsorted(self.words.first, first, "right")
+        inside = first + size <= self.words.first[text]
+        return first[inside], size[inside]
 
+    @functools.cached_property
     def window_hashes(self) -> np.ndarray:
-        return tx.window_hashes(self.hashes, self.window)
-
-
-def automata(phrases: list[str]) -> list[ahocorasick.Automaton]:
-    """Automata of bounded size that together know all phrases, spaces on both sides."""
-    made = []
-    for s in range(0, len(phrases), AUTOMATON_PHRASES):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for phrase in phrases[s : s + AUTOMATON_PHRASES]:
-            # The end is the space behind the phrase; the text has one more in front.
-            automaton.add_word(f" {phrase} ", len(phrase) + 1)
+        """A hash of each window that has nothing to do with its anchor's."""
+        return tx.window_hashes(tx.word_hashes(self.words, seed=1), self.window)[: len(self.full)]
+
+    def repeated(self, grams: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Starts of the windows whose pair of hashes is among the given ones."""
+        some, own = self.candidates(tx.members(self.grams, np.unique(grams)))
+        if not len(some):
+            return some
+        both = np.stack([own, self.window_hashes[some]], axis=1)
+        known = np.unique(np.stack([grams, hashes], axis=1), axis=0)
+        return some[_among(both, known)]
+
+
+def _among(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which rows of two values are among the known ones, which are sorted and different."""
+    kind = np.dtype([("a", np.uint64), ("b", np.uint64)])
+    rows = np.ascontiguousarray(rows).view(kind).ravel()
+    every, which = np.unique(np.concatenate([np.ascontiguousarray(known).view(kind).ravel(), rows]), return_inverse=True)
+    mark = np.zeros(len(every), bool)
+    mark[which[: len(known)]] = True
+    return mark[which[len(known) :]]
+
+
+def automata(passages: list[tuple[str, int]]) -> Iterator[ahocorasick.Automaton]:
+    """Automata of bounded size that together know all passages, one at a time."""
+    automaton, size = ahocorasick.Automaton(), 0
+    for text, words in passages:
+        automaton.add_word(text, (len(text), words))
+        size += len(text)
+        if size > AUTOMATON_BYTES:
+            automaton.make_automaton()
+            yield automaton
+            automaton, size = ahocorasick.Automaton(), 0
+    if size:
         automaton.make_automaton()
-        made.append(automaton)
-    return made
+        yield automaton
 
 
 def _texts(table: pa.Table, window: int, anchor: int) -> Iterator[tuple[pa.RecordBatch, Texts]]:
@@ -177,34 +262,36 @@ def without_repeats(
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = np.unique(right.column("hash").to_numpy().view(np.uint64))
-        phrases: set[str] = set()
-        every = [texts for _, texts in _texts(left, window, anchor)]
-        for texts in every:
-            some = np.flatnonzero(tx.members(texts.grams, wanted) & texts.elected())
-            _, first = np.unique(texts.grams[some], return_index=True)
-            phrases.update(map(texts.phrase, some[first].tolist()))
-        made = automata(sorted(phrases))
-        found = [np.zeros(0, np.uint64)]
-        for texts in every if made else ():
-            found.append(texts.window_hashes()[texts.candidates(texts.located(made))])
-        hashes, counts = np.unique(np.concatenate(found), return_counts=True)
+        found = [np.zeros((0, 2), np.uint64)]
+        for _, texts in _texts(left, window, anchor):
+            starts, grams = texts.candidates(tx.members(texts.grams, wanted) & texts.elected())
+            found.append(np.stack([grams, texts.window_hashes[starts]], axis=1))
+        both, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
         part = (left if left.num_rows else right).column("part")[0].as_py()
+        # Whether there are more than one in the part goes into the lowest bit of its number.
+        code = 2 * part + (counts > 1)
         return pa.table(
-            {
-                "hash": hashes.view(np.int64),
-                "part": np.full(len(hashes), part),
-                "n": counts.astype(np.int64),
-            }
+            {"hash": both[:, 0].copy().view(np.int64), "other": both[:, 1].copy().view(np.int64), "part": code.astype(np.int64)}
         )
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        repeats = np.unique(right.column("hash").to_numpy().view(np.uint64))
+        grams, hashes = (right.column(c).to_numpy().view(np.uint64) for c in ("hash", "other"))
+        every = list(_texts(left, window, anchor))
+        passages = {}
+        for _, texts in every:
+            for first, words in texts.passages(texts.repeated(grams, hashes)):
+                passages[texts.passage(first, words)] = words
+        gone = [np.zeros(len(texts.words.starts) + 1, np.int64) for _, texts in every]
+        for automaton in automata(sorted(passages.items())):
+            for (_, texts), steps in zip(every, gone):
+                first, words = texts.located([automaton])
+                np.add.at(steps, first, 1)
+                np.subtract.at(steps, first + words, 1)
         out: list[list] = [[], [], [], []]
-        for piece, texts in _texts(left, window, anchor):
+        for (piece, texts), steps in zip(every, gone):
             w = texts.words
-            starts = np.flatnonzero(texts.full & tx.members(texts.window_hashes(), repeats))
-            gone = tx.covered(starts, np.full(len(starts), window), len(w.starts))
-            kept = tx.joined(tx.Words(w.data, w.starts[~gone], w.ends[~gone], _ends(~gone, w.first)))
+            stays = np.cumsum(steps[:-1]) == 0
+            kept = tx.joined(tx.Words(w.data, w.starts[stays], w.ends[stays], _ends(stays, w.first)))
             raw, ends = kept.data.tobytes(), np.append(kept.starts, len(kept.data))[kept.first].tolist()
             out[0].append(piece.column("id"))
             out[1].append(w.counts)
@@ -228,9 +315,9 @@ def without_repeats(
     counted = (
         packs.groupBy("part")
         .cogroup(recurring.groupBy("part"))
-        .applyInArrow(candidates, "hash long, part long, n long")
+        .applyInArrow(candidates, "hash long, other long, part long")
     )
-    repeats = cut_lineage(_recurring(counted))
+    repeats = cut_lineage(_confirmed(counted))
     schema = T.StructType(
         [
             T.StructField("id", kind),
@@ -251,6 +338,15 @@ def _recurring(counted: DataFrame) -> DataFrame:
     )
 
 
+def _confirmed(counted: DataFrame) -> DataFrame:
+    """(hash, other, part) of the windows found more than once; `part` comes with the bit of `candidates`."""
+    places = Window.partitionBy("hash", "other")
+    twice = (F.count("*").over(places) > 1) | (F.col("part") % 2 == 1)
+    return counted.withColumn("_twice", twice).where("_twice").select(
+        "hash", "other", F.shiftright("part", 1).alias("part")
+    )
+
+
 def _ends(kept: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(kept)])[first]
 

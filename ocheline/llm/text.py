@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE_BYTES = 2 << 20
 
@@ -101,22 +102,9 @@ def joined(found: Words) -> Words:
     return Words(out, starts, ends - 1, found.first)
 
 
-_RANDOM = np.random.default_rng(20240517)
-_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _GAP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 to base^(n - 1) modulo 2^64, as products of large and small steps."""
-    step = 4096
-
-    def row(factor: int, size: int) -> np.ndarray:
-        out = np.full(size, factor, np.uint64)
-        out[:1] = 1
-        return np.cumprod(out)
-
-    large = row(pow(base, step, 1 << 64), n // step + 1)
-    return (large[:, None] * row(base, step)).ravel()[:n]
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+# Words beyond this length are hashed one by one.
+_LONG_WORD = 512
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -128,12 +116,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash modulo 2^64 of the runs values[start:end]."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(base, len(values)), out=sums[1:])
-    down = _powers(pow(base, -1, 1 << 64), len(values) + 1)
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+def _followed(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The hash of what `h` is the hash of, followed by `value`; not linear in either."""
+    return mixed((h ^ (h >> np.uint64(29))) * _FACTOR + value)
 
 
 def members(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -152,11 +137,23 @@ def members(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(found: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(found.starts):
-        return np.zeros(0, np.uint64)
-    return _runs(_BYTE[found.data], found.starts, found.ends, _BASE)
+def word_hashes(found: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, eight at a time."""
+    lengths = (found.ends - found.starts).astype(np.uint64)
+    out = mixed(lengths + np.uint64(seed) * _FACTOR)
+    padded = np.concatenate([found.data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(found.data) + 1, "<u8", padded, strides=(1,))
+    rows = np.flatnonzero(lengths <= _LONG_WORD)
+    at, left = found.starts[rows], lengths[rows]
+    while len(rows):
+        keep = np.where(left < 8, (np.uint64(1) << (np.uint64(8) * np.minimum(left, np.uint64(7)))) - np.uint64(1), ~np.uint64(0))
+        out[rows] = _followed(out[rows], mixed(lanes[at] & keep))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - np.uint64(8)
+    for k in np.flatnonzero(lengths > _LONG_WORD):
+        raw = found.data[found.starts[k] : found.ends[k]].tobytes()
+        out[k] = xxhash.xxh3_64_intdigest(raw, seed)
+    return out
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -164,8 +161,24 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    starts = np.arange(n)
-    return _runs(hashes, starts, starts + size, _GAP)
+    out, taken, width, wide = None, 0, 1, mixed(hashes)
+    while True:
+        if size & width:  # put together from windows whose sizes are powers of two
+            out = wide if out is None else _followed(out[: len(wide) - taken], wide[taken:][: len(out)])
+            taken += width
+        if 2 * width > size:
+            return out[:n]
+        wide = _followed(wide[:-width], wide[width:])
+        width *= 2
+
+
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each short run hashes[start:start + length]."""
+    out = mixed(lengths.astype(np.uint64))
+    for k in range(int(lengths.max(initial=0))):
+        rows = np.flatnonzero(lengths > k)
+        out[rows] = _followed(out[rows], hashes[starts[rows] + k])
+    return out
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:

@@ -23,7 +23,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocheline.llm import near_texts
 from ocheline.llm import text as tx
 from ocheline.llm.components import components
 from ocheline.plans.storage import cut_lineage
@@ -253,21 +252,3 @@ def near_groups(
         F.col("fp").alias("_fp"), "component_id"
     )
     return marked.join(ids, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its near-duplicate group.
-
-    Groups are those of `near_texts`, five-word shingles of similarity 0.8 or
-    more: no small reach of fingerprints finds edited copies. All columns are kept as they are. Rows that repeat an id count as copies:
-    one of them stays. Rows without an id stay only if no other of the group
-    has one, one for each group.
-    """
-    groups = near_texts.near_groups(docs, id_col, text_col)
-    kept = (
-        groups.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-        .select(F.col(id_col).alias("_kept_id"))
-        .distinct()
-    )
-    same = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
-    return same.dropDuplicates([id_col])

@@ -46,6 +46,24 @@ def near_groups(rows):
     return {i: (prints[i], found[i]) for i in ids}
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_texts(rows):
+    """{id: smallest id} over pairs of (id, text) with a similarity of 0.8 or more."""
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    links = [
+        (a, b)
+        for a in ids
+        for b in ids
+        if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    return roots(ids, links)
+
+
 def without_repeats(rows, window=35):
     """[(id, n_words, n_removed, kept)] of (id, text)."""
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]

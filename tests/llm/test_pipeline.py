@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ocheline.llm import ftrl, queries, unigram
@@ -23,8 +24,8 @@ def test_run_against_plain_python(spark):
     scores = {r["doc_id"]: r["score"] for r in ftrl.with_score(docs, model).collect()}
     texts = dict(table(spark, "documents", "doc_id", "text"))
     rows = [(i, t) for i, t in texts.items() if scores[i] >= 0.3]
-    groups = plain.near_groups(rows)
-    rows = [(i, t) for i, t in rows if groups[i][1] == i]
+    groups = plain.near_texts(rows)
+    rows = [(i, t) for i, t in rows if groups[i] == i]
     hits = plain.contamination(rows, table(spark, "benchmark", "item_id", "text"))
     rows = [(i, plain.redacted(t)) for (i, t), h in zip(rows, hits) if not h[-1]]
     found = {r["doc_id"]: r for r in got.collect()}
@@ -36,6 +37,13 @@ def test_run_against_plain_python(spark):
     assert sum(scores[i] < 0.3 for i, q in labels.items() if q == 1 and i in scores) == 0
 
 
+def test_names_used_inside_may_be_columns(spark, messy):
+    df = messy[1].withColumns({c: F.col("id") for c in ("_quality", "_kept_id", "_key", "component_id")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        assert set(df.columns) <= set(out.columns) and out.count() > 0, name
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_in_trouble(spark, messy, none, name, stage):
     last = corpus_pipeline.STAGES[-1][0]
