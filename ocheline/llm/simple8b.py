@@ -19,6 +19,7 @@ of the corpus, and how many ids of that part come before.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 from collections.abc import Iterator
@@ -156,9 +157,13 @@ _VISIBLE[0x21:0x7F] = True
 _ASCII = np.arange(256) < 0x80
 
 
-def borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def borders(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = ()) -> np.ndarray:
     """Places that no token of such a BPE crosses, all texts' ends among them.
 
+    There are none inside or beside the strings of `special` tokens, which the
+    library tells before it splits anything else, so a chunk holds them whole
+    with what they touch.
+
     Only what is certain is taken: ASCII and the letters of Latin-1. A token
     starts at a single space between two visible characters, where letters end
     and an ASCII character that is none begins, where letters begin after a
@@ -182,15 +187,26 @@ def borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut[1:n] |= ends[:-1] & _ASCII[data[1:]] & ~letter[1:]
     cut[1:n] |= mark[:-1] & starts[1:]
     cut[2:n] |= line[1:-1] & seen_end[:-2] & seen_start[2:]
+    raw = data.tobytes() if special else b""
+    for token in special:
+        at = raw.find(token)
+        while at >= 0:
+            cut[at : at + len(token) + 1] = False
+            at = raw.find(token, at + 1)
     cut[offsets] = True
     return np.flatnonzero(cut)
 
 
+def special_strings(tokenizer_json: str) -> tuple[bytes, ...]:
+    """The strings of the tokens that were added to the vocabulary."""
+    return tuple(t["content"].encode() for t in json.loads(tokenizer_json)["added_tokens"])
+
+
 def bpe_encoder(tokenizer_json: str) -> ChunkEncoder:
-    """Encode chunks with the tokenizers library, strings of special tokens as ordinary text."""
+    """Encode chunks as the tokenizers library does by default: a special token's string is that token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True
+    special = [t.decode() for t in special_strings(tokenizer_json)]
     (line,) = tokenizer.encode("\n", add_special_tokens=False).ids
 
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,6 +217,8 @@ def bpe_encoder(tokenizer_json: str) -> ChunkEncoder:
             bool,
             len(texts),
         )
+        for token in special:
+            plain &= np.fromiter((token not in t for t in texts), bool, len(texts))
         lines, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
         ids, lengths = [], np.zeros(len(texts), np.int64)
         for s in range(0, len(lines), 20_000):
@@ -253,10 +271,10 @@ def write_ids(
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = bpe_encoder(sent.value), 0
+        encoder, first, special = bpe_encoder(sent.value), 0, special_strings(sent.value)
         for piece in tx.pieces(batches, "text"):
             data, offsets = tx.flat(piece.column("text"))
-            ids, counts = encoder.ids(data, borders(data, offsets), offsets)
+            ids, counts = encoder.ids(data, borders(data, offsets, special), offsets)
             ids = np.insert(ids, np.cumsum(counts), end_id)
             yield pa.RecordBatch.from_arrays(
                 [
