@@ -217,7 +217,7 @@ FROM texts LEFT JOIN lists USING (doc_id)"""
 
 
 def _op1_sql() -> str:
-    """The rounds of trust (links as they are) and distrust (links turned round), one CTE each."""
+    """Trust goes along the links, distrust against them; what comes over k links is a step of a recursion."""
     low = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     fits = [
         f"WHEN (h = '{r.host}' OR ends_with(h, '.{r.host}')) AND starts_with(p, '{r.path}') THEN "
@@ -226,23 +226,20 @@ def _op1_sql() -> str:
     by_text = sorted(url_trust.RULES, key=lambda r: (-len(r.text), r.text))
     rule = " ".join(f"{f}'{r.text}'" for f, r in zip(fits, by_text))
     verdict = " ".join(f"{f}'{r.verdict}'" for f, r in zip(fits, by_text))
-    rounds = []
+    sums = []
     for name, seed, a, b in (("t", "allow", "src", "dst"), ("d", "block", "dst", "src")):
-        rounds.append(
-            f"""{name}_out AS (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS share
+        sums.append(
+            f"""{name}_out AS MATERIALIZED (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS share
     FROM links),
-{name}0 AS MATERIALIZED (SELECT h, count(*) / sum(count(*)) OVER () AS s FROM judged
-    WHERE h <> '' AND v = '{seed}' GROUP BY h)"""
+{name}_by AS (
+    SELECT 0 AS k, h, count(*) / sum(count(*)) OVER () * (1 - {url_trust.DAMPING}) AS s FROM judged
+    WHERE h <> '' AND v = '{seed}' GROUP BY h
+    UNION ALL SELECT k + 1, b, sum(s * share * {url_trust.DAMPING}) FROM {name}_by JOIN {name}_out ON a = h
+    WHERE k < {url_trust.ROUNDS} GROUP BY k, b),
+{name} AS (SELECT h, sum(s) AS s FROM {name}_by GROUP BY h)"""
         )
-        for k in range(1, url_trust.ROUNDS + 1):
-            rounds.append(
-                f"""{name}{k} AS MATERIALIZED (SELECT h, sum(s) AS s FROM (
-    SELECT b AS h, s * share * {url_trust.DAMPING} AS s FROM {name}{k - 1} JOIN {name}_out ON a = h
-    UNION ALL SELECT h, s * (1 - {url_trust.DAMPING}) FROM {name}0) GROUP BY h)"""
-            )
-    last = url_trust.ROUNDS
     return f"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
     SELECT page_id, coalesce(html, '') AS html,
         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {low}) AS h,
         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p FROM pages),
@@ -263,11 +260,12 @@ links AS MATERIALIZED (
             THEN 'x:' || href ELSE href END, '(?s)^.*?://([^/?#]*)', 1), {low}) AS dst FROM hrefs
         UNION ALL SELECT a, b FROM sites UNION ALL SELECT b, a FROM sites)
     WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
-{", ".join(rounds)}
+{", ".join(sums)},
+hosts AS (SELECT count(DISTINCT h) AS n FROM judged WHERE h <> '')
 SELECT page_id, judged.h AS host, p AS path, rule, coalesce(v, CASE
-    WHEN coalesce(d{last}.s, 0) > {url_trust.THRESHOLD} AND coalesce(d{last}.s, 0) > coalesce(t{last}.s, 0)
+    WHEN coalesce(d.s, 0) > {url_trust.THRESHOLD} / n AND coalesce(d.s, 0) > coalesce(t.s, 0)
     THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged LEFT JOIN t{last} ON t{last}.h = judged.h LEFT JOIN d{last} ON d{last}.h = judged.h"""
+FROM judged JOIN hosts ON true LEFT JOIN t ON t.h = judged.h LEFT JOIN d ON d.h = judged.h"""
 
 
 ORACLES = {

@@ -6,8 +6,12 @@ links, distrust that of the blocked seeds against them (who links to bad hosts
 is suspect). Links are those of the pages, counted once for each pair of hosts,
 and one between each host and its parent domain, in both directions, since a
 subdomain is its owner's. A host without rule is blocked if its distrust is
-above its trust and above a bound. Distrust sums to 1 at most over all hosts, so
-the bound is one on distrust times hosts: THRESHOLD among THRESHOLD_HOSTS hosts.
+above its trust and above a share of 1 / hosts, which is what each would have if
+all distrust were spread evenly; so the bound means the same among any number.
+
+Scores are the sums of what reaches a host over 0, 1, 2, … links. All that goes
+over more than ROUNDS links is less than TOLERANCE together, in any graph, and is
+left out.
 
 Everything is DataFrame operations. Links are added up per pair of hosts before
 they are shuffled; scores are joined to links by host and added up by host.
@@ -15,6 +19,7 @@ they are shuffled; scores are joined to links by host and added up by host.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,12 +29,12 @@ from ocheline.llm.frames import unused
 from ocheline.plans.storage import cut_lineage
 
 DAMPING = 0.85
-ROUNDS = 12
-THRESHOLD = 0.001
-# The number of hosts that THRESHOLD is for; among n times as many it is an nth.
-THRESHOLD_HOSTS = 60
-# A table of links is written anew each so many rounds, so that plans stay short.
-CUT_EVERY = 3
+TOLERANCE = 1e-5
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+# Share of the even distrust that a blocked host has at least.
+THRESHOLD = 0.06
+# Scores are written each so many rounds, so that plans stay short.
+CUT_EVERY = 6
 
 
 @dataclass(frozen=True)
@@ -119,28 +124,30 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, score): personalised PageRank of `seeds` (host, weight) along `links` (src, dst, n).
+    """(kind, host, score): personalised PageRank of `seeds` (kind, host, weight) along `links` (kind, src, dst, n).
 
-    Weights are scaled to a sum of 1. What reaches a host without links of its
-    own is not handed on. Without seeds the result is empty.
+    Each kind is a graph with seeds of its own; all are worked off together.
+    Weights are scaled to a sum of 1 for each kind. What reaches a host without
+    links of its own is not handed on. Without seeds the result is empty.
     """
-    out = links.groupBy(F.col("src").alias("_src")).agg(F.sum("n").alias("_all"))
+    out = links.groupBy(F.col("kind").alias("_kind"), F.col("src").alias("_src")).agg(F.sum("n").alias("_all"))
     shares = cut_lineage(
-        links.join(out, F.col("src") == F.col("_src")).select(
-            "src", "dst", (F.col("n") / F.col("_all")).alias("share")
+        links.join(out, (F.col("kind") == F.col("_kind")) & (F.col("src") == F.col("_src"))).select(
+            F.col("kind").alias("_kind"), "src", "dst", (F.col("n") / F.col("_all")).alias("share")
+        )
+    )
+    total = seeds.groupBy(F.col("kind").alias("_kind")).agg(F.sum("weight").alias("_total"))
+    restart = cut_lineage(
+        seeds.join(total, F.col("kind") == F.col("_kind")).select(
+            "kind", "host", (F.col("weight") / F.col("_total") * (1 - damping)).alias("score")
         )
     )
-    total = seeds.agg(F.sum("weight")).first()[0]
-    if not total:
-        return seeds.select("host", F.lit(0.0).alias("score")).limit(0)
-    restart = cut_lineage(seeds.select("host", (F.col("weight") / F.lit(float(total))).alias("score")))
     rank = restart
     for k in range(1, rounds + 1):
-        moved = rank.join(shares, F.col("host") == F.col("src")).select(
-            F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")
+        moved = rank.join(shares, (F.col("kind") == F.col("_kind")) & (F.col("host") == F.col("src"))).select(
+            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")
         )
-        back = restart.select("host", (F.col("score") * (1 - damping)).alias("score"))
-        rank = moved.unionByName(back).groupBy("host").agg(F.sum("score").alias("score"))
+        rank = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if k % CUT_EVERY == 0 or k == rounds:
             rank = cut_lineage(rank)
     return rank
@@ -156,8 +163,8 @@ def judge(
     """`pages` with host, path, rule, verdict, trust and distrust; clashing columns are replaced.
 
     A rule decides where one fits; else the method does: a host is blocked if
-    its distrust is above its trust and above `threshold` * THRESHOLD_HOSTS /
-    hosts, for the number of hosts of `pages`. Null urls and those
+    its distrust is above its trust and above `threshold` / hosts, for the number
+    of hosts of `pages`. Null urls and those
     without :// have an empty host and path, no rule, and are allowed, since
     nothing is known against them. Repeated rows are judged alike but count as
     more pages of their host. An empty table gives an empty result.
@@ -171,24 +178,22 @@ def judge(
     seeds = cut_lineage(
         narrow.select("h", verdict.alias("v"))
         .where("h <> '' and v is not null")
-        .groupBy(F.col("h").alias("host"), "v")
+        .groupBy(F.col("h").alias("host"), F.col("v").alias("kind"))
         .agg(F.count("*").cast("double").alias("weight"))
     )
     hosts = narrow.where("h <> ''").agg(F.countDistinct("h")).first()[0]
-    bound = threshold * (THRESHOLD_HOSTS / max(1, hosts))
-    links = cut_lineage(host_links(narrow, "u", "html"))
-    against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trusted = spread(links, seeds.where("v = 'allow'").select("host", "weight"))
-    blocked = spread(against, seeds.where("v = 'block'").select("host", "weight"))
-    scores = (
-        trusted.withColumnRenamed("score", "t")
-        .join(blocked.select(F.col("host").alias("b"), F.col("score").alias("d")), F.col("host") == F.col("b"), "full")
-        .select(F.coalesce("host", "b").alias("_host"), F.coalesce("t", F.lit(0.0)).alias("_t"), F.coalesce("d", F.lit(0.0)).alias("_d"))
+    bound = threshold / max(1, hosts)
+    along = cut_lineage(host_links(narrow, "u", "html")).withColumn("kind", F.lit("allow"))
+    against = along.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    found = spread(along.unionByName(against), seeds)
+    mark, known, t, d = (unused(pages, n) for n in ("_h", "_host", "_t", "_d"))
+    scores = found.groupBy(F.col("host").alias(known)).agg(
+        F.max(F.when(F.col("kind") == "allow", F.col("score"))).alias(t),
+        F.max(F.when(F.col("kind") == "block", F.col("score"))).alias(d),
     )
-    mark = unused(pages, "_h")
-    joined = pages.withColumn(mark, host_of(url)).join(scores, F.col(mark) == F.col("_host"), "left")
+    joined = pages.withColumn(mark, host_of(url)).join(scores, F.col(mark) == F.col(known), "left")
     rule, verdict = rule_for(F.col(mark), path_of(url), rules)
-    trust, distrust = F.coalesce("_t", F.lit(0.0)), F.coalesce("_d", F.lit(0.0))
+    trust, distrust = F.coalesce(t, F.lit(0.0)), F.coalesce(d, F.lit(0.0))
     method = F.when((distrust > bound) & (distrust > trust), "block").otherwise("allow")
     return joined.select(
         *[pages[c] for c in pages.columns if c not in added],

@@ -19,6 +19,7 @@ from ocheline.llm import (
     chunks,
     ftrl,
     kd_shards,
+    near_texts,
     phrases,
     queries,
     secrets,
@@ -106,12 +107,22 @@ def test_simple8b_words():
     assert len(words) == 7 and first.tolist() == [0, 5, 7]
 
 
-@given(st.text(alphabet=st.sampled_from(list("ab A1'.,…é×à \n\t\r\u00a0\u3000日😀") + ["\u0301", "s"]), max_size=60))
+SPECIAL = "<|endoftext|>"
+
+
+@given(
+    st.lists(
+        st.sampled_from(list("ab A1'.,…é×à \n\t\r\u00a0\u3000日😀") + ["\u0301", "s", SPECIAL, SPECIAL, "<|endof", "text|>"]),
+        max_size=60,
+    ).map("".join)
+)
 @example("\nA")
+@example(f"one {SPECIAL} two")
+@example(f"a  {SPECIAL}'s\n{SPECIAL}\nb")
 @settings(max_examples=300, deadline=None)
 def test_chunks_encode_like_whole_texts(text):
     data, offsets = tx.flat(pa.array([text, "x" + text]))
-    ids, counts = encoder().ids(data, simple8b.borders(data, offsets), offsets)
+    ids, counts = encoder().ids(data, simple8b.borders(data, offsets, (SPECIAL.encode(),)), offsets)
     want = [tokenizer().encode(t, add_special_tokens=False).ids for t in (text, "x" + text)]
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == want[0] + want[1]
 
@@ -122,7 +133,6 @@ CACHE = {}
 def tokenizer():
     if "t" not in CACHE:
         CACHE["t"] = Tokenizer.from_file(queries.BYTE_BPE)
-        CACHE["t"].encode_special_tokens = True
     return CACHE["t"]
 
 
@@ -133,6 +143,26 @@ def encoder():
     return CACHE["e"]
 
 
+def test_special_tokens_in_files(spark, tmp_path):
+    """As the untouched library has them, also where texts of a part end with or in such a token."""
+    texts = [f"one {SPECIAL} two", SPECIAL, f"{SPECIAL}{SPECIAL} x", "a <|endof", "text|> b", None, f"end {SPECIAL}"]
+    with open(queries.BYTE_BPE, encoding="utf-8") as f:
+        simple8b.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), f"{tmp_path}/x", f.read(), 2)
+    found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in simple8b.read_ids(spark, f"{tmp_path}/x").collect()}
+    library = Tokenizer.from_file(queries.BYTE_BPE)
+    assert found == {k: [*library.encode(t or "", add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
+
+
+def test_starts_over_many_parts(spark, given_docs, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(simple8b, "PART_BYTES", 20_000)
+    with open(queries.BYTE_BPE, encoding="utf-8") as f:
+        simple8b.write_ids(given_docs[1], f"{tmp_path}/x", f.read(), 2)
+    read = spark.read.parquet(f"{tmp_path}/x")
+    assert read.select("part").distinct().count() > 5
+    found = rows(simple8b.read_ids(spark, f"{tmp_path}/x"), "doc_id", "start", "ids")
+    assert found == sorted(token_rows(given_docs[0]), key=key)
+
+
 def token_rows(rows):
     out, start = [], 0
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -338,7 +368,7 @@ def test_groups_in_trouble(messy, none):
         peers = [ids[j] for j in want if want[j][1] == want[k][1] and ids[j] is not None]
         expected.append((ids[k], np.uint64(fp).astype(np.int64).item(), min(peers, default=None)))
     assert sorted((tuple(r) for r in found), key=key) == sorted(expected, key=key)
-    kept = vptree.keep_first(messy[1])
+    kept = near_texts.keep_first(messy[1])
     assert kept.columns == messy[1].columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({e[2] for e in expected})
     assert vptree.near_groups(none).collect() == []
