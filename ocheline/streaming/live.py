@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ocheline.plans.storage import cut_lineage
 from ocheline.streaming import tracks
+from ocheline.streaming.held import SPAN, Held, live_as_of, micros_of, passed
 
 SCORES = (
     "session_id string, started_at timestamp, game_type string, player_id string, value int, "
@@ -221,50 +222,55 @@ def _frame(lines: list[tuple]) -> pd.DataFrame:
     )
 
 
-def live_scores(stream: DataFrame, games: DataFrame, idle: str = "2 hours") -> DataFrame:
+GAME = ["started_at", "game_type", "start_score", "double_out"]
+
+
+def live_scores(
+    stream: DataFrame, games: DataFrame, idle: str = "2 hours", lateness: str = "10 minutes", span: str = SPAN
+) -> DataFrame:
     """The scoreboard lines that change with each batch; closed after `idle`.
 
-    `games` is stored; the game in force is the last one started by the time of
-    a throw. A correction re-scores the leg of the throw it corrects, unless
+    The game in force is the last one started by the time of a throw. `games` is
+    stored, or a stream of its own: then both streams come without a watermark,
+    `lateness` is that of the two together, throws are scored once the watermark
+    has passed them, and the query runs in append mode. A correction re-scores the leg of the throw it corrects, unless
     that was closed before: what is closed stands, and stored corrections are
     resolved in batch. When a session is idle for so long that the watermark
     passes, its last lines come once more as `closed`, and its throws are
     dropped; a later throw goes on from those lines.
     """
-    # Written once, so that a batch reads one row per session.
-    per_session = cut_lineage(
-        games.groupBy("session_id").agg(
-            F.array_sort(
-                F.collect_list(F.struct("started_at", "game_type", "start_score", "double_out"))
-            ).alias("_games")
+    columns = ["session_id", "captured_at", "id", "player_id", "turn_id", "segment", "multiplier", "correction_of"]
+    if games.isStreaming:
+        timed = live_as_of(
+            stream.select(*columns), games, ["session_id"], "captured_at", "started_at", GAME, lateness, span
         )
-    )
-    begun = F.filter("_games", lambda g: g["started_at"] <= F.col("captured_at"))
-    game = F.try_element_at(begun, F.lit(-1))
-    rows = (
-        stream.join(per_session, "session_id", "left")
-        .withColumn("_game", game)
-        .select(
-            "session_id",
-            "captured_at",
-            F.unix_micros("captured_at").alias("at"),
-            "id",
-            "player_id",
-            "turn_id",
-            "segment",
-            "multiplier",
-            "correction_of",
-            F.unix_micros(F.col("_game.started_at").cast("timestamp")).alias("leg"),
-            F.col("_game.game_type").alias("game_type"),
-            F.col("_game.start_score").alias("start_score"),
-            F.col("_game.double_out").alias("double_out"),
+        in_force = {c: F.col(c) for c in GAME}
+    else:
+        # Written once, so that a batch reads one row per session.
+        per_session = cut_lineage(
+            games.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*GAME))).alias("_games"))
         )
+        begun = F.filter("_games", lambda g: g["started_at"] <= F.col("captured_at"))
+        timed = stream.join(per_session, "session_id", "left").withColumn("_game", F.try_element_at(begun, F.lit(-1)))
+        in_force = {c: F.col(f"_game.{c}") for c in GAME}
+    rows = timed.select(
+        "session_id",
+        "captured_at",
+        F.unix_micros("captured_at").alias("at"),
+        "id",
+        "player_id",
+        "turn_id",
+        "segment",
+        "multiplier",
+        "correction_of",
+        F.unix_micros(in_force["started_at"].cast("timestamp")).alias("leg"),
+        *[in_force[c].alias(c) for c in GAME[1:]],
     )
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     return rows.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=_Scoreboard(idle_ms),
         outputStructType=SCORES,
-        outputMode="Update",
+        outputMode="Append" if games.isStreaming else "Update",
         timeMode="EventTime",
     )
 
@@ -278,45 +284,26 @@ THROWS_SEEN = (
 class _Detector(StatefulProcessor):
     """Holds frames back until the watermark passes them, then reads them in order."""
 
+    def __init__(self, span: int):
+        self.span = span
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getListState("pending", "at bigint, frame_no bigint, n_tips bigint")
+        self.held = Held(handle, self.span)
         self.seen = handle.getValueState("seen", "n_tips bigint, throws bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = []
+        arrived = []
         for batch in rows:
-            held += [
-                (int(r.at), int(r.frame_no), int(r.n_tips)) for r in batch.itertuples(index=False)
-            ]
-        if held:
-            self.pending.appendList(held)
-            self._wake(min(held)[0])
+            arrived += list(zip(*(batch[c].astype(int).tolist() for c in ("at", "frame_no", "n_tips"))))
+        self.held.add(arrived)
         return iter(())
 
-    def _wake(self, at: int) -> None:
-        """One timer, just after the earliest frame that is held."""
-        due = at // 1000 + 1
-        timers = list(self.handle.listTimers())
-        if all(due < timer for timer in timers):
-            for timer in timers:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (session,) = key
         # All that the watermark has passed, not only the frame that set the timer.
-        limit = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
-        held = sorted(tuple(r) for r in self.pending.get())
-        ready = [h for h in held if h[0] <= limit]
+        ready = sorted(self.held.due(passed(timerValues, expiredTimerInfo)))
         if not ready:
             return
-        rest = held[len(ready) :]
-        if rest:
-            self.pending.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        else:
-            self.pending.clear()
         before, throws = self.seen.get() if self.seen.exists() else (0, 0)
         out = []
         for at, frame_no, n_tips in ready:
@@ -337,17 +324,18 @@ class _Detector(StatefulProcessor):
         pass
 
 
-def live_throws(frames: DataFrame) -> DataFrame:
+def live_throws(frames: DataFrame, span: str = SPAN) -> DataFrame:
     """T5: throws seen in a stream of frames, each frame once, in capture order.
 
     A frame is read when the watermark has passed it, so frames that arrive out
-    of order give what the stored table gives.
+    of order give what the stored table gives. Until then frames are held in
+    entries of at most `span` each.
     """
     rows = frames.select(
         "session_id", "captured_at", F.unix_micros("captured_at").alias("at"), "frame_no", "n_tips"
     )
     return rows.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Detector(),
+        statefulProcessor=_Detector(micros_of(span)),
         outputStructType=THROWS_SEEN,
         outputMode="Append",
         timeMode="EventTime",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ocheline.operators.board import map_segment, to_notation, with_score
-from ocheline.plans.storage import shared_folder
+from ocheline.plans.storage import session_folder
 
 BOARD_POINTS = {"n": (0.0, 1.0), "e": (1.0, 0.0), "s": (0.0, -1.0), "w": (-1.0, 0.0)}
 
@@ -43,16 +43,18 @@ DELAY = 7200
 END_SESSION, END_ID, END_RUNTIME = "s-1", "-1", "end"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, marked: bool = True) -> DataFrame:
     """All events as a stream of files, in event time, out of order, and with an end.
 
+    Without `marked` the stream has no watermark.
+
     An event arrives up to DELAY seconds after it happened; what arrives in a
     span of time is one delivery. Within a delivery files come in any order, so
     the lateness is the span and the delay. The last delivery is one event long
     after the others, of a session of its own, with which all others close.
     In a stream an error corrects an event of its own session (`corrects`).
     """
-    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    folder = f"{session_folder(spark)}/events-{uuid.uuid4().hex}"
     ordered = Window.partitionBy("pair").orderBy("ts", "event_id")
     earlier = F.coalesce(*[F.when(F.col("k") % 3 == n, F.lag("event_id", 1 + n).over(ordered)) for n in range(3)])
     lost = F.concat(F.lit("lost-"), F.col("event_id").cast("string"))
@@ -83,9 +85,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .option("maxFilesPerTrigger", 1)
         .parquet(folder)
     )
-    return files.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark(
-        "ts", f"{span + DELAY} seconds"
-    )
+    timed = files.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", f"{span + DELAY} seconds") if marked else timed
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

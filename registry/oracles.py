@@ -913,3 +913,10 @@ ORACLES |= {
         SELECT * FROM ({_PAYLOAD}) WHERE id IN (SELECT id FROM ({ORACLES["j7_authorised"]}))""",
     "t8_review_queue": ORACLES["p4_route_confidence"],
 }
+
+# What arrives live gives what the stored tables give.
+ORACLES |= {
+    "j2_live_asof_calibration": ORACLES["j2_asof_calibration"],
+    "j3_live_asof_game": ORACLES["j3_asof_game"],
+    "t1_live_scores_arriving_games": ORACLES["t1_live_scores"],
+}

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ocheline.operators import events as ev
-from ocheline.plans.storage import shared_folder
+from ocheline.plans.storage import session_folder
 from ocheline.sources import outbox, tables
-from ocheline.streaming import live, sources
+from ocheline.streaming import held, live, sources
 from registry import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,7 @@ def query(fn: Query) -> Query:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _finish(q: StreamingQuery) -> None:
@@ -178,7 +178,10 @@ def s7_publish(spark, d):
 @query
 def t1_live_scores(spark, d):
     """The last line per leg and player; corrections re-score what they correct."""
-    lines = _arrived(live.live_scores(_throws(spark, d), _utc_games(spark, d), "60 days"), "update")
+    return _last_lines(_arrived(live.live_scores(_throws(spark, d), _utc_games(spark, d), "60 days"), "update"))
+
+
+def _last_lines(lines: DataFrame) -> DataFrame:
     newest = F.struct("batch", "closed")
     return (
         lines.groupBy("session_id", "started_at", "player_id")
@@ -187,6 +190,53 @@ def t1_live_scores(spark, d):
     )
 
 
+# Throws and games arrive in files of their own, so one side may be as late as all of them.
+ALL_TIME = "90 days"
+
+
+def _arriving(df: DataFrame, time: str) -> DataFrame:
+    """A table as a stream, a file for each of a few spans of time, the latest first."""
+    spark, folder = df.sparkSession, _folder(df.sparkSession)
+    timed = df.withColumn(time, F.col(time).cast("timestamp"))
+    for part in (2, 1, 0):
+        rows = timed.where(F.pmod(F.dayofyear(time), F.lit(3)) == part)
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query
+def j2_live_asof_calibration(spark, d):
+    """J2 where detections and calibrations both arrive."""
+    seen = fx.detections_of(fx.with_keys(fx.event_stream(spark, d, marked=False))).drop("calibration_id", "h")
+    calibrations = _arriving(fx.calibrations(spark, d), "validated_at")
+    found = _arrived(
+        held.live_as_of(
+            seen, calibrations, ["session_id"], "captured_at", "validated_at", ["calibration_id"], ALL_TIME, "7 days"
+        )
+    )
+    return found.filter(F.col("session_id") != fx.END_SESSION).select("throw_id", "view", "calibration_id")
+
+
+@query
+def j3_live_asof_game(spark, d):
+    """J3 where throws and games both arrive."""
+    t = fx.throws_of(fx.with_keys(fx.event_stream(spark, d, marked=False))).select("id", "session_id", "captured_at")
+    games = _arriving(fx.games(spark, d), "started_at")
+    found = _arrived(
+        held.live_as_of(t, games, ["session_id"], "captured_at", "started_at", live.GAME, ALL_TIME, "7 days")
+    ).filter(F.col("session_id") != fx.END_SESSION)
+    return found.select("id", "game_type", "start_score", "double_out", _plain("started_at"))
+
+
+@query
+def t1_live_scores_arriving_games(spark, d):
+    """T1 where the games arrive as well."""
+    t = fx.throws_of(fx.with_keys(fx.event_stream(spark, d, marked=False)))
+    games = _arriving(fx.games(spark, d), "started_at")
+    lines = _arrived(live.live_scores(t, games, "60 days", ALL_TIME, "7 days"))
+    return _last_lines(lines)
+
+
 @query
 def t2_once_each(spark, d):
     dirty = fx.dirty_of(_throws(spark, d))
@@ -214,7 +264,7 @@ def t4_live_frame_rate(spark, d):
 @query
 def t5_live_throws(spark, d):
     frames = fx.frames_of(fx.with_keys(fx.event_stream(spark, d)))
-    found = _arrived(live.live_throws(frames)).filter(F.col("session_id") != fx.END_SESSION)
+    found = _arrived(live.live_throws(frames, "1 day")).filter(F.col("session_id") != fx.END_SESSION)
     return found.select(
         "session_id", "frame_no", "n_tips", "new_tips", "retrieved", "throws_so_far"
     )
