@@ -77,8 +77,12 @@ def _with_turns(df: DataFrame, keys: Sequence[str], given: bool) -> DataFrame:
     )
 
 
-def assign_turns(throws: DataFrame) -> DataFrame:
-    """Turn and dart number per session and player."""
+def assign_turns(throws: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Turn and dart number per session and player.
+
+    Here and below, `counted` are the throws before corrections are resolved:
+    sizes are read from them, so that the corrected ones are evaluated once.
+    """
     keys = ["session_id", "player_id"]
     return over_groups(
         throws,
@@ -86,6 +90,7 @@ def assign_turns(throws: DataFrame) -> DataFrame:
         ORDER,
         lambda df, given: _with_turns(df, keys, given),
         noted=F.col("turn_id").isNotNull(),
+        counted=counted,
     )
 
 
@@ -96,10 +101,12 @@ def turn_totals(throws: DataFrame) -> DataFrame:
     )
 
 
-def running_score(throws: DataFrame) -> DataFrame:
+def running_score(throws: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Total so far per session and player."""
     keys, score = ["session_id", "player_id"], {"running_score": total(F.col("score"))}
-    return over_groups(throws, ["session_id"], ORDER, lambda df: running(df, keys, ORDER, score))
+    return over_groups(
+        throws, ["session_id"], ORDER, lambda df: running(df, keys, ORDER, score), counted=counted
+    )
 
 
 def scoreboard(states: DataFrame, value: Sequence[str] = ("remaining", "status")) -> DataFrame:
@@ -554,10 +561,12 @@ def _together(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df if is_split(df) else df.repartition(*keys)
 
 
-def cricket_marks(throws: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
+def cricket_marks(
+    throws: DataFrame, keys: Sequence[str] = ("session_id",), counted: DataFrame | None = None
+) -> DataFrame:
     """Marks so far per player and number, at most three; Cricket numbers only."""
     hits = throws.filter(F.col("segment").isin(*CRICKET_NUMBERS))
-    marked = over_groups(hits, list(keys), ORDER, lambda df: _with_marks(df, keys))
+    marked = over_groups(hits, list(keys), ORDER, lambda df: _with_marks(df, keys), counted=counted)
     return marked.withColumn("marks_so_far", F.least(F.col("marks_sum"), F.lit(3))).drop(
         "marks_sum", "_marks_before"
     )
@@ -605,12 +614,14 @@ def _cricket(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def cricket_points(throws: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
+def cricket_points(
+    throws: DataFrame, keys: Sequence[str] = ("session_id",), counted: DataFrame | None = None
+) -> DataFrame:
     """Points per throw and so far, and which throws close a number.
 
     A throw marked `after` came when the leg was won; it does not count.
     """
-    return over_groups(throws, list(keys), ORDER, lambda df: _cricket(df, keys))
+    return over_groups(throws, list(keys), ORDER, lambda df: _cricket(df, keys), counted=counted)
 
 
 def cricket_states(
@@ -631,7 +642,7 @@ def cricket_standings(
     one leg.
     """
     if games is None:
-        keys, points = ["session_id"], cricket_points(throws)
+        keys, points = ["session_id"], cricket_points(throws, counted=counted)
     else:
         keys, points = LEG, cricket_states(throws, games, counted)
     counts = ~F.col("after")
@@ -643,8 +654,44 @@ def cricket_standings(
     )
 
 
-def replay_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows on which two runs differ, with the run that has them."""
+# Ranges of the hash of a row by which two runs are told apart.
+RANGES = 1024
+
+
+def run_digest(run: DataFrame) -> DataFrame:
+    """Of each range of a run: how many rows, and two sums of their hashes. At most RANGES rows.
+
+    May be stored with a run. Runs with equal digests have equal rows, but for
+    chances of 2^-128; order and number of partitions do not matter.
+    """
+    columns = sorted(run.columns)
+    first = F.xxhash64(*columns)
+    sums = [F.sum(h.cast("decimal(20,0)")) for h in (first, F.xxhash64(F.lit(1), *columns))]
+    return run.groupBy(F.pmod(first, F.lit(RANGES)).cast("int").alias("range")).agg(
+        F.count(F.lit(1)).alias("n"), sums[0].alias("sum1"), sums[1].alias("sum2")
+    )
+
+
+def replay_diff(
+    a: DataFrame, b: DataFrame, a_digest: DataFrame | None = None, b_digest: DataFrame | None = None
+) -> DataFrame:
+    """Rows on which two runs differ, with the run that has them.
+
+    First the digests of both are compared, stored ones or computed here. Only
+    rows in ranges that differ are compared themselves; equal runs cost a sum
+    each and no comparison of rows.
+    """
+    a_digest = run_digest(a) if a_digest is None else a_digest
+    b_digest = run_digest(b) if b_digest is None else b_digest
+    key = F.struct("n", "sum1", "sum2")
+    sides = a_digest.select("range", key.alias("a")).join(
+        b_digest.select(F.col("range").alias("_range"), key.alias("b")), F.col("range") == F.col("_range"), "full"
+    )
+    differ = [r[0] for r in sides.filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.coalesce("range", "_range")).collect()]
+    if not differ:
+        return a.limit(0).withColumn("only_in", F.lit("a"))
+    inside = F.pmod(F.xxhash64(*sorted(a.columns)), F.lit(RANGES)).isin(differ)
+    a, b = a.filter(inside), b.select(*a.columns).filter(inside)
     return (
         a.exceptAll(b)
         .withColumn("only_in", F.lit("a"))

@@ -95,6 +95,90 @@ def impact_error(
     )
 
 
+# Size of a quantile sketch: a share that is read from it is off by less than
+# SKETCH_ERROR with a probability of 0.99, whatever was merged.
+SKETCH_K = 1000
+SKETCH_ERROR = 0.003
+
+
+def _sketched(rows: DataFrame, value: Column, by: Sequence[Column]) -> DataFrame:
+    return rows.groupBy(*by).agg(
+        F.count(value).alias("n"),
+        F.max(value).alias("largest"),
+        F.kll_sketch_agg_double(value, F.lit(SKETCH_K)).alias("sketch"),
+    )
+
+
+def _quantile(p: float) -> Column:
+    merged = F.kll_merge_agg_double("sketch", F.lit(SKETCH_K))
+    return F.when(F.sum("n") > 0, F.kll_sketch_get_quantile_double(merged, F.lit(p)))
+
+
+def impact_error_sketches(
+    pairs: DataFrame, by: Sequence[str] = (), corrected_only: bool = True
+) -> DataFrame:
+    """G6 by day, to be stored: (by…, day, n, largest, sketch), a row of bounded size each.
+
+    Days that arrive later are appended; several rows of one day add up.
+    """
+    if corrected_only:
+        pairs = pairs.filter(F.col("final_id") != F.col("id"))
+    distance = F.hypot(
+        F.col("detected_x") - F.col("corrected_x"), F.col("detected_y") - F.col("corrected_y")
+    )
+    return _sketched(pairs, distance, [*map(F.col, by), F.to_date("captured_at").alias("day")])
+
+
+def impact_error_merged(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """G6 from stored sketches, whatever days are left in them: `impact_error` within SKETCH_ERROR.
+
+    A quantile is one of the values; the share of values up to it is the asked
+    one within that error. Counts and `largest` are exact.
+    """
+    return sketches.groupBy(*by).agg(
+        F.sum("n").alias("throws"),
+        _quantile(0.5).alias("p50"),
+        _quantile(0.95).alias("p95"),
+        F.max("largest").alias("largest"),
+    )
+
+
+def runtime_sketches(frames: DataFrame, width: str = "1 minute") -> DataFrame:
+    """G11 by window, to be stored: (runtime, window_start, frames, n, largest, sketch)."""
+    window = F.window("captured_at", width)
+    counted = frames.withColumn("window_start", window["start"])
+    keys = ["runtime", "window_start"]
+    sizes = counted.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("frames"),
+        F.count("latency_ms").alias("n"),
+        F.max("latency_ms").alias("largest"),
+        F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(SKETCH_K)).alias("sketch"),
+    )
+    return sizes
+
+
+def runtime_merged(sketches: DataFrame, width: str) -> DataFrame:
+    """G11 over wider windows from stored sketches of narrower ones, within SKETCH_ERROR."""
+    window = F.window("window_start", width)
+    seconds = (micros(window["end"]) - micros(window["start"])) / F.lit(1e6)
+    return (
+        sketches.groupBy("runtime", window.alias("w"), seconds.alias("_seconds"))
+        .agg(
+            F.sum("frames").alias("frames"),
+            _quantile(0.5).alias("latency_p50"),
+            _quantile(0.95).alias("latency_p95"),
+        )
+        .select(
+            "runtime",
+            F.col("w.start").alias("window_start"),
+            "frames",
+            (F.col("frames") / F.col("_seconds")).alias("frames_per_second"),
+            "latency_p50",
+            "latency_p95",
+        )
+    )
+
+
 def threshold_sweep(pairs: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """For each threshold, how many throws go to review and how many errors pass.
 

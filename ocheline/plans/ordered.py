@@ -36,15 +36,17 @@ def over_groups(
     order: Sequence[str],
     body: Callable[..., DataFrame],
     noted: Column | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Apply `body`, made of `running` steps, to groups of any size.
 
     Ordinary groups go through `body` as they are. The rows of over-large ones
     go through it a second time, cut into chunks. With a condition `noted`,
     `body` is also told whether it holds for any row, which is found out in
-    the pass that counts the groups.
+    the pass that counts the groups. That pass reads `counted` where it is
+    given: a frame with at least the rows of `df` that is cheaper to evaluate.
     """
-    cold, hot, found = _split(df, keys, order, noted)
+    cold, hot, found = _split(df, keys, order, noted, counted)
     told = () if noted is None else (found,)
     done = body(cold, *told)
     return done if hot is None else done.unionByName(body(hot, *told).drop(CHUNK))
@@ -60,17 +62,22 @@ def split_hot(
     the order of two others. They are written at that point, since the number
     must not change when a task is repeated.
     """
-    return _split(df, keys, order, None)[:2]
+    return _split(df, keys, order, None, None)[:2]
 
 
 def _split(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], noted: Column | None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    noted: Column | None,
+    counted: DataFrame | None,
 ) -> tuple[DataFrame, DataFrame | None, bool]:
-    """`split_hot`, and whether `noted` holds for any row, with one pass over `df`."""
+    """`split_hot`, and whether `noted` holds for any row, with one pass over `df` or `counted`."""
     limit = hot_limit(df)
     names = [f"_hot_{k}" for k in keys]
     sizes = (
-        df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+        (df if counted is None else counted)
+        .groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)])
         .agg(
             F.count(F.lit(1)).alias("_rows"),
             F.bool_or(F.lit(False) if noted is None else noted).alias("_noted"),

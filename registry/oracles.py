@@ -506,6 +506,23 @@ ORACLES: dict[str, str] = {
            FROM pairs WHERE final_id <> id""",
         "pairs",
     ),
+    "g6_sketched": _sql(
+        """SELECT count(*) AS throws, round(max(distance), 6) AS largest, TRUE AS p50_holds,
+                  TRUE AS p95_holds
+           FROM pairs WHERE final_id <> id""",
+        "pairs",
+    ),
+    "g11_sketched": """
+        SELECT event_type AS runtime, date_trunc('day', ts)::TIMESTAMP AS window_start,
+               count(*) AS frames, TRUE AS p50_holds, TRUE AS p95_holds
+        FROM events GROUP BY 1, 2""",
+    "s4_read_frames": _sql(
+        """SELECT session_id, event_id AS frame_no, CAST(1 + event_id % 97 AS BIGINT) AS n_bytes,
+                  md5(repeat(chr(65 + CAST(event_id % 26 AS INTEGER)), CAST(1 + event_id % 97 AS INTEGER)))
+                    AS digest
+           FROM ev""",
+        "ev",
+    ),
     "g7_threshold_sweep": _sql(
         """SELECT threshold, count(*) FILTER (confidence < threshold) AS in_review,
                   count(*) FILTER (confidence >= threshold AND NOT agree) AS missed_errors,

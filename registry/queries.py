@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocheline.operators import (
@@ -17,6 +18,7 @@ from ocheline.operators import (
     reports,
     vision,
 )
+from ocheline.plans.storage import cut_lineage, session_folder
 from registry import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,7 +158,7 @@ def j7_authorised(spark, d):
 
 @query
 def j8_close_groupings(spark, d):
-    near = games.close_groupings(games.assign_turns(_final(spark, d)), 0.25)
+    near = games.close_groupings(games.assign_turns(_final(spark, d), fx.throws(spark, d)), 0.25)
     return near.withColumn("distance", F.round("distance", 6))
 
 
@@ -251,7 +253,7 @@ def g2_fuse_views(spark, d):
 
 @query
 def g3_turn_totals(spark, d):
-    return games.turn_totals(games.assign_turns(_final(spark, d)))
+    return games.turn_totals(games.assign_turns(_final(spark, d), fx.throws(spark, d)))
 
 
 def _pairs(spark, d):
@@ -277,6 +279,46 @@ def g6_impact_error(spark, d):
     )
 
 
+def _holds(estimate: str, share: float, value: Column) -> Column:
+    """Whether the share of values up to an estimate is the asked one, with a margin of three errors."""
+    margin = 3 * reports.SKETCH_ERROR
+    return (F.avg((value < F.col(estimate)).cast("double")) <= share + margin) & (
+        F.avg((value <= F.col(estimate)).cast("double")) >= share - margin
+    )
+
+
+@query
+def g6_sketched(spark, d):
+    """G6 from stored daily sketches, held against all distances."""
+    folder = f"{session_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    pairs = _pairs(spark, d)
+    reports.impact_error_sketches(pairs).write.partitionBy("day").parquet(folder)
+    merged = reports.impact_error_merged(spark.read.parquet(folder))
+    distance = F.hypot(F.col("detected_x") - F.col("corrected_x"), F.col("detected_y") - F.col("corrected_y"))
+    every = pairs.filter(F.col("final_id") != F.col("id")).select(distance.alias("d"), F.lit(0).alias("all"))
+    # One row on the other side.
+    held = every.join(merged.withColumn("_all", F.lit(0)), F.col("all") == F.col("_all"))
+    return held.groupBy("throws", F.round("largest", 6).alias("largest")).agg(
+        _holds("p50", 0.5, F.col("d")).alias("p50_holds"), _holds("p95", 0.95, F.col("d")).alias("p95_holds")
+    )
+
+
+@query
+def g11_sketched(spark, d):
+    """G11 by day from stored sketches of hours, held against all latencies."""
+    folder = f"{session_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    frames = fx.frames(spark, d)
+    reports.runtime_sketches(frames, "1 hour").write.parquet(folder)
+    merged = reports.runtime_merged(spark.read.parquet(folder), "1 day")
+    day = F.window("captured_at", "1 day")["start"]
+    each = frames.select(F.col("runtime").alias("_runtime"), day.alias("_day"), "latency_ms")
+    held = each.join(merged, (F.col("_runtime") == F.col("runtime")) & (F.col("_day") == F.col("window_start")))
+    return held.groupBy("runtime", "window_start", "frames").agg(
+        _holds("latency_p50", 0.5, F.col("latency_ms")).alias("p50_holds"),
+        _holds("latency_p95", 0.95, F.col("latency_ms")).alias("p95_holds"),
+    )
+
+
 @query
 def g7_threshold_sweep(spark, d):
     return reports.threshold_sweep(_pairs(spark, d), THRESHOLDS)
@@ -331,31 +373,31 @@ def w2_detect_throws(spark, d):
 
 @query
 def w3_assign_turns(spark, d):
-    return games.assign_turns(_final(spark, d)).select("id", "turn_no", "dart_no")
+    return games.assign_turns(_final(spark, d), fx.throws(spark, d)).select("id", "turn_no", "dart_no")
 
 
 @query
 def w4_running_score(spark, d):
-    return games.running_score(_final(spark, d)).select("id", "running_score")
+    return games.running_score(_final(spark, d), fx.throws(spark, d)).select("id", "running_score")
 
 
 @query
 def w5_cricket_marks(spark, d):
-    return games.cricket_marks(_final(spark, d)).select(
+    return games.cricket_marks(_final(spark, d), counted=fx.throws(spark, d)).select(
         "id", "segment", "marks", "marks_so_far"
     )
 
 
 @query
 def w6_cricket_points(spark, d):
-    return games.cricket_points(_final(spark, d)).select(
+    return games.cricket_points(_final(spark, d), counted=fx.throws(spark, d)).select(
         "id", "points", "points_so_far", "closes", "numbers_closed", "wins", "after"
     )
 
 
 @query
 def w7_scoreboard(spark, d):
-    t = games.running_score(_final(spark, d))
+    t = games.running_score(_final(spark, d), fx.throws(spark, d))
     return games.scoreboard(t, ["running_score"])
 
 
@@ -441,7 +483,8 @@ def e4_replay_diff(spark, d):
     t = fx.throws(spark, d)
     detected = t.filter(F.col("correction_of").isNull())
     final = corrections.effective_throws(t)
-    a, b = (games.turn_totals(games.assign_turns(x)) for x in (detected, final))
+    # A run is a table; its rows are read for the digest and, where they differ, for the comparison.
+    a, b = (cut_lineage(games.turn_totals(games.assign_turns(x, t))) for x in (detected, final))
     return games.replay_diff(a, b)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ocheline.operators import events as ev
 from ocheline.plans.storage import session_folder
-from ocheline.sources import outbox, tables
+from ocheline.sources import frames, outbox, tables
 from ocheline.streaming import held, live, sources
 from registry import fixtures as fx
 
@@ -136,6 +136,18 @@ def s3_read_landmarks(spark, d):
     return found.select("calibration_id", "name", F.round("px", 6).alias("px"), "bx", "by0")
 
 
+@query
+def s4_read_frames(spark, d):
+    """Images written by tasks as files named by session and frame, and read back."""
+    folder = _folder(spark)
+    seen = fx.frames(spark, d).select("session_id", "frame_no")
+    letter = F.char(F.lit(65) + F.col("frame_no") % 26)
+    image = F.repeat(letter, (F.lit(1) + F.col("frame_no") % 97).cast("int"))
+    frames.write_frames(seen.withColumn("content", image.cast("binary")), folder)
+    found = tables.read_frames(spark, folder, with_bytes=True)
+    return found.select("session_id", "frame_no", "n_bytes", F.md5("content").alias("digest"))
+
+
 @query
 def s5_read_detections(spark, d):
     folder = _folder(spark)

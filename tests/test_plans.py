@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from ocheline.operators import games
-from ocheline.plans import ordered, storage
+from ocheline.plans import joins, ordered, storage
 from registry.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -135,3 +135,61 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         storage.shared_folder(Session())
+
+
+def test_sizes_are_read_from_the_uncorrected_throws(spark):
+    """What makes the frames evaluates nothing of the corrected throws."""
+    raw = make.table(spark, [make.throw(i, "S20") for i in range(8)])
+    costly = raw.drop("correction_of").withColumn("score", F.raise_error(F.lit("evaluated")).cast("int"))
+    costly = costly.withColumn("session_id", F.when(F.raise_error(F.lit("evaluated")).isNull(), F.col("session_id")))
+    for made in (
+        games.assign_turns(costly, raw),
+        games.running_score(costly, raw),
+        games.cricket_marks(costly, counted=raw),
+        games.cricket_points(costly, counted=raw),
+        games.cricket_standings(costly, counted=raw),
+    ):
+        with pytest.raises(Exception, match="evaluated"):
+            made.collect()
+
+
+@pytest.mark.parametrize("most", [0, 100_000_000])
+@pytest.mark.parametrize("limit", [None, "5"])
+def test_intervals_of_any_width(spark, most, limit):
+    """Widths of one cell and of a million: each fact finds all that hold it, or none."""
+    rng = __import__("random").Random(5)
+    spans = [(i, lo, lo + w) for i in range(60) for lo, w in [(rng.uniform(-50, 50), rng.choice([0.0, 0.3, 1.0, 7.0, 40.0]))]]
+    spans += [(100, -5e5, 5e5), (101, 3.0, None), (102, None, 4.0), (103, 5.0, 4.0)]
+    facts = [(i, rng.choice([rng.uniform(-60, 60), 3.0, 4e5, 6e5, None])) for i in range(120)] + [(7, 3.0), (7, 3.0)]
+    if limit:
+        spark.conf.set(ordered.LIMIT_SETTING, limit)
+    try:
+        found = joins.interval_lookup(
+            spark.createDataFrame(facts, "k int, v double"), F.col("v"),
+            spark.createDataFrame(spans, "name int, lo double, hi double"), "lo", "hi", 1.0, most,
+        ).collect()
+    finally:
+        spark.conf.unset(ordered.LIMIT_SETTING)
+    want = []
+    for k, v in facts:
+        hits = [n for n, lo, hi in spans if None not in (v, lo, hi) and lo <= v < hi]
+        want += [(k, v, n) for n in hits or [None]]
+    key = lambda r: str(r)
+    assert sorted(((r.k, r.v, r.name) for r in found), key=key) == sorted(want, key=key)
+
+
+def test_rows_of_wide_intervals_follow_their_number(spark):
+    cells = joins._cells(spark.createDataFrame([(k * 1.0, k + 1e6) for k in range(50)], "lo double, hi double"), "lo", "hi", 2.0**20)
+    assert cells.count() <= 150
+
+
+def test_equal_runs_are_not_compared_row_by_row(spark):
+    rows = [(i, i % 7, float(i)) for i in range(500)] * 2
+    a = spark.createDataFrame(rows, "k int, m int, v double")
+    b = spark.createDataFrame(rows[::-1], "k int, m int, v double").select("v", "k", "m").repartition(5)
+    same = games.replay_diff(a, b)
+    assert same.count() == 0 and "ExceptAll" not in same._jdf.queryExecution().logical().toString()
+    other = spark.createDataFrame([*rows[1:], (7, 7, None)], "k int, m int, v double")
+    found = games.replay_diff(a, other, games.run_digest(a), games.run_digest(other))
+    assert sorted((r.k, r.v, r.only_in) for r in found.collect()) == [(0, 0.0, "a"), (7, None, "b")]
+    assert games.replay_diff(a.limit(0), a.limit(0)).count() == 0

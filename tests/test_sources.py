@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ocheline import schemas
 from ocheline.operators import events
-from ocheline.sources import outbox, tables
+from ocheline.sources import frames, outbox, tables
 
 
 def event(id, **change):
@@ -109,6 +109,17 @@ def test_frames_from_files(spark, tmp_path):
     assert tables.read_frames(spark, path, with_bytes=True).filter("frame_no = 1").first().content == b"xx"
 
 
+def test_frames_written_by_tasks(spark, tmp_path):
+    rows = [("s1", 1, b"abc"), ("s1", 2, b""), ("s2", 1, b"x" * 70_000), ("s2", 1, b"x" * 70_000), (None, 1, b"a"), ("s", None, b"a"), ("a/b", 1, b"a"), ("s", 3, None)]
+    df = spark.createDataFrame(rows, "session_id string, frame_no int, content binary").repartition(3)
+    path = f"file://{tmp_path}/frames"
+    for _ in range(2):  # a repeated write changes nothing
+        frames.write_frames(df, path, "png")
+        found = tables.read_frames(spark, path, with_bytes=True).collect()
+        assert sorted((r.session_id, r.frame_no, bytes(r.content)) for r in found) == [("s1", 1, b"abc"), ("s1", 2, b""), ("s2", 1, b"x" * 70_000)]
+        assert all(r.path.endswith(".png") for r in found)
+
+
 def test_declared_schemas(spark, tmp_path):
     for name, schema, read in [
         ("cal", schemas.CALIBRATIONS, tables.read_calibrations),
