@@ -131,11 +131,40 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _chunks(items: Column) -> Column:
+    """An array that is not empty, cut into about as many chunks as a chunk has items."""
+    step = F.ceil(F.sqrt(F.size(items))).cast("int")
+    count = F.ceil(F.size(items) / step).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(items, k * step + 1, step))
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of some numbers, what `combine` makes of 0 and all those before it.
+
+    A fold that appends to an array copies it each time, so only short arrays
+    grow: the folds of whole chunks, and those within a chunk.
+    """
+
+    def walk(over: Column, first: Column) -> Column:
+        return F.aggregate(
+            over,
+            F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, x: F.struct(
+                combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
+            ),
+        )["out"]
+
+    def all_chunks(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), combine))
+        return F.flatten(F.zip_with(chunks, walk(totals, F.lit(0)), walk))
+
+    return F.when(F.size(values) > 0, _once(_chunks(values), all_chunks)).otherwise(F.array().cast("array<int>"))
+
+
 def _spans(rule: Rule, text: Column, run: Column) -> Column:
     """Array of (start, end) of a rule's matches in code points."""
     pattern = F.lit(rule.pattern)
     nothing = F.array().cast("array<string>")
-    empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def place(matches: Column) -> Column:
         judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
@@ -145,32 +174,23 @@ def _spans(rule: Rule, text: Column, run: Column) -> Column:
             F.slice(F.split(text, rule.pattern, -1), 1, F.size(matches)),
             lambda m, gap: F.struct(
                 F.length(gap).alias("gap"),
-                F.length(m["m"]).alias("size"),
+                (F.length(gap) + F.length(m["m"])).alias("size"),
                 (F.length(m["j"]) >= rule.least).alias("ok"),
             ),
         )
-        walked = F.aggregate(
-            parts,
-            F.struct(F.lit(0).alias("at"), empty.alias("found")),
-            lambda acc, p: F.struct(
-                (acc["at"] + p["gap"] + p["size"]).alias("at"),
-                F.when(
-                    p["ok"],
-                    F.concat(
-                        acc["found"],
-                        F.array(
-                            F.struct(
-                                (acc["at"] + p["gap"]).alias("start"),
-                                (acc["at"] + p["gap"] + p["size"]).alias("end"),
-                            )
-                        ),
-                    ),
-                )
-                .otherwise(acc["found"])
-                .alias("found"),
-            ),
-        )
-        return F.when(F.size(matches) > 0, walked["found"]).otherwise(empty)
+
+        def placed(parts: Column) -> Column:
+            before = _before(F.transform(parts, lambda p: p["size"]), lambda x, y: x + y)
+            found = F.zip_with(
+                parts,
+                before,
+                lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["size"]).alias("end"), p["ok"].alias("ok")),
+            )
+            return F.transform(
+                F.filter(found, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+            )
+
+        return _once(parts, placed)
 
     return _once(F.when(run, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(nothing), place)
 
@@ -255,19 +275,25 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     marked, name = with_spans(docs, BASE + MORE, id_col, text_col)
     text = F.col(text_col)
-    masked = F.aggregate(
-        F.col(name),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK)),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+
+    def kept(spans: Column) -> Column:
+        """(begin, end) of what lies between the spans, the rest of the text included."""
+        ends = F.transform(spans, lambda s: s["end"])
+        between = F.zip_with(
+            spans, _before(ends, lambda x, y: F.greatest(x, y)), lambda s, at: F.struct(at.alias("begin"), s["start"].alias("end"))
+        )
+        rest = F.struct(F.array_max(ends).alias("begin"), F.length(text).alias("end"))
+        return F.concat(F.filter(between, lambda p: p["end"] >= p["begin"]), F.array(rest))
+
+    def spelt_out(part: Column) -> Column:
+        """The texts of some neighbours; a place is looked for from the first one's on."""
+        first = part[0]["begin"]
+        return _once(
+            F.substring(text, first + 1, F.element_at(part, -1)["end"] - first),
+            lambda raw: F.transform(part, lambda p: F.substring(raw, p["begin"] - first + 1, p["end"] - p["begin"])),
+        )
+
+    texts = F.flatten(F.transform(_once(kept(F.col(name)), _chunks), spelt_out))
+    masked = F.array_join(texts, MASK)
     new = F.when(F.size(name) > 0, masked).otherwise(text)
     return marked.withColumn(text_col, new).select(*docs.columns)
