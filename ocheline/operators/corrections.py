@@ -32,16 +32,64 @@ def winning_corrections(throws: DataFrame) -> DataFrame:
     )
 
 
-def follow_chains(throws: DataFrame) -> Chains:
-    """Root and step of every correction in force, by pointer doubling.
+# So many corrections of corrections are followed by recursion if asked for.
+LEVELS = 16
+
+
+def follow_chains(throws: DataFrame, recursion: bool = False) -> Chains:
+    """Root and step of every correction in force.
+
+    With `recursion` one recursive query goes down LEVELS steps from the roots,
+    which is all for usual chains. What it does not reach, deeper chains and
+    cycles, is left to pointer doubling, which does everything without it.
+    """
+    links = cut_lineage(winning_corrections(throws))
+    if not recursion:
+        return _doubled(links)
+    near = _recursed(links)
+    far = cut_lineage(links.join(near.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti"))
+    if far.isEmpty():
+        return Chains(near, far.select("id"))
+    # A far chain starts at a correction that is reached, or never.
+    rest = _doubled(far)
+    above = near.select(F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("step").alias("_step"))
+    joined = rest.links.join(above, F.col("root") == F.col("_id"), "left").select(
+        "id", F.coalesce("_root", "root").alias("root"), (F.col("step") + F.coalesce("_step", F.lit(0))).alias("step")
+    )
+    return Chains(near.unionByName(joined), rest.cycles)
+
+
+def _recursed(links: DataFrame) -> DataFrame:
+    """(id, root, step) of the links (id, parent) at most LEVELS steps below a root."""
+    spark = links.sparkSession
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # each link occurs once, so there is nothing to run away
+    try:
+        return cut_lineage(
+            spark.sql(
+                """
+WITH RECURSIVE chain AS (
+    SELECT l.id, l.parent AS root, 1 AS step FROM {links} l LEFT ANTI JOIN {links} p ON l.parent = p.id
+    UNION ALL
+    SELECT l.id, c.root, c.step + 1 FROM chain c JOIN {links} l ON l.parent = c.id WHERE c.step < {levels})
+SELECT id, root, step FROM chain""",
+                links=links,
+                levels=LEVELS,
+            )
+        )
+    finally:
+        spark.conf.set(limit, before)
+
+
+def _doubled(links: DataFrame) -> Chains:
+    """The same for links (id, parent) of any depth, by pointer doubling.
 
     An event has at most one correction in force and a correction names one
     event, so every join below is one to one and the corrections halve their
     distance to the root in each round. What stops moving is a cycle.
     """
-    open_links = cut_lineage(
-        winning_corrections(throws).select("id", F.col("parent").alias("root"), F.lit(1).alias("step"))
-    )
+    open_links = links.select("id", F.col("parent").alias("root"), F.lit(1).alias("step"))
     left, done = None, None
     while left != 0:
         # A link whose target is no open link has arrived, or takes over the
@@ -49,7 +97,10 @@ def follow_chains(throws: DataFrame) -> Chains:
         # target points. So each round at least the nearest open links arrive.
         known = _targets(open_links, False)
         if done is not None:
-            known = known.unionByName(_targets(done, True))
+            # Of those that have arrived only the ones that an open link points to.
+            aims = open_links.select(F.col("root").alias("_aim"))
+            wanted = done.join(aims, F.col("id") == F.col("_aim"), "left_semi")
+            known = known.unionByName(_targets(wanted, True))
         moved = cut_lineage(
             open_links.join(known, F.col("root") == F.col("_id"), "left").select(
                 "id",
@@ -77,14 +128,14 @@ def _targets(links: DataFrame, arrived: bool) -> DataFrame:
     )
 
 
-def resolve_corrections(throws: DataFrame) -> DataFrame:
+def resolve_corrections(throws: DataFrame, recursion: bool = False) -> DataFrame:
     """Per corrected event the last correction, and how the chain ended.
 
     `status` is 'resolved', 'orphan' (the first corrected event is not in the
     table), 'superseded' (the chain hangs on a correction that lost to a rival)
     or 'cycle' (`root` is null, `final_id` a member of the cycle).
     """
-    chains = follow_chains(throws)
+    chains = follow_chains(throws, recursion)
     ends = chains.links.groupBy("root").agg(
         F.max_by("id", "step").alias("final_id"), F.max("step").alias("n_steps")
     )

@@ -526,6 +526,60 @@ def fold_game(
     return whole.select(*keys, finish(F.col("_state")).alias("state"))
 
 
+def fold_states(
+    throws: DataFrame,
+    keys: Sequence[str],
+    states: int,
+    start: int,
+    step: Callable[[Column, Column], Column],
+    columns: Sequence[str] = ("segment", "multiplier", "score"),
+) -> DataFrame:
+    """E3 in parallel, for rules that know but so many states: (keys…, state).
+
+    A state is a number from 0 to `states` - 1 and `step` goes from one to
+    another. Each piece of a group is folded from every state, all pieces at
+    once; that makes a table from state to state, and tables of neighbours are
+    put together, pairs of pairs. So a group of any length takes as many rounds
+    as the logarithm of its pieces, and no task has more than a piece. `step`
+    runs `states` times a throw, so this is for tens or hundreds of states;
+    `fold_game` is for others.
+    """
+    dart = F.struct(*ORDER, *columns)
+
+    def number(df: DataFrame) -> DataFrame:
+        return running(df, keys, ORDER, {"_n": total(F.lit(1))})
+
+    rows = over_groups(throws.select(*keys, *{*ORDER, *columns} - {*keys}), keys, ORDER, number)
+    piece = F.floor((F.col("_n") - 1) / THROWS_PER_FOLD).alias("_piece")
+    folded = (
+        rows.select(*keys, piece, dart.alias("_dart"))
+        .groupBy(*keys, "_piece")
+        .agg(F.array_sort(F.collect_list("_dart")).alias("_darts"))
+    )
+    every = F.sequence(F.lit(0), F.lit(states - 1))
+    tables = cut_lineage(
+        folded.select(
+            *keys,
+            "_piece",
+            F.transform(
+                every, lambda s: F.aggregate("_darts", s, lambda state, d: step(state, d).cast("int"))
+            ).alias("_table"),
+        )
+    )
+    last = tables.agg(F.max("_piece")).first()[0] or 0
+    while last > 0:
+        even = F.col("_piece") % 2 == 0
+        both = tables.groupBy(*keys, F.floor(F.col("_piece") / 2).alias("_pair")).agg(
+            F.max(F.when(even, F.col("_table"))).alias("_a"), F.max(F.when(~even, F.col("_table"))).alias("_b")
+        )
+        after = F.transform("_a", lambda s: F.get("_b", s))
+        tables = cut_lineage(
+            both.select(*keys, F.col("_pair").alias("_piece"), F.when(F.col("_b").isNull(), F.col("_a")).otherwise(after).alias("_table"))
+        )
+        last //= 2
+    return tables.select(*keys, F.get("_table", F.lit(start)).alias("state"))
+
+
 # --- Cricket ----------------------------------------------------------------
 
 

@@ -585,6 +585,23 @@ ORACLES: dict[str, str] = {
         "ev",
     ),
     "w3_assign_turns": _sql("SELECT id, turn_no, dart_no FROM turns", "turns"),
+    "w3_given_turns": _sql(
+        """SELECT id, CAST(sum(CASE WHEN dart_no = 1 THEN 1 ELSE 0 END)
+                           OVER (PARTITION BY session_id, player_id ORDER BY captured_at, id) - 1
+                           AS BIGINT) AS turn_no, dart_no
+           FROM (SELECT *, CAST((row_number() OVER (PARTITION BY session_id, player_id, island
+                                                    ORDER BY captured_at, id) - 1) % 3 + 1
+                                AS INTEGER) AS dart_no
+                 FROM (SELECT *, sum(opens) OVER (PARTITION BY session_id, player_id
+                                                  ORDER BY captured_at, id) AS island
+                       FROM (SELECT *, CASE WHEN turn IS DISTINCT FROM lag(turn) OVER w
+                                              OR lag(id) OVER w IS NULL THEN 1 ELSE 0 END AS opens
+                             FROM (SELECT *, CASE WHEN CAST(session_id[2:] AS BIGINT) % 3 > 0
+                                                  THEN 't' || (epoch_us(captured_at) // 1000000 // 40000)
+                                             END AS turn FROM eff)
+                             WINDOW w AS (PARTITION BY session_id, player_id ORDER BY captured_at, id))))""",
+        "eff",
+    ),
     "w4_running_score": _sql(
         """SELECT id, CAST(sum(score) OVER (PARTITION BY session_id, player_id
                                             ORDER BY captured_at, id) AS BIGINT) AS running_score
@@ -663,6 +680,23 @@ ORACLES: dict[str, str] = {
            FROM eff GROUP BY 1, 2""",
         "eff",
     ),
+    "e3_fold_states": _sql(
+        """SELECT session_id, player_id, arg_max(lives, n) AS lives FROM life GROUP BY 1, 2""",
+        "eff",
+        extra={
+            "nth": """SELECT session_id, player_id, score, multiplier,
+                             row_number() OVER (PARTITION BY session_id, player_id
+                                                ORDER BY captured_at, id) AS n FROM eff""",
+            "life": """SELECT session_id, player_id, 0::BIGINT AS n, 3 AS lives
+                       FROM (SELECT DISTINCT session_id, player_id FROM eff)
+                       UNION ALL
+                       SELECT d.session_id, d.player_id, d.n,
+                              CASE WHEN l.lives = 0 THEN 0 WHEN d.multiplier = 3 THEN least(l.lives + 1, 3)
+                                   WHEN d.score < 10 THEN l.lives - 1 ELSE l.lives END
+                       FROM life l JOIN nth d ON d.session_id = l.session_id
+                         AND d.player_id = l.player_id AND d.n = l.n + 1""",
+        },
+    ),
     "e4_replay_diff": _sql(
         """SELECT *, 'a' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
            UNION ALL
@@ -933,6 +967,8 @@ ORACLES |= {
 
 # What arrives live gives what the stored tables give.
 ORACLES |= {
+    "r1_by_recursion": ORACLES["r1_resolve_corrections"],
+    "t2_once_ever": ORACLES["t2_once_each"],
     "j2_live_asof_calibration": ORACLES["j2_asof_calibration"],
     "j3_live_asof_game": ORACLES["j3_asof_game"],
     "t1_live_scores_arriving_games": ORACLES["t1_live_scores"],

@@ -376,6 +376,16 @@ def w3_assign_turns(spark, d):
     return games.assign_turns(_final(spark, d), fx.throws(spark, d)).select("id", "turn_no", "dart_no")
 
 
+@query
+def w3_given_turns(spark, d):
+    """Two of three sessions come with turn ids, which may end a turn early or go on beyond three darts."""
+    seconds = F.unix_seconds(F.to_timestamp("captured_at"))
+    name = F.concat(F.lit("t"), F.floor(seconds / 40_000).cast("string"))
+    n = F.substring("session_id", 2, 20).cast("bigint")
+    given = _final(spark, d).withColumn("turn_id", F.when(n % 3 > 0, name))
+    return games.assign_turns(given).select("id", "turn_no", "dart_no")
+
+
 @query
 def w4_running_score(spark, d):
     return games.running_score(_final(spark, d), fx.throws(spark, d)).select("id", "running_score")
@@ -416,6 +426,11 @@ def r1_resolve_corrections(spark, d):
     return corrections.resolve_corrections(fx.throws(spark, d))
 
 
+@query
+def r1_by_recursion(spark, d):
+    return corrections.resolve_corrections(fx.throws(spark, d), recursion=True)
+
+
 @query
 def r2_effective_throws(spark, d):
     return corrections.effective_throws(fx.throws(spark, d)).select(
@@ -477,6 +492,19 @@ def e3_fold_game(spark, d):
     return state.select("session_id", "player_id", "state.lost", "state.points")
 
 
+def _lives(state: Column, dart: Column) -> Column:
+    """Three lives: a dart below ten costs one, a treble gives one back; none is none for good."""
+    gone, won = dart["score"] < 10, dart["multiplier"] == 3
+    return F.when(state == 0, 0).when(won, F.least(state + 1, F.lit(3))).when(gone, state - 1).otherwise(state)
+
+
+@query
+def e3_fold_states(spark, d):
+    """A game of few states, folded in parallel."""
+    found = games.fold_states(_final(spark, d), ["session_id", "player_id"], 4, 3, _lives)
+    return found.select("session_id", "player_id", F.col("state").alias("lives"))
+
+
 @query
 def e4_replay_diff(spark, d):
     """What resolving the corrections changes in the turn totals."""

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ocheline.operators import events as ev
 from ocheline.plans.storage import session_folder
-from ocheline.sources import frames, outbox, tables
+from ocheline.sources import frames, once, outbox, tables
 from ocheline.streaming import held, live, sources
 from registry import fixtures as fx
 
@@ -256,6 +256,19 @@ def t2_once_each(spark, d):
     return found.select("id", "score", "source")
 
 
+@query
+def t2_once_ever(spark, d):
+    """All events delivered again sixty days later, long after any watermark."""
+    folder = _folder(spark)
+    rows = fx.throws_dirty(spark, d).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    for late in (0, 60):
+        again = rows.withColumn("captured_at", F.col("captured_at") + F.make_dt_interval(days=F.lit(late)))
+        again.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(again.schema).parquet(f"{folder}/in").withWatermark("captured_at", "1 hour")
+        _finish(once.once_ever(stream, folder, f"{folder}/state"))
+    return once.admitted(spark, folder, again.schema).select("id", "score", "source")
+
+
 @query
 def t3_session_summary(spark, d):
     found = _arrived(sources.session_summary(_throws(spark, d), "6 hours"))

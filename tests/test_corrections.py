@@ -3,6 +3,7 @@
 import random
 
 import make
+import pytest
 
 from ocheline.operators import corrections
 
@@ -63,7 +64,9 @@ def test_rivals_at_one_time_go_by_id(spark):
     assert resolved(spark, rows) == {("1", "3", 1, "resolved")}
 
 
-def test_long_and_random_chains(spark):
+@pytest.mark.parametrize("levels", [1, 3, 60])
+def test_long_and_random_chains(spark, monkeypatch, levels):
+    monkeypatch.setattr(corrections, "LEVELS", levels)
     rng = random.Random(5)
     rows = [make.throw(0, "S1")] + [make.throw(i, "S2", of=i - 1) for i in range(1, 40)]
     for i in range(100, 300):
@@ -86,6 +89,19 @@ def test_long_and_random_chains(spark):
     expected |= {(None, i, None, "cycle") for i in winner.values() if i not in on_path}
     assert ("0", "39", 39, "resolved") in expected
     assert resolved(spark, rows) == expected
+    # By recursion: chains within its levels, beyond them, and cycles.
+    found = corrections.resolve_corrections(make.table(spark, rows), recursion=True).collect()
+    assert {(r.root, r.final_id, r.n_steps, r.status) for r in found} == expected
+    assert len(found) == len(expected)
+
+
+def test_recursion_alone_follows_usual_chains(spark, monkeypatch):
+    """Chains within the levels leave nothing to pointer doubling."""
+    rows = [make.throw(0, "S1")] + [make.throw(i, "S2", of=i - 1) for i in range(1, 6)]
+    monkeypatch.setattr(corrections, "_doubled", None)
+    chains = corrections.follow_chains(make.table(spark, rows), recursion=True)
+    assert {(r.id, r.root, r.step) for r in chains.links.collect()} == {(str(i), "0", i) for i in range(1, 6)}
+    assert chains.cycles.count() == 0
 
 
 def test_detected_next_to_corrected(spark):

@@ -248,6 +248,51 @@ def test_fold_another_game(spark, request, monkeypatch, size, large):
     assert {r.player_id: r.state for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("size", [100_000, 1, 3, 4])
+@pytest.mark.parametrize("large", [False, True])
+def test_fold_over_few_states(spark, request, monkeypatch, size, large):
+    """A state after the other; the order of darts matters."""
+    if large:
+        request.getfixturevalue("hot")
+    monkeypatch.setattr(games, "THROWS_PER_FOLD", size)
+    rng = random.Random(6)
+    rows = [make.throw(i, rng.choice(["S1", "S5", "T20", "MISS"]), player=rng.choice("aaab")) for i in range(40)]
+    rows.append(make.throw(90, "S1", player="c"))
+
+    def after(state, r):
+        return {0: 3, 3: 1}.get(state, state) if r["score"] == 60 else (state + r["score"]) % 5
+
+    found = games.fold_states(
+        make.table(spark, rows),
+        ["session_id", "player_id"],
+        5,
+        2,
+        lambda s, d: F.when(d["score"] == 60, F.when(s == 0, 3).when(s == 3, 1).otherwise(s)).otherwise((s + d["score"]) % 5),
+    )
+    want = {}
+    for r in rows:
+        want[r["player_id"]] = after(want.get(r["player_id"], 2), r)
+    assert {r.player_id: r.state for r in found.collect()} == want
+
+
+def test_rounds_of_a_parallel_fold_grow_with_the_logarithm(spark, monkeypatch):
+    """One group of 20,000 throws in 2,000 pieces is put together in eleven rounds."""
+    monkeypatch.setattr(games, "THROWS_PER_FOLD", 10)
+    throws = spark.range(20_000).select(
+        F.lit("s").alias("session_id"), F.timestamp_seconds("id").alias("captured_at"),
+        F.format_string("%05d", "id").alias("id"), (F.col("id") % 20).cast("int").alias("segment"),
+        F.lit(1).alias("multiplier"), (F.col("id") % 20).cast("int").alias("score"),
+    )
+    cuts = []
+    real = games.cut_lineage
+    monkeypatch.setattr(games, "cut_lineage", lambda df: cuts.append(1) or real(df))
+    (row,) = games.fold_states(throws, ["session_id"], 7, 0, lambda s, d: (s * 3 + d["score"]) % 7).collect()
+    state = 0
+    for i in range(20_000):
+        state = (state * 3 + i % 20) % 7
+    assert row.state == state and len(cuts) == 1 + 11
+
+
 def test_scoreboard(spark):
     rows = [make.throw(i, "S1", player=p) for i, p in enumerate("abab")]
     board = games.scoreboard(games.running_score(make.table(spark, rows)), ["running_score"]).collect()

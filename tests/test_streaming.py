@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ocheline import schemas
 from ocheline.operators import corrections, events, games, vision
-from ocheline.sources import outbox
-from ocheline.streaming import live, sources
+from ocheline.sources import once, outbox
+from ocheline.streaming import held, live, sources
 
 
 @pytest.fixture(autouse=True)
@@ -131,6 +131,73 @@ def test_duplicates_and_sessions(spark, tmp_path):
     assert [(r.throws, r.points) for r in summary.collect()] == [(3, 6)]
 
 
+@pytest.mark.parametrize("looked_up", [2_000, 1])
+def test_redelivered_after_a_month(spark, tmp_path, monkeypatch, looked_up):
+    monkeypatch.setattr(once, "LOOKED_UP", looked_up)
+    feed, out = Feed(spark, tmp_path), str(tmp_path / "once")
+    month = 30 * 86_400
+    parts = [
+        [make.throw(1, "S1"), make.throw(1, "S1"), make.throw(2, "S2")],
+        [make.throw(2, "S2"), make.throw(3, "S3")],
+        [make.throw(9, "S9", second=month)],
+        [make.throw(1, "S1", second=month + 5), make.throw(10, "S4", second=month + 6)],
+    ]
+    for part in parts:
+        feed.add(part)
+        stream = sources.stream_throws(spark, feed.path, "1 minute")
+        q = once.once_ever(stream, out, str(tmp_path / "state"))
+        q.awaitTermination(300)
+        assert not q.exception()
+    found = once.admitted(spark, out, stream.schema).collect()
+    assert sorted((r.id, r.notation) for r in found) == [("1", "S1"), ("10", "S4"), ("2", "S2"), ("3", "S3"), ("9", "S9")]
+    # A batch that is repeated, as after a failure, neither adds events nor loses them.
+    again = make.table(spark, parts[3])
+    for _ in range(2):
+        once.admit(again, 3, f"{out}/ids", f"{out}/events")
+    assert sorted(r.id for r in once.admitted(spark, out, stream.schema).collect()) == ["1", "10", "2", "3", "9"]
+    assert once.seen_ids(spark, f"{out}/ids").count() == 5
+
+
+def test_index_of_ids_has_bloom_filters(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    once.admit(make.table(spark, [make.throw(i) for i in range(50)]), 0, f"{tmp_path}/ids", f"{tmp_path}/events")
+    (name, *_) = glob.glob(f"{tmp_path}/ids/bucket=*/batch=0/*.parquet")
+    with open(name, "rb") as f:
+        raw = f.read()
+    plain = f"{tmp_path}/plain.parquet"
+    pq.write_table(pq.read_table(name), plain)
+    assert len(raw) > len(open(plain, "rb").read())  # the filter is in the file
+
+
+def test_sides_that_arrive_in_any_order(spark, tmp_path):
+    """Each throw has the game in force at its time, once the watermark has passed it."""
+    rng = random.Random(3)
+    throws = [make.throw(i, session="st"[i % 2]) for i in range(60)]
+    starts = [("s", "X01", 301, True, make.at(5)), ("s", "Cricket", 0, True, make.at(30)), ("t", "X01", 501, False, make.at(11)), ("s", "X01", 101, True, make.at(30))]
+    feed = Feed(spark, tmp_path)
+    path = str(tmp_path / "games")
+    parts = [throws[:25], throws[25:], [make.throw(900, second=9000)], [make.throw(901, second=9001)]]
+    for k, part in enumerate(parts):
+        rng.shuffle(part)
+        feed.add(part)
+        if k < 2:
+            spark.createDataFrame([starts[:1], starts[1:]][k], schemas.GAMES).coalesce(1).write.mode("append").parquet(path)
+        left = sources.split_lines(spark.readStream.text(feed.path))[0].select("id", "session_id", "captured_at")
+        right = spark.readStream.schema(schemas.GAMES).parquet(path)
+        joined = held.live_as_of(left, right, ["session_id"], "captured_at", "started_at", live.GAME, "1 minute", "7 seconds")
+        found = run(joined, tmp_path, name="joined")
+    batch = games.asof_game(
+        make.table(spark, throws).select("id", "session_id", "captured_at"), spark.createDataFrame(starts, schemas.GAMES)
+    )
+    columns = ["id", "captured_at", *live.GAME]
+    key = lambda r: str(tuple(r))
+    got = found.where("id < 900").select(*columns).collect()
+    assert sorted(got, key=key) == sorted(batch.select(*columns).collect(), key=key)
+
+
 def test_frames_live(spark, tmp_path):
     rng = random.Random(2)
     rows = [("st"[i % 2], i, make.at(i), rng.randrange(4), "web", 1.0) for i in range(60)]
