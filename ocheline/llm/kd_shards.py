@@ -49,33 +49,41 @@ def kd_shards(
     """
     if (shards is None) == (target_bytes is None):
         raise ValueError("give shards or target_bytes")
-    row, tie, node, give = (unused(rows, c) for c in ("_row", "_tie", "_node", "_give"))
+    row, tie = unused(rows, "_row"), unused(rows, "_tie")
     dims = [unused(rows, f"_d{k}") for k in range(len(dimensions))]
+    weight = unused(rows, "_weight")
     # The number of a row makes equal rows differ; written, since it must not change.
     base = cut_lineage(
         rows.withColumn(row, F.monotonically_increasing_id()).withColumns(
             {
                 **{d: _plain(F.col(c)) for d, c in zip(dims, dimensions)},
                 tie: F.shiftrightunsigned(F.xxhash64(row), 64 - TIE_BITS),
+                weight: F.col(size).cast("long"),
             }
         )
     )
     spread = base.agg(
-        F.sum(size).alias("total"),
+        F.sum(weight).alias("total"),
         *[(F.max(d) - F.min(d)).alias(d) for d in dims],
     ).first()
     if shards is None:
         shards = max(1, math.ceil((spread["total"] or 0) / target_bytes))
     # Dimensions are measured against the spread of all rows.
-    scale = {d: spread[d] or 1.0 for d in dims}
-    placed = base.select(row, size, tie, *dims, F.lit(0).alias(node), F.lit(shards).alias(give))
+    # From here on only columns of our own, whatever those of `rows` are called.
+    own = {row: "_row", weight: "_weight", tie: "_tie"} | {d: f"_d{k}" for k, d in enumerate(dims)}
+    scale = {own[d]: spread[d] or 1.0 for d in dims}
+    placed = base.select(*[F.col(c).alias(n) for c, n in own.items()], F.lit(0).alias("_node"), F.lit(shards).alias("_give"))
     level = shards
     while level > 1:
-        placed = cut_lineage(_split(placed, row, size, tie, dims, node, give, scale))
+        placed = cut_lineage(_split(placed, "_row", "_weight", "_tie", list(scale), "_node", "_give", scale))
         level = (level + 1) // 2
-    numbered = _numbered(placed.select(row, F.col(node).alias(shard_col)), row, shard_col, slot_col)
-    kept = base.drop(tie, *dims, shard_col, slot_col)
-    result = kept.join(numbered.withColumnRenamed(row, "_" + row), F.col(row) == F.col("_" + row))
+    numbered = _numbered(placed.select("_row", F.col("_node").alias("_shard")), "_row", "_shard", "_slot")
+    kept = base.drop(tie, weight, *dims, shard_col, slot_col)
+    other = unused(base, "_numbered")
+    result = kept.join(
+        numbered.select(F.col("_row").alias(other), F.col("_shard").alias(shard_col), F.col("_slot").alias(slot_col)),
+        F.col(row) == F.col(other),
+    )
     names = [c for c in rows.columns if c not in (shard_col, slot_col)]
     return result.select(*names, shard_col, slot_col)
 

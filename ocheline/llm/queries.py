@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocheline.llm import (
@@ -42,6 +42,12 @@ def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _place(name: Column) -> Column:
+    """Where a name stands in the order of bytes, as a number: its first six bytes as digits."""
+    raw = F.rpad(F.hex(F.substring(name.cast("binary"), 1, 6)), 12, "0")
+    return F.conv(raw, 16, 10).cast("double")
+
+
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes by a k-d tree over length, script and language."""
     text = F.coalesce("text", F.lit(""))
@@ -52,7 +58,7 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.log(1.0 + F.col("n_chars")).alias("length"),
         ((size + 1) / (F.length(text) + 1)).alias("script"),
-        F.crc32(F.coalesce("lang", F.lit("")).cast("binary")).alias("language"),
+        _place(F.coalesce("lang", F.lit(""))).alias("language"),
     )
     dealt = kd_shards.kd_shards(rows, "size", ("length", "script", "language"), shards=SHARDS)
     return dealt.select(

@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ocheline.llm import text as tx
 from ocheline.llm.frames import unused
+from ocheline.plans.storage import cut_lineage
 
 WINDOW = 10
 # A benchmark of more bytes is searched shard by shard; each is broadcast alone.
@@ -152,15 +152,44 @@ class Searcher:
         return begin[inside], length[inside], kept
 
 
-def searchers(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[Searcher]:
-    """One searcher for each shard of the benchmark, made when it is asked for."""
+def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The benchmark as (item, text, shard), and the number of shards."""
     narrow = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
-    for k in range(shards):
-        shard = narrow.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k)
-        found = patterns([(r["item"], r["text"]) for r in shard.toLocalIterator()], size)
-        yield Searcher.build(found)
+    return narrow.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards))), shards
+
+
+def _searcher(items: DataFrame, shard: int, size: int) -> Searcher:
+    """That of one shard; its items, SHARD_BYTES and one item at most, come to the driver for it."""
+    some = items.where(F.col("shard") == shard).select("item", "text")
+    return Searcher.build(patterns([tuple(r) for r in some.toLocalIterator()], size))
+
+
+def _found(searcher: Searcher, w: tx.Words, rows: int) -> tuple[np.ndarray, np.ndarray, list[set]]:
+    """First words and numbers of words of all occurrences, and the items of each text."""
+    begin, length, which = searcher.hits(w)
+    items: list[set] = [set() for _ in range(rows)]
+    for t, p in zip((np.searchsorted(w.first, begin, "right") - 1).tolist(), which):
+        items[t] |= searcher.items[p]
+    return begin, length, items
+
+
+_SUMMARY = "struct<n_words:long,n_hit:long,items:array<string>>"
+
+
+def _summary(w: tx.Words, begin: np.ndarray, length: np.ndarray, items: list[set]) -> pa.Array:
+    hit = np.concatenate([[0], np.cumsum(tx.covered(begin, length, len(w.starts)))])
+    each = [
+        {"n_words": int(n), "n_hit": int(h), "items": sorted(i)}
+        for n, h, i in zip(w.counts, np.diff(hit[w.first]), items)
+    ]
+    return pa.array(each, pa.struct({"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string())}))
+
+
+def _spelt(column: pa.Array) -> tx.Words:
+    data, offsets = tx.flat(column)
+    return tx.joined(tx.words(tx.LOWER[data], offsets, tx.ALNUM))
 
 
 def with_hits(
@@ -175,71 +204,76 @@ def with_hits(
 
     Null and empty texts have no words and no hits; items without words match
     nothing; a repeated item or item id counts once; a null item id is 'None'.
-    No shuffle: texts are read once for each shard of the benchmark.
+    A benchmark of one shard needs no shuffle. Of a larger one the shards are
+    worked off one after the other: the searcher of one is made, broadcast and
+    dropped, and its hits are written, so neither driver nor executors hold two.
     """
-    result, carried = unused(docs, "_hits"), unused(docs, "_found")
-    schema = docs.schema.fields
-    summary = T.StructField(
-        result,
-        T.StructType(
-            [
-                T.StructField("n_words", T.LongType()),
-                T.StructField("n_hit", T.LongType()),
-                T.StructField("items", T.ArrayType(T.StringType())),
-            ]
-        ),
-    )
-    keep = T.StructField(
-        carried,
-        T.StructType([T.StructField("runs", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))]),
-    )
-    made = list(searchers(benchmark, item_col, item_text_col, size))
-    out = docs
-    for number, searcher in enumerate(made):
-        final = number == len(made) - 1
-        sent = docs.sparkSession.sparkContext.broadcast(searcher)  # SHARD_BYTES and one item at most
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, final=final) -> Iterator[pa.RecordBatch]:
-            for part in tx.pieces(batches, text_col):
-                data, offsets = tx.flat(part.column(text_col))
-                w = tx.joined(tx.words(tx.LOWER[data], offsets, tx.ALNUM))
-                begin, length, which = sent.value.hits(w)
+    result = unused(docs, "_hits")
+    items, shards = _shards(benchmark, item_col, item_text_col)
+    if shards > 1:
+        return _by_shards(docs, items, shards, text_col, size, result), result
+    sent = docs.sparkSession.sparkContext.broadcast(_searcher(items, 0, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.pieces(batches, text_col):
+            w = _spelt(part.column(text_col))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, _summary(w, *_found(sent.value, w, part.num_rows))], [*part.schema.names, result]
+            )
+
+    schema = docs.withColumn(result, F.lit(None).cast(_SUMMARY)).schema
+    return docs.mapInArrow(run, schema), result
+
+
+def _by_shards(docs: DataFrame, items: DataFrame, shards: int, text_col: str, size: int, result: str) -> DataFrame:
+    row, own, runs_col, items_col = (unused(docs, n) for n in ("_row", "_of", "_runs", "_items"))
+    context = docs.sparkSession.sparkContext
+    # Written, since a row's number must not change from shard to shard.
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    every = None
+    for shard in range(shards):
+        sent = context.broadcast(_searcher(items, shard, size))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for part in tx.pieces(batches, "text"):
+                w = _spelt(part.column("text"))
+                begin, length, found = _found(sent.value, w, part.num_rows)
                 text = np.searchsorted(w.first, begin, "right") - 1
-                items = [set() for _ in range(part.num_rows)]
-                for t, p in zip(text.tolist(), which):
-                    items[t] |= sent.value.items[p]
-                if carried in part.schema.names:
-                    for t, old in enumerate(part.column(carried).to_pylist()):
-                        runs = np.frombuffer(old["runs"], np.int64).reshape(-1, 2)
-                        begin = np.append(begin, runs[:, 0] + w.first[t])
-                        length = np.append(length, runs[:, 1])
-                        items[t] |= set(old["items"])
-                rest = [n for n in part.schema.names if n != carried]
-                if final:
-                    hit = np.concatenate([[0], np.cumsum(tx.covered(begin, length, len(w.starts)))])
-                    last = [
-                        {"n_words": int(n), "n_hit": int(h), "items": sorted(i)}
-                        for n, h, i in zip(w.counts, np.diff(hit[w.first]), items)
-                    ]
-                    name = result
-                    kind = pa.struct(
-                        {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string())}
-                    )
-                else:
-                    text = np.searchsorted(w.first, begin, "right") - 1
-                    runs = np.stack([begin - w.first[text], length], axis=1).astype(np.int64)
-                    last = [
-                        {"runs": runs[text == t].tobytes(), "items": sorted(i)}
-                        for t, i in enumerate(items)
-                    ]
-                    name = carried
-                    kind = pa.struct({"runs": pa.binary(), "items": pa.list_(pa.string())})
+                some = np.unique(text)
+                runs = np.stack([begin - w.first[text], length], axis=1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(n) for n in rest], pa.array(last, kind)], [*rest, name]
+                    [
+                        part.column("row").take(pa.array(some)),
+                        pa.array([runs[text == t].tobytes() for t in some], pa.binary()),
+                        pa.array([sorted(found[t]) for t in some.tolist()], pa.list_(pa.string())),
+                    ],
+                    ["row", "runs", "items"],
                 )
 
-        out = out.mapInArrow(run, T.StructType([*schema, summary if final else keep]))
-    return out, result
+        hits = cut_lineage(texts.mapInArrow(search, "row long, runs binary, items array<string>"))
+        sent.destroy()
+        every = hits if every is None else every.unionByName(hits)
+    merged = every.groupBy(F.col("row").alias(own)).agg(  # a row for each shard at most
+        F.collect_list("runs").alias(runs_col), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items_col)
+    )
+    joined = numbered.join(merged, F.col(row) == F.col(own), "left").drop(row, own)
+    columns = docs.columns
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.pieces(batches, text_col):
+            w = _spelt(part.column(text_col))
+            begin, length, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for t, (runs, items) in enumerate(zip(part.column(runs_col).to_pylist(), part.column(items_col).to_pylist())):
+                at = np.frombuffer(b"".join(runs or []), np.int64).reshape(-1, 2)
+                begin.append(at[:, 0] + w.first[t])
+                length.append(at[:, 1])
+                found.append(set(items or ()))
+            last = _summary(w, np.concatenate(begin), np.concatenate(length), found)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), last], [*columns, result])
+
+    schema = docs.withColumn(result, F.lit(None).cast(_SUMMARY)).schema
+    return joined.mapInArrow(finish, schema)
 
 
 def contamination(
