@@ -218,6 +218,29 @@ def correction_lineage(throws: DataFrame) -> DataFrame:
     )
 
 
+def correction_history(throws: DataFrame) -> DataFrame:
+    """R3 with rivals: every correction below its root, also those that lost, step by step.
+
+    A row per event, so a root with any number of rivals stays distributed.
+    `in_force` says whether the event is part of the chain that counts: the root
+    itself and the corrections in force below it. What hangs on a correction that
+    lost is not in force. Cycles have no root and are left out.
+    """
+    every = throws.filter(F.col("correction_of").isNotNull()).select("id", F.col("correction_of").alias("parent"))
+    below = _doubled(cut_lineage(every)).links
+    counts = follow_chains(throws).links.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
+    marked = below.join(counts, (F.col("id") == F.col("_id")) & (F.col("root") == F.col("_root")), "left").select(
+        "id", "root", "step", F.col("_id").isNotNull().alias("in_force")
+    )
+    roots = marked.select("root").distinct().select(
+        F.col("root").alias("id"), "root", F.lit(0).alias("step"), F.lit(True).alias("in_force")
+    )
+    values = throws.select("id", "notation", "score", "confidence", "source")
+    return marked.unionByName(roots).join(values, "id").select(
+        "root", F.col("step").cast("bigint").alias("step"), "id", "notation", "score", "confidence", "source", "in_force"
+    )
+
+
 def detected_vs_corrected(throws: DataFrame) -> DataFrame:
     """The detected value next to the corrected one, for every original."""
     compared = ["segment", "multiplier", "score", "x", "y"]

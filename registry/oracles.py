@@ -648,6 +648,21 @@ ORACLES: dict[str, str] = {
                  UNION ALL SELECT DISTINCT root, root, 0 FROM chain) s JOIN thr t ON t.id = s.id""",
         "chain",
     ),
+    "r3_correction_history": _sql(
+        """SELECT s.root, CAST(s.step AS BIGINT) AS step, t.id, t.notation, t.score, t.confidence,
+                  t.source, s.step = 0 OR EXISTS (SELECT 1 FROM chain c
+                                                  WHERE c.id = s.id AND c.root = s.root) AS in_force
+           FROM (SELECT root, id, step FROM below
+                 UNION ALL SELECT DISTINCT root, root, 0 FROM below) s JOIN thr t ON t.id = s.id""",
+        "chain",
+        extra={
+            "below": """SELECT correction_of AS root, id, 1 AS step FROM thr
+                        WHERE correction_of IS NOT NULL AND correction_of NOT IN
+                            (SELECT id FROM thr WHERE correction_of IS NOT NULL)
+                        UNION ALL SELECT b.root, t.id, b.step + 1 FROM below b
+                        JOIN thr t ON t.correction_of = b.id"""
+        },
+    ),
     "e1_x01_states": _sql(
         """SELECT d.id, d.n // 3 AS turn_no, CAST(d.n % 3 + 1 AS INTEGER) AS dart_no,
                   CASE WHEN coalesce(d.captured_at > e.ended, FALSE) THEN NULL

@@ -443,6 +443,12 @@ def r3_correction_lineage(spark, d):
     return corrections.correction_lineage(fx.throws(spark, d))
 
 
+@query
+def r3_correction_history(spark, d):
+    """R3 with the corrections that lost to a rival."""
+    return corrections.correction_history(fx.throws(spark, d))
+
+
 @query
 def e1_x01_states(spark, d):
     t = fx.throws(spark, d)

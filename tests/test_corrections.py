@@ -108,3 +108,21 @@ def test_detected_next_to_corrected(spark):
     rows = [make.throw(1, "T20"), make.throw(2, "S1", of=1), make.throw(3, "S5"), make.throw(4, "S5", of=3)]
     found = {r.id: (r.detected_score, r.corrected_score, r.agree) for r in corrections.detected_vs_corrected(make.table(spark, rows)).collect()}
     assert found == {"1": (60, 1, False), "3": (5, 5, True)}
+
+
+def test_history_holds_the_rivals_that_lost(spark):
+    rows = [
+        make.throw(1, "T20"),
+        make.throw(2, "S1", of=1),
+        make.throw(3, "S5", of=1),
+        make.throw(4, "S6", of=2),  # corrects the rival that lost
+        make.throw(5, "S7", of="lost"),
+        make.throw(6, "S8", of=7),
+        make.throw(7, "S9", of=6),
+        make.throw(8, "S2", of=3),
+    ]
+    found = {(r.root, r.step, r.id, r.in_force) for r in corrections.correction_history(make.table(spark, rows)).collect()}
+    assert found == {
+        ("1", 0, "1", True), ("1", 1, "2", False), ("1", 1, "3", True), ("1", 2, "4", False), ("1", 2, "8", True),
+        ("lost", 1, "5", True),
+    }
