@@ -8,9 +8,9 @@ which starts anywhere else as well are repeats. Four steps find them all:
    only belongs to no repeat. Of the elected ones (one word in fourteen) only
    hashes are counted.
 2. Documents are dealt out to parts of bounded size. Windows whose elected anchor
-   recurs are candidates; they are counted over all parts by two hashes of 64
-   bits, the anchor's and one of the whole window. Those found more than once
-   confirm the passages: the longest runs of such windows in a text.
+   recurs are candidates; they are counted over all parts by 96 bits, the
+   anchor's hash of 64 and 32 of one of the whole window. Those found more than
+   once confirm the passages: the longest runs of such windows in a text.
 3. The different passages of a part are compiled to Aho-Corasick automata of
    bounded size, and all texts of the part are streamed through each of them.
 4. What the automata locate is taken out, and nothing else.
@@ -45,6 +45,7 @@ AUTOMATON_BYTES = 1 << 20
 PASSAGE = 100
 LONG_WORD = 64
 _NONE = np.uint64(2**64 - 1)
+_LOW = np.uint64(2**32 - 1)
 
 
 def sliding(values: np.ndarray, size: int, op: np.ufunc) -> np.ndarray:
@@ -170,27 +171,24 @@ class Texts:
 
     @functools.cached_property
     def window_hashes(self) -> np.ndarray:
-        """A hash of each window that has nothing to do with its anchor's."""
-        return tx.window_hashes(tx.word_hashes(self.words, seed=1), self.window)[: len(self.full)]
-
-    def repeated(self, grams: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose pair of hashes is among the given ones."""
-        some, own = self.candidates(tx.members(self.grams, np.unique(grams)))
-        if not len(some):
-            return some
-        both = np.stack([own, self.window_hashes[some]], axis=1)
-        known = np.unique(np.stack([grams, hashes], axis=1), axis=0)
-        return some[_among(both, known)]
-
-
-def _among(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which rows of two values are among the known ones, which are sorted and different."""
-    kind = np.dtype([("a", np.uint64), ("b", np.uint64)])
-    rows = np.ascontiguousarray(rows).view(kind).ravel()
-    every, which = np.unique(np.concatenate([np.ascontiguousarray(known).view(kind).ravel(), rows]), return_inverse=True)
-    mark = np.zeros(len(every), bool)
-    mark[which[: len(known)]] = True
-    return mark[which[len(known) :]]
+        """32 bits of a hash of each window that has nothing to do with its anchor's."""
+        found = tx.window_hashes(tx.word_hashes(self.words, seed=1), self.window)[: len(self.full)]
+        return found & _LOW
+
+    def repeated(self, grams: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Starts of the windows whose pair of hashes is among the given ones, which are sorted."""
+        some, own = self.candidates(tx.members(self.grams, grams))
+        other = self.window_hashes[some]
+        # Bisection within the given ones of the same gram.
+        low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+        end = high
+        while (low < high).any():
+            middle = (low + high) // 2
+            less = others[np.minimum(middle, len(others) - 1)] < other
+            low, high = np.where((low < high) & less, middle + 1, low), np.where((low < high) & ~less, middle, high)
+        hit = low < end
+        hit[hit] = others[low[hit]] == other[hit]
+        return some[hit]
 
 
 def automata(passages: list[tuple[str, int]]) -> Iterator[ahocorasick.Automaton]:
@@ -262,24 +260,29 @@ def without_repeats(
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = np.unique(right.column("hash").to_numpy().view(np.uint64))
-        found = [np.zeros((0, 2), np.uint64)]
+        grams, others = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for _, texts in _texts(left, window, anchor):
-            starts, grams = texts.candidates(tx.members(texts.grams, wanted) & texts.elected())
-            found.append(np.stack([grams, texts.window_hashes[starts]], axis=1))
-        both, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            starts, own = texts.candidates(tx.members(texts.grams, wanted) & texts.elected())
+            grams.append(own)
+            others.append(texts.window_hashes[starts])
+        gram, other = np.concatenate(grams), np.concatenate(others)
+        order = np.lexsort((other, gram))
+        gram, other = gram[order], other[order]
+        first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (other[1:] != other[:-1]))[: len(gram)])
+        twice = np.diff(np.append(first, len(gram))) > 1
         part = (left if left.num_rows else right).column("part")[0].as_py()
-        # Whether there are more than one in the part goes into the lowest bit of its number.
-        code = 2 * part + (counts > 1)
-        return pa.table(
-            {"hash": both[:, 0].copy().view(np.int64), "other": both[:, 1].copy().view(np.int64), "part": code.astype(np.int64)}
-        )
+        # The part, whether the window is there more than once, and its 32 bits in one number.
+        code = (np.uint64(2 * part) + twice.astype(np.uint64)) << np.uint64(32) | other[first]
+        return pa.table({"hash": gram[first].view(np.int64), "code": code.view(np.int64)})
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams, hashes = (right.column(c).to_numpy().view(np.uint64) for c in ("hash", "other"))
+        grams, others = (right.column(c).to_numpy().view(np.uint64) for c in ("hash", "code"))
+        order = np.lexsort((others & _LOW, grams))
+        grams, others = grams[order], others[order] & _LOW
         every = list(_texts(left, window, anchor))
         passages = {}
         for _, texts in every:
-            for first, words in texts.passages(texts.repeated(grams, hashes)):
+            for first, words in texts.passages(texts.repeated(grams, others)):
                 passages[texts.passage(first, words)] = words
         gone = [np.zeros(len(texts.words.starts) + 1, np.int64) for _, texts in every]
         for automaton in automata(sorted(passages.items())):
@@ -315,7 +318,7 @@ def without_repeats(
     counted = (
         packs.groupBy("part")
         .cogroup(recurring.groupBy("part"))
-        .applyInArrow(candidates, "hash long, other long, part long")
+        .applyInArrow(candidates, "hash long, code long")
     )
     repeats = cut_lineage(_confirmed(counted))
     schema = T.StructType(
@@ -339,11 +342,12 @@ def _recurring(counted: DataFrame) -> DataFrame:
 
 
 def _confirmed(counted: DataFrame) -> DataFrame:
-    """(hash, other, part) of the windows found more than once; `part` comes with the bit of `candidates`."""
-    places = Window.partitionBy("hash", "other")
-    twice = (F.count("*").over(places) > 1) | (F.col("part") % 2 == 1)
-    return counted.withColumn("_twice", twice).where("_twice").select(
-        "hash", "other", F.shiftright("part", 1).alias("part")
+    """(hash, code, part) of the windows found more than once; `code` is that of `candidates`."""
+    other = F.col("code").bitwiseAND(F.lit((1 << 32) - 1))
+    twice = F.shiftright("code", 32).bitwiseAND(F.lit(1)) == 1
+    places = Window.partitionBy("hash", other)
+    return counted.withColumn("_n", F.count("*").over(places)).where((F.col("_n") > 1) | twice).select(
+        "hash", "code", F.shiftright("code", 33).alias("part")
     )
 
 
