@@ -61,39 +61,53 @@ def codes(vectors: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return out
 
 
-def unit(rows: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(which rows are usable, [(rows, their unit vectors) for each length])."""
+def stored(rows: pa.Array, kind: str) -> pa.Array:
+    """The components of each usable vector as bytes of the type they are stored in; null for others."""
     lengths = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    out = []
-    usable = np.zeros(len(rows), bool)
+    raw = np.full(len(rows), None, object)
     for size in np.unique(lengths[lengths > 0]):
         at = np.flatnonzero(lengths == size)
         values = rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-        vectors = values.astype(np.float64).reshape(-1, size)
-        scale = np.abs(vectors).max(axis=1)
-        ok = np.isfinite(vectors).all(axis=1) & (scale > 0)
-        vectors = vectors[ok] / scale[ok, None]
-        vectors /= np.sqrt((vectors * vectors).sum(axis=1))[:, None]
-        usable[at[ok]] = True
-        out.append((at[ok], vectors))
-    return usable, out
+        vectors = values.astype(kind).reshape(-1, size)
+        ok = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
+        for k, one in zip(at[ok], vectors[ok]):
+            raw[k] = one.tobytes()
+    return pa.array(raw, pa.binary())
+
+
+def units(raws: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors, in double precision, of stored ones of the same length."""
+    vectors = np.frombuffer(b"".join(raws), kind).astype(np.float64).reshape(len(raws), -1)
+    vectors /= np.abs(vectors).max(axis=1)[:, None]
+    vectors /= np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+    return vectors
 
 
 class Bucket:
     """Members of some buckets, stored one after the other."""
 
-    def __init__(self, batch: pa.RecordBatch) -> None:
+    def __init__(self, batch: pa.RecordBatch, kind: str) -> None:
+        self.kind = kind
         self.keys = batch.column("key").to_numpy()
         self.copies = batch.column("copies").to_numpy()
         self.tile = batch.column("tile").to_numpy()
         self.table = batch.column("tab").to_numpy()
         self.raw = batch.column("vector")
-        self.size = pc.binary_length(self.raw).to_numpy() // 8
-        self.codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint64).reshape(-1, TABLES)
+        self.size = pc.binary_length(self.raw).to_numpy()
 
     def vectors(self, s: int, e: int) -> np.ndarray:
-        joined = b"".join(self.raw.slice(s, e - s).to_pylist())
-        return np.frombuffer(joined, np.float64).reshape(e - s, -1)
+        return units(self.raw.slice(s, e - s).to_pylist(), self.kind)
+
+    def codes(self, at: np.ndarray) -> np.ndarray:
+        """The buckets of some members in all tables; their labels do not matter, for they are equal."""
+        out = np.zeros((len(at), TABLES), np.uint64)
+        for size in np.unique(self.size[at]):
+            some = np.flatnonzero(self.size[at] == size)
+            for s in range(0, len(some), PAIRS // 256):
+                part = some[s : s + PAIRS // 256]
+                vectors = units(self.raw.take(pa.array(at[part])).to_pylist(), self.kind)
+                out[part] = codes(vectors, np.zeros(len(part), np.int64))
+        return out
 
     def links(self, s: int, e: int, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (i, j) of the members s to e that are links; `cross`: of different tiles only."""
@@ -113,16 +127,15 @@ class Bucket:
         if not len(starts):
             return starts, starts
         at = (starts[:, None] + np.arange(n)).ravel()
-        joined = b"".join(self.raw.take(pa.array(at)).to_pylist())
-        vectors = np.frombuffer(joined, np.float64).reshape(len(starts), n, -1)
+        vectors = units(self.raw.take(pa.array(at)).to_pylist(), self.kind).reshape(len(starts), n, -1)
         k, i, j = np.nonzero(np.matmul(vectors, vectors.transpose(0, 2, 1)) >= COSINE)
         keep = j > i
         return starts[k[keep]] + i[keep], starts[k[keep]] + j[keep]
 
 
-def _bucket_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _bucket_rows(batch: pa.RecordBatch, kind: str) -> pa.RecordBatch:
     """(key, links, root) of the members with links of whole groups (bucket, low, high)."""
-    b = Bucket(batch)
+    b = Bucket(batch, kind)
     group = np.stack([batch.column(c).to_numpy() for c in ("bucket", "low", "high")], axis=1)
     new = np.append(True, (group[1:] != group[:-1]).any(axis=1))
     starts = np.flatnonzero(new)
@@ -145,9 +158,11 @@ def _bucket_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     i, j = np.concatenate(first), np.concatenate(second)
     # A pair counts in the first table where its codes agree.
     once = np.zeros(len(i), bool)
+    paired, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    own = b.codes(paired)
     for s in range(0, len(i), PAIRS // 8):
-        part = slice(s, s + PAIRS // 8)
-        agree = b.codes[i[part]] == b.codes[j[part]]
+        part = slice(s, min(s + PAIRS // 8, len(i)))
+        agree = own[at[part]] == own[at[len(i) + part.start : len(i) + part.stop]]
         once[part] = agree.argmax(axis=1) == b.table[i[part]]
     links = np.zeros(len(b.keys), np.int64)
     np.add.at(links, i[once], b.copies[j[once]])
@@ -204,18 +219,15 @@ def near_vectors(
         F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label")
     )
 
+    # Vectors travel as they are stored; what is made of them is made again where it is needed.
+    kind = "<f4" if narrow.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("v")
-            usable, found = unit(rows)
-            raw = np.full(len(rows), None, object)
-            for at, units in found:
-                usable[at] &= ~batch.column("label").is_null().to_numpy(zero_copy_only=False)[at]
-                for k, one in zip(at, units):
-                    raw[k] = one.tobytes()
-            raw[~usable] = None
+            raw = stored(batch.column("v"), kind)
+            labelled = batch.column("label").is_valid()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array(raw, pa.binary())],
+                [batch.column("id"), batch.column("label"), pc.if_else(labelled, raw, pa.scalar(None, pa.binary()))],
                 ["id", "label", "vector"],
             )
 
@@ -234,15 +246,14 @@ def near_vectors(
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column("vector")
-            sizes = pc.binary_length(raws).to_numpy() // 8
+            sizes = pc.binary_length(raws).to_numpy()
             labels, keys = batch.column("label").to_numpy(), batch.column("key").to_numpy()
             for size in np.unique(sizes):
                 every = np.flatnonzero(sizes == size)
                 for s in range(0, len(every), 500):
                     at = every[s : s + 500]
                     some = raws.take(pa.array(at))
-                    unit_rows = np.frombuffer(b"".join(some.to_pylist()), np.float64).reshape(len(at), -1)
-                    found = codes(unit_rows, labels[at])
+                    found = codes(units(some.to_pylist(), kind), labels[at])
                     each = pa.array(np.repeat(np.arange(len(at)), TABLES))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -251,18 +262,17 @@ def near_vectors(
                             pa.array(np.repeat(keys[at], TABLES)),
                             batch.column("copies").take(pa.array(at)).take(each),
                             some.take(each),
-                            pa.array([c.tobytes() for c in found], pa.binary()).take(each),
                         ],
-                        ["bucket", "tab", "key", "copies", "vector", "codes"],
+                        ["bucket", "tab", "key", "copies", "vector"],
                     )
 
     visits = classes.select("label", "vector", "copies", "key").mapInArrow(
-        visit, "bucket long, tab int, key long, copies long, vector binary, codes binary"
+        visit, "bucket long, tab int, key long, copies long, vector binary"
     )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
-            yield _bucket_rows(batch)
+            yield _bucket_rows(batch, kind)
 
     linked = cut_lineage(
         _tiled(visits)
