@@ -64,6 +64,30 @@ def near_texts(rows):
     return roots(ids, links)
 
 
+def near_texts_by_prefix(rows):
+    """The same as `near_texts` for many rows: a similar pair shares one of its rarest shingles.
+
+    If two sets have a similarity of 0.8 or more, more than four fifths of the
+    larger one are shared, so of the fifth and one more that are rarest in a fixed
+    order one is in both.
+    """
+    sets = {i: shingles(t) for i, t in rows}
+    count = Counter(s for x in sets.values() for s in x)
+    seen, links, empty = defaultdict(list), [], None
+    for i, x in sets.items():
+        if not x:
+            if empty is not None:
+                links.append((i, empty))
+            empty = i
+            continue
+        near = set()
+        for s in sorted(x, key=lambda s: (count[s], s))[: len(x) - (4 * len(x) + 4) // 5 + 1]:
+            near.update(seen[s])
+            seen[s].append(i)
+        links += [(i, j) for j in near if 5 * len(x & sets[j]) >= 4 * len(x | sets[j])]
+    return roots(list(sets), links)
+
+
 def without_repeats(rows, window=35):
     """[(id, n_words, n_removed, kept)] of (id, text)."""
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
