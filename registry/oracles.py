@@ -980,6 +980,33 @@ ORACLES |= {
     "t8_review_queue": ORACLES["p4_route_confidence"],
 }
 
+# X01 with turn ids: a turn begins where its id changes or after three darts.
+_LEG_ORDER = "PARTITION BY session_id, started_at, player_id ORDER BY n"
+_GIVEN_DART = f"""
+  SELECT *, sum(CASE WHEN dart_no = 1 THEN 1 ELSE 0 END) OVER ({_LEG_ORDER}) - 1 AS turn_no
+  FROM (SELECT *, CAST((row_number() OVER (PARTITION BY session_id, started_at, player_id, island
+                                           ORDER BY n) - 1) % 3 + 1 AS INTEGER) AS dart_no
+        FROM (SELECT *, sum(opens) OVER ({_LEG_ORDER}) AS island
+              FROM (SELECT *, CASE WHEN n = 0 OR turn IS DISTINCT FROM lag(turn) OVER ({_LEG_ORDER})
+                                   THEN 1 ELSE 0 END AS opens
+                    FROM (SELECT *, CASE WHEN CAST(session_id[2:] AS BIGINT) % 3 > 0
+                                         THEN 't' || (epoch_us(captured_at) // 1000000 // 40000)
+                                    END AS turn
+                          FROM ({PARTS["x01_dart"]})))))"""
+ORACLES["e1_given_turns"] = _sql(
+    """SELECT d.id, CAST(d.turn_no AS BIGINT) AS turn_no, d.dart_no,
+              CASE WHEN coalesce(d.captured_at > e.ended, FALSE) THEN NULL
+                   ELSE CAST(l.remaining AS INTEGER) END AS remaining,
+              CASE WHEN d.captured_at > e.ended THEN 'after' ELSE l.status END AS status
+       FROM x01_line l JOIN x01_dart d USING (session_id, started_at, player_id, n)
+       LEFT JOIN leg_end e USING (session_id, started_at)""",
+    "leg_end",
+    instead={
+        "x01_dart": _GIVEN_DART,
+        "x01_line": PARTS["x01_line"].replace("d.n % 3 = 0", "d.dart_no = 1").replace("d.n % 3 <> 0", "d.dart_no <> 1"),
+    },
+)
+
 # What arrives live gives what the stored tables give.
 ORACLES |= {
     "r1_by_recursion": ORACLES["r1_resolve_corrections"],

@@ -378,14 +378,24 @@ def w3_assign_turns(spark, d):
     return games.assign_turns(_final(spark, d), fx.throws(spark, d)).select("id", "turn_no", "dart_no")
 
 
+def _with_given_turns(throws: DataFrame) -> DataFrame:
+    """Two of three sessions get turn ids, which may end a turn early or go on beyond three darts."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("captured_at"))
+    name = F.concat(F.lit("t"), F.floor(micros / 1_000_000 / 40_000).cast("string"))
+    n = F.substring("session_id", 2, 20).cast("bigint")
+    return throws.withColumn("turn_id", F.when(n % 3 > 0, name))
+
+
 @query
 def w3_given_turns(spark, d):
-    """Two of three sessions come with turn ids, which may end a turn early or go on beyond three darts."""
-    seconds = F.unix_seconds(F.to_timestamp("captured_at"))
-    name = F.concat(F.lit("t"), F.floor(seconds / 40_000).cast("string"))
-    n = F.substring("session_id", 2, 20).cast("bigint")
-    given = _final(spark, d).withColumn("turn_id", F.when(n % 3 > 0, name))
-    return games.assign_turns(given).select("id", "turn_no", "dart_no")
+    return games.assign_turns(_with_given_turns(_final(spark, d))).select("id", "turn_no", "dart_no")
+
+
+@query
+def e1_given_turns(spark, d):
+    """X01 where a turn ends with its id, or after three darts."""
+    states = games.x01_states(_with_given_turns(_final(spark, d)), fx.games(spark, d))
+    return states.select("id", "turn_no", "dart_no", "remaining", "status")
 
 
 @query
