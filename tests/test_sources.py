@@ -109,6 +109,34 @@ def test_frames_from_files(spark, tmp_path):
     assert tables.read_frames(spark, path, with_bytes=True).filter("frame_no = 1").first().content == b"xx"
 
 
+def test_overlapping_deliveries_at_once(spark, tmp_path, monkeypatch):
+    """Both look before either has written; each event is delivered once all the same."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    path, met, real = str(tmp_path / "outbox"), Barrier(2), outbox.written
+
+    def look(*args):
+        found = real(*args)
+        met.wait(60)
+        return found
+
+    def shaped(ids):
+        return events.to_adapter(make.table(spark, [make.throw(i, "S1") for i in ids]), [("score", "points")], "one", keep=["captured_at"])
+
+    outbox.publish(shaped(range(3)), path)
+    monkeypatch.setattr(outbox, "written", look)
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(outbox.publish, shaped(ids), path) for ids in (range(30), range(10, 40))]:
+            done.result()
+    monkeypatch.undo()
+    found = outbox.delivered(spark, path).collect()
+    assert sorted(int(r.id) for r in found) == list(range(40))
+    assert outbox.written(spark, path).count() == 60 - 2 * 3 + 3 + 3  # 10 to 29 twice, 0 to 2 once
+    outbox.publish(shaped(range(40)), path)
+    assert outbox.delivered(spark, path).count() == 40
+
+
 def test_frames_written_by_tasks(spark, tmp_path):
     rows = [("s1", 1, b"abc"), ("s1", 2, b""), ("s2", 1, b"x" * 70_000), ("s2", 1, b"x" * 70_000), (None, 1, b"a"), ("s", None, b"a"), ("a/b", 1, b"a"), ("s", 3, None)]
     df = spark.createDataFrame(rows, "session_id string, frame_no int, content binary").repartition(3)
@@ -116,7 +144,7 @@ def test_frames_written_by_tasks(spark, tmp_path):
     for _ in range(2):  # a repeated write changes nothing
         frames.write_frames(df, path, "png")
         found = tables.read_frames(spark, path, with_bytes=True).collect()
-        assert sorted((r.session_id, r.frame_no, bytes(r.content)) for r in found) == [("s1", 1, b"abc"), ("s1", 2, b""), ("s2", 1, b"x" * 70_000)]
+        assert sorted((r.session_id, r.frame_no, bytes(r.content)) for r in found) == [("s1", 1, b"abc"), ("s2", 1, b"x" * 70_000)]
         assert all(r.path.endswith(".png") for r in found)
 
 
