@@ -1,7 +1,7 @@
 """Byte-level BPE of texts of any length, by tree concatenation.
 
-Texts up to LONG_BYTES go to the tokenizers library as they are. A longer one is
-halved until its pieces are that small; the pieces of all texts are dealt out
+Texts up to LONG_BYTES go to the tokenizers library cut where no token crosses,
+each different cut once. A longer one is halved until its pieces are that small; the pieces of all texts are dealt out
 over the cluster and encoded in parallel; then neighbours are joined, pairs of
 pairs, up to the whole text. Where two halves meet, their tokens may be wrong,
 so a window around the join is encoded again: some tokens of the left half, some
@@ -35,9 +35,15 @@ from tokenizers import Tokenizer
 
 from ocheline.llm import text as tx
 from ocheline.llm.chunks import gather
+from ocheline.llm.simple8b import borders, bpe_encoder, special_strings
 from ocheline.plans.storage import cut_lineage
 
-LONG_BYTES = 16 << 10
+# Beyond this a text takes long enough (15 ms) to be shared out.
+LONG_BYTES = 32 << 10
+# Text and ids that are worked on at once, and different cuts that a worker remembers.
+PIECE_BYTES = 1 << 20
+MOST_IDS = 1 << 18
+MOST_CUTS = 300_000
 # Tokens of each side in the first window around a join.
 WINDOW = 16
 # A contraction is told by at most this many bytes after its start.
@@ -57,8 +63,29 @@ class Coded:
         return int(self.ends[k - 1]) if k else 0
 
 
+class Spelling:
+    """The bytes that each id of a byte-level vocabulary spells."""
+
+    def __init__(self, tokenizer_json: str) -> None:
+        spec = json.loads(tokenizer_json)
+        spelt = {i: _spelling(t) for t, i in spec["model"]["vocab"].items()}
+        spelt |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.lengths = np.zeros(max(spelt, default=-1) + 1, np.int64)
+        self.lengths[list(spelt)] = [len(t) for t in spelt.values()]
+        self._starts = np.cumsum(self.lengths) - self.lengths
+        self._bytes = np.frombuffer(b"".join(spelt[i] for i in sorted(spelt)), np.uint8)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of runs of ids, each ending at one of `ends`; ids that are none spell nothing."""
+        known = np.minimum(ids.astype(np.int64), len(self.lengths))
+        sizes = np.append(self.lengths, 0)[known]
+        raw = gather(self._bytes, np.append(self._starts, 0)[known], sizes).tobytes()
+        places = np.append(0, np.cumsum(sizes))[ends].tolist()
+        return [raw[a:b].decode(errors="replace") for a, b in zip([0, *places], places)]
+
+
 class Coder:
-    """Encode and decode with a byte-level BPE of the tokenizers library."""
+    """Encode with a byte-level BPE of the tokenizers library."""
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
@@ -76,17 +103,7 @@ class Coder:
         self.special = special
         longest = sorted(map(re.escape, special), key=len, reverse=True)
         self._apart = re.compile(f"({'|'.join(longest)})") if special else None
-        spelt = {i: _spelling(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
-        spelt |= {i: t.encode() for t, i in special.items()}
-        self.lengths = np.zeros(max(spelt, default=-1) + 1, np.int64)
-        self.lengths[list(spelt)] = [len(t) for t in spelt.values()]
-        self._starts = np.cumsum(self.lengths) - self.lengths
-        self._bytes = np.frombuffer(b"".join(spelt[i] for i in sorted(spelt)), np.uint8)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of short texts, special tokens in them as such."""
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, np.uint32) for one in found]
+        self.lengths = Spelling(tokenizer_json).lengths
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """Runs of ordinary text (id None) and special tokens, in order; nothing is merged across."""
@@ -137,14 +154,6 @@ class Coder:
             pieces = pairs + pieces[2 * len(pairs) :]
         return pieces[0]
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        """The texts of runs of ids, each ending at one of `ends`; ids that are none spell nothing."""
-        known = np.minimum(ids.astype(np.int64), len(self.lengths))
-        sizes = np.append(self.lengths, 0)[known]
-        raw = gather(self._bytes, np.append(self._starts, 0)[known], sizes).tobytes()
-        places = np.append(0, np.cumsum(sizes))[ends].tolist()
-        return [raw[a:b].decode(errors="replace") for a, b in zip([0, *places], places)]
-
 
 def _spelling(token: str) -> bytes:
     """The bytes that a byte-level token stands for."""
@@ -241,9 +250,13 @@ def encoded(
     id_col: str = "doc_id",
     text_col: str = "text",
     long_bytes: int = LONG_BYTES,
+    round_trip: bool = False,
 ) -> DataFrame:
     """(`id_col`, ids array<int>): the ids of each whole text, a row for each row of `docs`.
 
+    With `round_trip` the text that the ids spell comes along as `decoded`, as
+    `decoded` makes it of stored ids, without a further way to Python and back.
+
     The ids are those of the library without special tokens added; a special
     token that stands in a text is one id. Null and empty texts have none.
     Equal long texts are encoded once. An empty table gives an empty result;
@@ -251,17 +264,38 @@ def encoded(
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     long_ = F.coalesce(F.octet_length("text"), F.lit(0)) > long_bytes
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # the vocabulary
+    # The vocabulary; a worker keeps the encoder that it makes of it for all its tasks.
+    sent = docs.sparkSession.sparkContext.broadcast({"vocabulary": tokenizer_json})
     kind = narrow.schema["id"].dataType.simpleString()
 
+    def own() -> Coder:
+        if "coder" not in sent.value:
+            sent.value["coder"] = Coder(sent.value["vocabulary"])
+        return sent.value["coder"]
+
+    names = ["ids", "decoded"] if round_trip else ["ids"]
+    schema = "ids array<int>, decoded string" if round_trip else "ids array<int>"
+
+    def results(ids: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+        ends = np.cumsum(counts, dtype=np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view(np.int32)))
+        if not round_trip:
+            return [lists]
+        if "spelling" not in sent.value:
+            sent.value["spelling"] = Spelling(sent.value["vocabulary"])
+        return [lists, pa.array(sent.value["spelling"].decode(ids, ends), pa.string())]
+
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(sent.value)
-        for part in tx.pieces(batches, "text"):
-            ids = coder.encode(part.column("text").fill_null("").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("id"), _lists(ids)], ["id", "ids"])
+        if "cuts" not in sent.value:
+            sent.value["cuts"] = bpe_encoder(sent.value["vocabulary"], MOST_CUTS)
+        special = special_strings(sent.value["vocabulary"])
+        for part in tx.pieces(batches, "text", PIECE_BYTES):
+            data, offsets = tx.flat(part.column("text"))
+            ids, counts = sent.value["cuts"].ids(data, borders(data, offsets, special), offsets)
+            yield pa.RecordBatch.from_arrays([part.column("id"), *results(ids, counts)], ["id", *names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(sent.value)
+        coder = own()
         for part in tx.pieces(batches, "text"):
             for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
                 rows: list[tuple[int, int, str]] = []  # segment, id of a special token or -1, text
@@ -279,7 +313,7 @@ def encoded(
                 )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(sent.value)
+        coder = own()
         for batch in tx.pieces(batches, "text"):
             ids, cuts = [], []
             for text, special in zip(batch.column("text").to_pylist(), batch.column("special").to_pylist()):
@@ -297,7 +331,7 @@ def encoded(
             )
 
     def concatenate(table: pa.Table) -> pa.Table:
-        coder = Coder(sent.value)
+        coder = own()
         table = table.sort_by("piece")
         segment = table.column("segment").to_numpy()
         out, pieces = [], []
@@ -312,9 +346,11 @@ def encoded(
             if k + 1 == table.num_rows or segment[k + 1] != segment[k]:
                 out.append(coder.tree(pieces).ids)
                 pieces = []
-        return pa.table({"key": table.column("key")[:1], "ids": _lists([np.concatenate(out)])})
+        ids = np.concatenate(out)
+        found = results(ids, np.array([len(ids)]))
+        return pa.table([table.column("key")[:1], *found], ["key", *names])
 
-    whole = narrow.where(~long_).mapInArrow(short, f"id {kind}, ids array<int>")
+    whole = narrow.where(~long_).mapInArrow(short, f"id {kind}, {schema}")
     keyed = narrow.where(long_).select("id", F.sha2("text", 256).alias("key"), "text")
     once = keyed.groupBy("key").agg(F.first("text").alias("text"))
     pieces = (
@@ -323,10 +359,10 @@ def encoded(
         .mapInArrow(encode, "key string, segment long, piece long, special long, text string, ids array<int>, cuts binary")
     )
     joined = cut_lineage(
-        pieces.groupBy(F.col("key")).applyInArrow(concatenate, "key string, ids array<int>")
+        pieces.groupBy(F.col("key")).applyInArrow(concatenate, f"key string, {schema}")
     )
     parts = keyed.select("id", F.col("key").alias("_key")).join(joined, F.col("_key") == F.col("key"))
-    return whole.unionByName(parts.select("id", "ids")).withColumnRenamed("id", id_col)
+    return whole.unionByName(parts.select("id", *names)).withColumnRenamed("id", id_col)
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -341,17 +377,22 @@ def decoded(coded: DataFrame, tokenizer_json: str, ids_col: str = "ids", out_col
     Special tokens are spelt out. Null ids are the empty text; bytes that are no
     UTF-8 become replacement characters; ids the vocabulary lacks spell nothing.
     """
-    sent = coded.sparkSession.sparkContext.broadcast(tokenizer_json)
+    sent = coded.sparkSession.sparkContext.broadcast({"vocabulary": tokenizer_json})
     rest = [c for c in coded.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(sent.value)
-        for batch in batches:
-            lists = batch.column(ids_col)
-            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint32)
-            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            texts = pa.array(coder.decode(ids, ends), pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), texts], [*rest, out_col])
+        if "spelling" not in sent.value:
+            sent.value["spelling"] = Spelling(sent.value["vocabulary"])
+        for whole in batches:
+            sums = np.cumsum(whole.column(ids_col).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            # About so many ids at once, one row at least.
+            for part in np.split(np.arange(len(sums)), np.flatnonzero(np.diff(sums // MOST_IDS)) + 1):
+                batch = whole.slice(int(part[0]), len(part)) if len(part) else whole
+                lists = batch.column(ids_col)
+                ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint32)
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                texts = pa.array(sent.value["spelling"].decode(ids, ends), pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), texts], [*rest, out_col])
 
     narrow = coded.select(*rest)
     return narrow.mapInArrow(run, narrow.withColumn(out_col, F.lit("")).schema)

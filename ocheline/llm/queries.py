@@ -134,8 +134,7 @@ def op11_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, long ones by tree concatenation, decoded again."""
     with open(BYTE_BPE, encoding="utf-8") as f:
         vocabulary = f.read()
-    ids = bpe_tree.encoded(table(spark, sf_dir, "documents"), vocabulary)
-    return bpe_tree.decoded(ids, vocabulary).select(
+    return bpe_tree.encoded(table(spark, sf_dir, "documents"), vocabulary, round_trip=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -202,7 +202,7 @@ def special_strings(tokenizer_json: str) -> tuple[bytes, ...]:
     return tuple(t["content"].encode() for t in json.loads(tokenizer_json)["added_tokens"])
 
 
-def bpe_encoder(tokenizer_json: str) -> ChunkEncoder:
+def bpe_encoder(tokenizer_json: str, most: int = MOST_CHUNKS) -> ChunkEncoder:
     """Encode chunks as the tokenizers library does by default: a special token's string is that token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -238,7 +238,7 @@ def bpe_encoder(tokenizer_json: str) -> ChunkEncoder:
         starts[order] = np.cumsum(lengths[order]) - lengths[order]
         return gather(pool, starts, lengths), lengths
 
-    return ChunkEncoder(encode, MOST_CHUNKS)
+    return ChunkEncoder(encode, most)
 
 
 def _one_word(text: str) -> bool:
