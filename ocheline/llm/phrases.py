@@ -175,6 +175,11 @@ class Texts:
         found = tx.window_hashes(tx.word_hashes(self.words, seed=1), self.window)[: len(self.full)]
         return found & _LOW
 
+    def forget(self) -> None:
+        """Drop what only tells windows apart; words and spelling stay."""
+        for name in ("hashes", "grams", "window_hashes", "full"):
+            self.__dict__.pop(name, None)
+
     def repeated(self, grams: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Starts of the windows whose pair of hashes is among the given ones, which are sorted."""
         some, own = self.candidates(tx.members(self.grams, grams))
@@ -284,6 +289,7 @@ def without_repeats(
         for _, texts in every:
             for first, words in texts.passages(texts.repeated(grams, others)):
                 passages[texts.passage(first, words)] = words
+            texts.forget()
         gone = [np.zeros(len(texts.words.starts) + 1, np.int64) for _, texts in every]
         for automaton in automata(sorted(passages.items())):
             for (_, texts), steps in zip(every, gone):
