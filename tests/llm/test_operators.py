@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import struct
 
 import numpy as np
@@ -13,6 +15,7 @@ import pytest
 import sentencepiece
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ocheline.llm import (
@@ -172,6 +175,45 @@ def token_rows(rows):
     return out
 
 
+def test_kd_tree_against_plain_splits(spark):
+    """Node by node: the widest dimension, the weighted quantile, all in plain Python."""
+    rnd = np.random.default_rng(8)
+    rows = [(i, int(rnd.integers(1, 40)), float(x), float(y)) for i, (x, y) in enumerate(rnd.normal(size=(600, 2)) * [1, 3])]
+    # Clashing names: those that the tree uses inside.
+    df = spark.createDataFrame(rows, "doc int, n long, dim double, left double").withColumns(
+        {c: F.lit(c) for c in ("want", "code", "lo0", "hi1", "total", "g", "m", "cut", "prefix", "bucket", "_row", "_tie", "_node", "_weight")}
+    )
+    found = {r.doc: r for r in kd_shards.kd_shards(df, "n", ("dim", "left"), shards=6).collect()}
+    assert found[0]["want"] == "want" and found[0]["_node"] == "_node"
+    spread = {2: max(r[2] for r in rows) - min(r[2] for r in rows), 3: max(r[3] for r in rows) - min(r[3] for r in rows)}
+    misplaced = []
+
+    def split(part, first, give):
+        """Check one node: the tree's sides must be those of a cut at the weighted quantile."""
+        if give == 1:
+            assert {found[r[0]]["shard"] for r in part} == {first}
+            return
+        width = {k: (max(r[k] for r in part) - min(r[k] for r in part)) / spread[k] for k in (2, 3)}
+        k = 2 if width[2] >= width[3] else 3
+        left = give // 2
+        want, so_far = sum(r[1] for r in part) * left / give, 0
+        sides = ([], [])
+        for r in part:
+            sides[found[r[0]]["shard"] >= first + left].append(r)
+        # All on the left are at or below all on the right, along that dimension.
+        assert max(r[k] for r in sides[0]) <= min(r[k] for r in sides[1])
+        for r in sorted(part, key=lambda r: r[k]):
+            if so_far + r[1] <= want and r not in sides[0]:
+                misplaced.append(r)
+            so_far += r[1]
+        assert abs(sum(r[1] for r in sides[0]) - want) <= 40
+        split(sides[0], first, left)
+        split(sides[1], first + left, give - left)
+
+    split(rows, 0, 6)
+    assert len(misplaced) <= 5  # rows at a cut, one for each
+
+
 def test_files_of_ids(spark, messy, given_docs, none, rows, tmp_path):
     with open(queries.BYTE_BPE, encoding="utf-8") as f:
         vocabulary = f.read()
@@ -505,6 +547,65 @@ def test_trigram_queries():
     assert secrets.trigram_query("(abcd|bcd)e?x+") == [{"abc", "bcd"}, {"bcd"}, {"abc", "bcd", "cde"}, {"bcd", "cde"}]
 
 
+def test_many_secrets_in_one_text(spark):
+    """Time grows by little more than the text: tens of thousands of runs take some seconds."""
+    import time
+
+    n = 64_000
+    text = "é " + " ".join(f"{k:016x}" for k in range(n)) + " end"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    began = time.monotonic()
+    (row,) = secrets.scan(df).collect()
+    assert row.n_hex == n and row.spans.startswith("hex:2:18,hex:19:35,") and row.spans.endswith(f"hex:{17 * n - 15}:{17 * n + 1}")
+    (masked,) = secrets.redacted(df).collect()
+    assert masked.text == "é " + " ".join(["[SECRET]"] * n) + " end"
+    assert time.monotonic() - began < 120  # hours where it grows with the square
+
+
 def test_secret_scan_runs_no_python(spark):
     plan = queries.op10_secrets(spark, SF)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "InPandas", "InArrow"))
+
+
+def plain_features(text):
+    """Tokens, pairs of neighbours and pairs of shapes, spelt out."""
+    raw = (text or "").encode()
+    tokens = [m.group() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^\x20\x09-\x0d0-9A-Za-z\x80-\xff]+", raw)]
+    kinds = lambda t: frozenset("a" if 97 <= c < 123 else "A" if 65 <= c < 91 else "0" if 48 <= c < 58 else "x" if c > 127 else "." for c in t)
+    out, before = [], None
+    for t in tokens:
+        kind = kinds(t)
+        title = 65 <= t[0] < 91 and kind != {"A"}
+        shape = (kind, title, min(len(t), 15) if kind == {"."} else 0)
+        out.append((("token", t), ("pair", before and before[0], t), ("shape", before and before[1], shape, bool(before) and before[0] == t)))
+        before = (t, shape)
+    return out
+
+
+def test_classifier_features_against_plain_ones(given_docs):
+    """Equal features have equal numbers and, but for chance, different ones different numbers."""
+    texts = [t for _, t in given_docs[0]][:60] + [None, "", " ", "A a Ab aB 12 a1 !! !!! é Éa aa aa", "x" * 50]
+    where, ends = ftrl.features(*tx.flat(pa.array(texts)))
+    numbers, at = {}, 0
+    for k, text in enumerate(texts):
+        want = plain_features(text)
+        assert ends[k] == at
+        for triple in want:
+            for feature in triple:
+                assert numbers.setdefault(feature, int(where[at])) == int(where[at]), feature
+                at += 1
+    assert at == len(where)
+    expected = (1 << ftrl.BITS) * (1 - math.exp(-len(numbers) / (1 << ftrl.BITS)))
+    assert len(set(numbers.values())) > 0.97 * expected
+
+
+def test_scores_against_plain_sums(given_docs):
+    """A score is the logistic of the bias and the mean weight of a text's features."""
+    rnd = np.random.default_rng(2)
+    model = ftrl.Model(rnd.normal(size=1 << ftrl.BITS), 0.3)
+    texts = [t for _, t in given_docs[0]][:40] + [None, "", "one"]
+    got = model.scores(pa.array(texts))
+    for text, score in zip(texts, got):
+        where, _ = ftrl.features(*tx.flat(pa.array([text], pa.string())))
+        mean = sum(model.weights[w] for w in where) / len(where) if len(where) else 0.0
+        assert score == pytest.approx(1 / (1 + math.exp(-(0.3 + ftrl.SCALE * mean))))
