@@ -165,6 +165,7 @@ def _spans(rule: Rule, text: Column, run: Column) -> Column:
     """Array of (start, end) of a rule's matches in code points."""
     pattern = F.lit(rule.pattern)
     nothing = F.array().cast("array<string>")
+    empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def place(matches: Column) -> Column:
         judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
@@ -190,7 +191,8 @@ def _spans(rule: Rule, text: Column, run: Column) -> Column:
                 F.filter(found, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
             )
 
-        return _once(parts, placed)
+        # The text is not split where there is nothing to place.
+        return F.when(F.size(matches) > 0, _once(parts, placed)).otherwise(empty)
 
     return _once(F.when(run, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(nothing), place)
 
