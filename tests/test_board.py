@@ -175,3 +175,19 @@ def test_mapping_of_an_unknown_column(spark):
 def test_vendor_fields_inside_objects(spark):
     raw = spark.createDataFrame([('{"id":"1","impact":{"xNormalized":1,"vendorTip":2},"detected":{"score":1}}',), ('{"impact":null}',)], "raw string")
     assert [r.leaked for r in events.vendor_leak(raw, "raw").collect()] == [["impact.vendorTip"]]
+
+
+def test_columns_below_are_not_put_into_the_filters_of_split_valid(spark):
+    points = spark.range(50).selectExpr(
+        "cast(id AS string) AS id", "'s' AS session_id", "timestamp'2024-01-01' AS captured_at",
+        "id / 40D AS x", "0.1D AS y", "if(id = 7, 2D, 0.5D) AS confidence", "'c' AS calibration_id",
+        "'camera' AS source", "cast(NULL AS string) AS correction_of",
+    )
+    throws = board.to_notation(board.with_score(board.map_segment(points)))
+    good, bad = events.split_valid(throws)
+    assert good.count() == 49 and [r["violations"] for r in bad.collect()] == [["confidence"]]
+
+    def atan2s(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().upper().count("ATAN2")
+
+    assert 0 < atan2s(good) == atan2s(bad) == atan2s(throws)
