@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import ocheline
-from ocheline.llm import frames, ftrl, near_texts, queries, secrets, unigram, wu_manber
+from ocheline.llm import frames, ftrl, near_texts, queries, secrets, unigram, vptree, wu_manber
 from ocheline.plans.storage import session_folder
 
 # The Python functions that run in tasks travel with them.
@@ -31,8 +31,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group."""
-    return near_texts.keep_first(docs)
+    """Keep the document with the smallest id of each near-duplicate group.
+
+    A group is what the links of `op8` connect, SimHashes within its two bits found
+    by the vantage-point tree, and those of texts of five-word similarity 0.8 or
+    more, which differ by more bits than the tree can search.
+    """
+    return near_texts.keep_first(docs, also=vptree.near_links)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

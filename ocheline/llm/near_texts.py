@@ -9,11 +9,14 @@ First each member of a bucket is held against the smallest one, each pair once
 over all buckets, which joins most groups by as many rows as they have members.
 Buckets that still hold texts of different groups are then compared in full,
 large ones by pairs of tiles, and leave a spanning forest of their links.
+
+Links of another method between the different texts may be given as well; the
+groups are then what both connect.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -230,19 +233,28 @@ def links(texts: DataFrame) -> DataFrame:
     return cut_lineage(first.unionByName(_compared(left, sets)).distinct())
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# Links (a, b) of the keys of different texts (key, text).
+Links = Callable[[DataFrame], DataFrame]
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: Links | None = None
+) -> DataFrame:
     """(`id_col`, component_id) for each row of `docs`.
 
     component_id is the smallest id reachable over texts of similarity 0.8 or
-    more; texts without words are similar to each other. Repeated rows are
-    repeated in the result. Null ids take part but are never the smallest; a
+    more, and over the links of `also`; texts without words are similar to each
+    other. Repeated rows are repeated in the result. Null ids take part but are never the smallest; a
     component of null ids only has a null id.
     """
     texts = _texts(docs, text_col)
     marked = cut_lineage(docs.select(F.col(id_col), _digest(text_col).alias("_digest")))
     least = marked.groupBy(F.col("_digest").alias("_of")).agg(F.min(id_col).alias("least"))
     classes = texts.select("key", "digest").join(least, F.col("digest") == F.col("_of"))
-    found = components(links(texts))
+    linked = links(texts)
+    if also is not None:
+        linked = cut_lineage(also(texts).unionByName(linked).distinct())
+    found = components(linked)
     rooted = cut_lineage(
         classes.join(found, F.col("key") == F.col("node"), "left").select(
             "digest", "least", F.coalesce("root", "key").alias("root")
@@ -253,7 +265,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return marked.join(ids, F.col("_digest") == F.col("digest")).select(id_col, "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: Links | None = None
+) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its near-duplicate group.
 
     All columns are kept as they are. Rows that repeat an id count as copies:
@@ -262,7 +276,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     mark = unused(docs, "_kept_id")
     kept = (
-        near_groups(docs, id_col, text_col)
+        near_groups(docs, id_col, text_col, also)
         .where(F.col(id_col).eqNullSafe(F.col("component_id")))
         .select(F.col(id_col).alias(mark))
         .distinct()

@@ -252,3 +252,9 @@ def near_groups(
         F.col("fp").alias("_fp"), "component_id"
     )
     return marked.join(ids, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
+
+
+def near_links(texts: DataFrame, reach: int = RADIUS) -> DataFrame:
+    """Links (a, b) of the keys of `texts` (key, text) that connect what fingerprints within `reach` bits connect."""
+    groups = near_groups(texts, "key", "text", reach)
+    return groups.where("key <> component_id").select(F.col("component_id").alias("a"), F.col("key").alias("b"))

@@ -52,3 +52,11 @@ def test_stages_in_trouble(spark, messy, none, name, stage):
         own = [c for c in df.columns if c != "piece_ids"] + ["piece_ids"]
         assert out.columns == (own if name == last else df.columns)
         assert out.count() <= most
+
+
+def test_near_duplicates_include_those_of_the_tree(spark):
+    """One changed word at the end of many equal ones: equal fingerprints, a five-word similarity of a half."""
+    same, other = " ".join(["mill"] * 40), "a tree finds prints that differ by two bits"
+    docs = spark.createDataFrame([(3, f"{same} stone"), (2, same), (1, other)], "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
