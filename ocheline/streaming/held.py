@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import pickle
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-# Rows are kept in entries of at most this span of time.
+# Rows are kept in entries of at most this span of time, or of few rows.
 SPAN = "10 minutes"
+FEW = 256
 _TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
@@ -24,28 +26,32 @@ class Held:
     """Tuples that begin with their time in microseconds, in a map state by time.
 
     A batch adds one entry for each span of time that it has rows of, without a
-    look at what is there. What is due is read entry by entry; only the span in
-    which the watermark stands can be written a second time. So a row costs the
-    same whether few or many others are held.
+    look at what is there; spans with few rows share one, since each access to
+    the state costs more than they do. What is due is read entry by entry; only
+    the entries in which the watermark stands can be written again. So a row
+    costs the same whether few or many others are held.
     """
 
     def __init__(self, handle: StatefulProcessorHandle, span: int):
         self.handle, self.span = handle, span
         # The first time in an entry, and a number that tells entries apart.
         self.entries = handle.getMapState("held", "first bigint, number bigint", "rows binary")
-        self.last = handle.getValueState("entries", "number bigint")
 
     def add(self, rows: Sequence[tuple]) -> None:
         """Keep the rows, and wake up just after the first one."""
         spans: dict[int, list] = {}
         for row in rows:
             spans.setdefault(row[0] // self.span, []).append(row)
-        number = self.last.get()[0] if self.last.exists() else 0
-        for part in spans.values():
-            number += 1
-            self.entries.updateValue((min(r[0] for r in part), number), (pickle.dumps(part, 5),))
-        if spans:
-            self.last.update((number,))
+        parts: list[list] = []
+        for _, part in sorted(spans.items()):
+            if parts and len(parts[-1]) + len(part) <= FEW:
+                parts[-1] += part
+            else:
+                parts.append(part)
+        for part in parts:
+            key = (min(r[0] for r in part), uuid.uuid4().int >> 65)
+            self.entries.updateValue(key, (pickle.dumps(part, 5),))
+        if parts:
             self._wake(min(r[0] for r in rows))
 
     def _wake(self, at: int) -> None:
@@ -100,7 +106,8 @@ class _AsOf(StatefulProcessor):
             self.held.due(passed(timerValues, expiredTimerInfo)),
             key=lambda r: (r[0], r[1], _ordered(r[2]) if r[1] == 0 else ()),
         )
-        before = payload = self.current.get()[0] if self.current.exists() else None
+        found = self.current.get()
+        before = payload = None if found is None else found[0]
         out = []
         for at, side, body in rows:
             if side == 0:

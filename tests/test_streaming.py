@@ -11,6 +11,8 @@ from ocheline import schemas
 from ocheline.operators import corrections, events, games, vision
 from ocheline.sources import once, outbox
 from ocheline.streaming import held, live, sources
+from registry import fixtures as fx
+from registry import streams
 
 
 @pytest.fixture(autouse=True)
@@ -329,3 +331,85 @@ def test_sampled_frames_equal_the_batch(spark, tmp_path):
     seen = run(sources.sampled_frames(stream, "1 minute"), tmp_path, name="sampled")
     expected = vision.sample_frames(spark.createDataFrame(rows, schemas.FRAMES), 60_000)
     assert sorted(r.frame_no for r in seen.collect()) == sorted(r.frame_no for r in expected.collect())
+
+
+class _State(dict):
+    """A map state and the timers of a key."""
+
+    def __init__(self):
+        self.timers, self.writes = [], 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return self
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    def getValue(self, key):
+        return self[key]
+
+    def removeKey(self, key):
+        del self[key]
+
+    def keys(self):
+        return iter(list(super().keys()))
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, timer):
+        self.timers.remove(timer)
+
+    def registerTimer(self, timer):
+        self.timers.append(timer)
+
+
+def test_sparse_rows_share_an_entry():
+    state = _State()
+    box = held.Held(state, 1_000_000)
+    box.add([(n * 1_000_000, n) for n in range(100)])
+    assert state.writes == 1 and state.timers == [1]
+    state.timers.clear()
+    assert sorted(box.due(40_000_000)) == [(n * 1_000_000, n) for n in range(41)]
+    assert len(state) == 1 and state.timers == [41_001]
+    box.add([(n, n) for n in range(1000)])
+    assert len(box.due(50_000_000)) == 1010
+    assert sorted(box.due(10**9)) == [(n * 1_000_000, n) for n in range(51, 100)]
+    assert not len(state)
+
+
+def test_a_batch_reads_a_delivery(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fx, "FILE_ROWS", 50, raising=False)
+    spark.range(1000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id * 37) AS ts", "id % 30 AS user_id",
+        "if(id % 9 = 0, 'error', 'click') AS event_type", "0D AS value", "concat('{\"k\": ', id % 100, '}') AS props",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    seen = []
+    try:
+        query = (
+            fx.event_stream(spark, str(tmp_path))
+            .writeStream.foreachBatch(lambda batch, _: seen.append(batch.count()))
+            .option("checkpointLocation", f"{tmp_path}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    full = [n for n in seen if n]
+    assert len(full) == fx.DELIVERIES + 1 and sum(full) == 1001 and full[-1] == 1
+
+
+def test_state_partitions_follow_the_cores(spark):
+    before = spark.conf.get(streams.PARTITIONS)
+    spark.conf.set(streams.PARTITIONS, "200")
+    try:
+        assert streams._stores(spark) == str(streams.STORES_A_CORE * max(8, spark.sparkContext.defaultParallelism))
+    finally:
+        spark.conf.set(streams.PARTITIONS, before)
+    assert streams._stores(spark) == before
