@@ -4,6 +4,8 @@ import datetime as dt
 import json
 
 import make
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ocheline import schemas
@@ -148,6 +150,44 @@ def test_frames_written_by_tasks(spark, tmp_path):
         assert all(r.path.endswith(".png") for r in found)
 
 
+def test_frames_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """No list of the files on the driver, and no task for every few small ones."""
+    folder = tmp_path / "frames"
+    for n in range(400):
+        (folder / f"s{n % 3}").mkdir(parents=True, exist_ok=True)
+        (folder / f"s{n % 3}" / f"{n}.png").write_bytes(b"x" * (n % 5 + 1))
+    monkeypatch.setattr(frames, "ROWS", 7, raising=False)
+    monkeypatch.setattr(frames, "BYTES", 3, raising=False)
+    found = tables.read_frames(spark, str(folder), with_bytes=True)
+    assert not any(name.endswith(".png") for name in found.inputFiles())
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sorted((r.frame_no, r.session_id, r.n_bytes, bytes(r.content)) for r in found.collect())
+    assert rows == [(n, f"s{n % 3}", n % 5 + 1, b"x" * (n % 5 + 1)) for n in range(400)]
+
+
+def test_frames_as_sparks_reader_has_them(spark, tmp_path):
+    """Folders in folders, names that are hidden, links, patterns, single files."""
+    names = ["7.jpg", "s1/1.jpg", "s1/deep er/é/2.jpg", "s1/none.jpg", "s1/_3.jpg", "_s/1.jpg", "_s=1/1.jpg", ".s/1.jpg"]
+    names += ["s2/4.jpg._COPYING_", "s2/.5.jpg", "s2/6.tar.gz", "s2/%20 /8.gz", "_metadata/9.jpg", "s2/99999999999999999999.jpg"]
+    folder = tmp_path / "frames"
+    for n, name in enumerate(names):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(b"x" * n)
+    (folder / "empty").mkdir()
+    (folder / "linked").symlink_to(folder / "s1")
+    (folder / "s2" / "10.jpg").symlink_to(tmp_path / "nothing")
+    for path in (str(folder), f"file://{folder}/", f"{folder}/s*", f"{folder}/7.jpg", str(folder / "empty")):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        expected = sorted(map(tuple, plain.select("path", "modificationTime", "length", "content").collect()))
+        found = tables.read_frames(spark, path, with_bytes=True)
+        assert sorted(map(tuple, found.select("path", "captured_at", "n_bytes", "content").collect())) == expected
+        assert tables.read_frames(spark, path).schema.names == ["session_id", "frame_no", "captured_at", "n_bytes", "path"]
+        assert tables.read_frames(spark, path).count() == len(expected)
+        assert found.schema.simpleString() == "struct<session_id:string,frame_no:bigint,captured_at:timestamp,n_bytes:bigint,path:string,content:binary>"
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        tables.read_frames(spark, str(tmp_path / "missing"))
+
+
 def test_declared_schemas(spark, tmp_path):
     for name, schema, read in [
         ("cal", schemas.CALIBRATIONS, tables.read_calibrations),
