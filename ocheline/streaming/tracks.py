@@ -475,11 +475,7 @@ class Standing(NamedTuple):
 
 def x01_standing(tracks: dict[str | None, Track], start: int, saved: list | None) -> Standing:
     """The leg ends with the first finish of any player; what comes later does not count."""
-    before, throws, over = {}, {}, False
-    if saved is not None:
-        rows, over = saved
-        for name, left, status, n, turn, darts, base in rows:
-            before[name], throws[name] = Player(left, status, turn, darts, base), n
+    before, throws, over = _opening(saved)
     for name in tracks:
         before.setdefault(name, Player(start))
     ends = [] if over else [x01_finish(t, before[name]) for name, t in tracks.items()]
@@ -498,6 +494,61 @@ def x01_standing(tracks: dict[str | None, Track], start: int, saved: list | None
     return Standing(lines, [rows, over or end is not None])
 
 
+def _opening(saved: list | None) -> tuple[dict[str | None, Player], dict[str | None, int], bool]:
+    """The players where an X01 leg was put away, their throws, and whether it was over."""
+    before, throws, over = {}, {}, False
+    if saved is not None:
+        rows, over = saved
+        for name, left, status, n, turn, darts, base in rows:
+            before[name], throws[name] = Player(left, status, turn, darts, base), n
+    return before, throws, over
+
+
+def x01_fold(darts: Iterable[tuple[str | None, Dart]], start: int, double_out: bool, saved: list | None) -> Standing:
+    """`x01_standing` of a leg of few darts, given in order: one after the other, without a tree."""
+    players, throws, over = _opening(saved)
+    for name, d in darts:
+        p = players.get(name)
+        if p is None:
+            p = players[name] = Player(start)
+        throws[name] = throws.get(name, 0) + 1
+        if over:
+            p.status = "after"
+        else:
+            had = p.left
+            p.add(d, double_out)
+            over = p.left == 0 < had
+    lines = {name: Line(p.left, p.status, throws[name]) for name, p in players.items()}
+    rows = [[name, p.left, p.status, throws[name], p.turn, p.darts, p.base] for name, p in players.items()]
+    return Standing(lines, [rows, over])
+
+
+def cricket_fold(darts: list[tuple[str | None, Dart]], saved: list | None) -> Standing:
+    """`cricket_standing` of a leg of few darts, given in order: one after the other, without a tree."""
+    rows, winner, over = saved if saved is not None else ((), None, False)
+    points, throws, marks = {}, {}, {}
+    for name, had, n, seen in rows:
+        points[name], throws[name], marks[name] = had, n, list(seen)
+    for name, _ in darts:
+        if name not in marks:
+            points[name], throws[name], marks[name] = 0, 0, [0] * len(CRICKET_NUMBERS)
+    for name, d in darts:
+        throws[name] += 1
+        if over:
+            continue
+        own = marks[name]
+        if d.segment in CRICKET_NUMBERS:
+            k = CRICKET_NUMBERS.index(d.segment)
+            beyond = max(own[k] + d.multiplier - 3, 0) - max(own[k] - 3, 0)
+            own[k] += d.multiplier
+            if beyond and any(marks[o][k] < 3 for o in marks if o != name):
+                points[name] += d.segment * beyond
+        if min(own) >= 3 and all(points[name] >= points[o] for o in marks):
+            over, winner = True, name
+    lines = {n: Line(points[n], "winner" if over and n == winner else "playing", throws[n]) for n in marks}
+    return Standing(lines, [[[n, points[n], throws[n], marks[n]] for n in marks], winner, over])
+
+
 _START: Key = (-(1 << 63), "")
 
 

@@ -196,3 +196,78 @@ def test_state_reads_of_a_long_session():
     throws = [rules.Throw(at, id, p, *value[id]) for id, at, p, *_ in sorted([*rows, arriving[0]], key=lambda r: r[1])]
     want = rules.play("X01", throws, 501, True).lines()
     assert {r.player_id: (r.value, r.status, r.throws) for r in found.itertuples()} == lines(want)
+
+
+class _Timers:
+    """What a processor is told of the time."""
+
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def _played(small, parts, monkeypatch):
+    """All lines of a session whose rows come in parts; None closes it. The last handle as well."""
+    monkeypatch.setattr(live, "SMALL", small, raising=False)
+    handle, out = Handle(), []
+    board = live._Scoreboard(10)
+    board.init(handle)
+    for part in parts:
+        if part is None:
+            found = board.handleExpiredTimer(("s",), _Timers(10**12), None)
+            handle.timers.clear()
+        else:
+            found = board.handleInputRows(("s",), iter(part), None)
+        rows = [tuple(r) for frame in found for r in frame.itertuples(index=False)]
+        out.append(sorted(rows, key=str))
+    return out, handle
+
+
+@pytest.mark.parametrize("game", ["X01", "Cricket"])
+def test_a_small_session_has_the_lines_of_a_large_one(monkeypatch, game):
+    """Late and repeated throws, chains of corrections, closings; some sessions grow on the way."""
+    for seed in range(25):
+        rng = random.Random(seed)
+        ids, parts = [], []
+        for _ in range(rng.randint(2, 7)):
+            rows = []
+            for _ in range(rng.choice([1, 5, 40])):
+                of = rng.choice([*ids, "lost"]) if ids and rng.random() < 0.3 else None
+                id = rng.choice(ids) if ids and rng.random() < 0.1 else str(len(ids))
+                ids.append(id)
+                rows.append((id, rng.randrange(10**6), rng.choice("ab"), rng.choice(SEGMENTS), rng.choice([1, 2, 3]), of))
+            legs = [batch(rows[k::2], leg=k, game=game) for k in range(2) if rows[k::2]]
+            parts.append(legs)
+            if rng.random() < 0.2:
+                parts.append(None)
+        parts.append(None)
+        want, _ = _played(-1, parts, monkeypatch)
+        for small in (30, 10**6):
+            assert _played(small, parts, monkeypatch)[0] == want, (seed, small)
+
+
+def test_a_small_session_is_one_entry_of_state(monkeypatch):
+    """A few accesses for each batch of a session, however many throws it brings."""
+    calls = []
+
+    class Counted(Handle):
+        def _of(self, name):
+            state = super()._of(name)
+
+            class State:
+                def __getattr__(self, what):
+                    calls.append((name, what))
+                    return getattr(state, what)
+
+            return State()
+
+    board = live._Scoreboard(10)
+    board.init(Counted())
+    for part in range(4):
+        rows = [(str(k), k, "ab"[k % 2], 1, 1, None) for k in range(30 * part, 30 * part + 30)]
+        calls.clear()
+        (found,) = board.handleInputRows(("s",), iter([batch(rows)]), None)
+        assert len(calls) <= 4, calls
+    assert {r.player_id: (r.value, r.throws) for r in found.itertuples()} == {"a": (441, 60), "b": (441, 60)}
