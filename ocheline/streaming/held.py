@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import pickle
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -83,20 +84,30 @@ def passed(timerValues, expiredTimerInfo) -> int:
     return max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
 
 
+# Keys are held in so many groups: each batch wakes a group, not each key, and a call to the engine
+# costs more than the rows of a key. Some groups for each state partition keep all cores busy.
+GROUPS = 1024
+# Rows that leave at once, at most.
+OUT = 10_000
+
+
 class _AsOf(StatefulProcessor):
-    """Gives each left row the last right row before it, in the order of their times."""
+    """Gives each left row the last right row of its key before it, in the order of their times.
+
+    A group has many keys. Their rows are held together; the payload in force is kept for each key.
+    """
 
-    def __init__(self, keys: Sequence[str], span: int):
-        self.keys, self.span = list(keys), span
+    def __init__(self, span: int):
+        self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = Held(handle, self.span)
-        self.current = handle.getValueState("current", "payload string")
+        self.current = handle.getMapState("current", "key string", "payload string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = []
         for batch in rows:
-            arrived += [(int(r.at), int(r.side), r.body) for r in batch.itertuples(index=False)]
+            arrived += zip(*(batch[c].tolist() for c in ("at", "side", "key", "body")))
         self.held.add(arrived)
         return iter(())
 
@@ -104,20 +115,21 @@ class _AsOf(StatefulProcessor):
         # Right rows come first at an instant, the greater payload last.
         rows = sorted(
             self.held.due(passed(timerValues, expiredTimerInfo)),
-            key=lambda r: (r[0], r[1], _ordered(r[2]) if r[1] == 0 else ()),
+            key=lambda r: (r[2], r[0], r[1], _ordered(r[3]) if r[1] == 0 else ()),
         )
-        found = self.current.get()
-        before = payload = None if found is None else found[0]
         out = []
-        for at, side, body in rows:
-            if side == 0:
-                payload = body
-            else:
-                out.append((*key, pd.Timestamp(at, unit="us"), body, payload))
-        if payload != before:
-            self.current.update((payload,))
-        if out:
-            yield pd.DataFrame(out, columns=[*self.keys, "_time", "_left", "_right"])
+        for one, mine in itertools.groupby(rows, key=lambda r: r[2]):
+            before = payload = self.current.getValue((one,))[0] if self.current.containsKey((one,)) else None
+            for at, side, _, body in mine:
+                if side == 0:
+                    payload = body
+                else:
+                    out.append((at, body, payload))
+            if payload != before:
+                self.current.updateValue((one,), (payload,))
+        for start in range(0, len(out), OUT):
+            part = pd.DataFrame(out[start : start + OUT], columns=["_time", "_left", "_right"])
+            yield part.assign(_time=pd.to_datetime(part["_time"], unit="us", utc=True))
 
     def close(self) -> None:
         pass
@@ -145,29 +157,31 @@ def live_as_of(
     payload wins; a right row without a time is left out. The result has the
     left columns, in event time `left_time`, and the payload, null before the
     first right row. State holds the rows within the lateness and one payload
-    for each key.
+    for each key; keys of one hash are held together.
     """
 
     def side(df: DataFrame, time: str, number: int, columns: Sequence[str]) -> DataFrame:
-        whole = F.to_json(F.struct(*columns), {"timestampFormat": _TIME, "ignoreNullFields": "false"})
+        def whole(names: Sequence[str]) -> Column:
+            return F.to_json(F.struct(*names), {"timestampFormat": _TIME, "ignoreNullFields": "false"})
+
         return df.select(
-            *keys,
+            F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).cast("int").alias("group"),
             F.col(time).alias("_time"),
             F.unix_micros(time).alias("at"),
             F.lit(number).alias("side"),
-            whole.alias("body"),
+            whole(keys).alias("key"),
+            whole(columns).alias("body"),
         )
 
     rows = side(left, left_time, 1, left.columns).unionByName(
         side(right.where(F.col(right_time).isNotNull()), right_time, 0, payload)
     )
-    kinds = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys)
     joined = (
         rows.withWatermark("_time", lateness)
-        .groupBy(*keys)
+        .groupBy("group")
         .transformWithStateInPandas(
-            statefulProcessor=_AsOf(keys, micros_of(span)),
-            outputStructType=f"{kinds}, _time timestamp, _left string, _right string",
+            statefulProcessor=_AsOf(micros_of(span)),
+            outputStructType="_time timestamp, _left string, _right string",
             outputMode="Append",
             timeMode="EventTime",
             eventTimeColumnName="_time",

@@ -413,3 +413,65 @@ def test_state_partitions_follow_the_cores(spark):
     finally:
         spark.conf.set(streams.PARTITIONS, before)
     assert streams._stores(spark) == before
+
+
+class _Kept(_State):
+    """A map state of its own for each name, with a count of all accesses."""
+
+    def __init__(self):
+        super().__init__()
+        self.states, self.calls = {}, 0
+
+    def getMapState(self, name, *_):
+        handle = self
+
+        class Counted(_State):
+            def __getattribute__(self, what):
+                handle.calls += what in ("getValue", "updateValue", "removeKey", "keys", "containsKey")
+                return super().__getattribute__(what)
+
+            def containsKey(self, key):
+                return key in self
+
+        return self.states.setdefault(name, Counted())
+
+
+def test_keys_of_a_group_are_held_together():
+    """A batch of many keys costs a few accesses; each row has the last payload of its own key."""
+    import types
+
+    import pandas as pd
+
+    handle = _Kept()
+    asof = held._AsOf(1_000_000)
+    asof.init(handle)
+    rng = random.Random(5)
+    columns = ["at", "side", "key", "body"]
+
+    def until(watermark, rows):
+        handle.calls = 0
+        list(asof.handleInputRows((7,), iter([pd.DataFrame(rows, columns=columns)]), None))
+        assert handle.calls <= 4
+        handle.timers.clear()
+        timer = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark, getExpiryTimeInMs=lambda: watermark)
+        frames = list(asof.handleExpiredTimer((7,), timer, timer))
+        return sorted(tuple(r) for f in frames for r in f[["_left", "_right"]].astype(object).itertuples(index=False))
+
+    def rows(first, last):
+        return [
+            (rng.randrange(first, last), rng.choice([0, 1, 1]), f"k{n % 100}", f'{{"n": {n}}}') for n in range(first, first + 200)
+        ]
+
+    early, late = rows(0, 1000), rows(1000, 3000)
+    # Of two right rows at one instant the greater payload wins.
+    late += [(1500, 0, "k0", '{"n": 9}'), (1500, 0, "k0", '{"n": 10}'), (1500, 1, "k0", "x")]
+    rng.shuffle(late)
+    got = [until(1, early), until(3, late)]
+    for part, found in zip((early, late), got):
+        want = []
+        for at, side, key, body in part:
+            if side == 1:
+                before = [r for r in early + late if r[1] == 0 and r[2] == key and r[0] <= at]
+                last = max(before, key=lambda r: (r[0], held._ordered(r[3])), default=None)
+                want.append((body, None if last is None else last[3]))
+        assert found == sorted(want)
